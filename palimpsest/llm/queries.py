@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, toxicity
+from . import decontam, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
     "op3_quality": quality.query,
+    "op6_sharding": sharding.query,
+    "op7_decontamination": decontam.query,
+    "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE}

@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_text, durable, read_table, sliced, space_words
+from .common import durable, read_table, sliced, space_words
 
 SEED = 42
 RADIUS = 4
@@ -59,17 +59,24 @@ def _majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` for every row; fp is the fingerprint as a signed long, a null text is an empty one."""
+    """``(id, th, fp)`` for every row: a hash of the text and the fingerprint as a signed long; null is an empty text."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [fingerprint(t) for part in sliced(iter([batch])) for t in part[1]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["id", "fp"]
+                [batch.column(0), batch.column(2), pa.array(np.array(got, np.uint64).view(np.int64))], names=["id", "th", "fp"]
             )
 
-    return binary_text(docs, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), text_hash(text_col).alias("th")
+    )
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, th long, fp long")
+
+
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def block_keys(radius: int, m: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -272,23 +279,46 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Marked rows ``(id, th, fp)``, and for each distinct fingerprint its component's root and least id ``(fp, root, least)``."""
+    marked = durable(fingerprints(docs, id_col, text_col))
+    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    tree = components(links(by_fp.select("fp"), radius))
+    return marked, by_fp.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row: the id, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (least id reachable over links).
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows are kept. A null id stays null
     and never is a component's id unless all its ids are null. Columns besides the two named are not read.
     """
-    marked = durable(fingerprints(docs, id_col, text_col))
-    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    tree = components(links(by_fp.select("fp"), radius))
-    rooted = by_fp.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
+    marked, roots = rooted(docs, id_col, text_col, radius)
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = roots.join(least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component, columns unchanged: that of the least id (null ids last, then the least text hash).
+
+    Which row stays is decided on ids and hashes; texts are shuffled once, for the join with the survivors.
+    """
+    marked, roots = rooted(docs, id_col, text_col, radius)
+    rows = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("x"))
+    best = rows.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
+
+    def key(id_, th) -> list[Column]:
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), id_.isNull().alias("_null"), th.alias("_th")]
+
+    wanted = best.select(*key(F.col("x.id"), F.col("x.th")))
+    named = docs.select(*docs.columns, *key(F.col(f"`{id_col}`"), text_hash(text_col)))
+    # Rows equal in id and text meet under one key after the join and leave one of them.
+    return named.join(wanted, ["_id", "_null", "_th"]).dropDuplicates(["_id", "_null", "_th"]).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document's fingerprint and component."""
     return classes(read_table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, binary_text, read_table, sliced
+from .common import SLICE_ROWS, alnum_words, read_table
 
 #: Hash space of the features; the weights of executors hold the non-zero ones only.
 BITS = 20
@@ -186,18 +186,29 @@ def train(
     return fit([t for t, _ in sample], np.array([y for _, y in sample]), settings)
 
 
+def score_column(model: Model):
+    """Arrow function of a binary text column: the score."""
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        dense = model.dense()
+        for batch in texts:
+            got: list[float] = []
+            for at in range(0, len(batch), SLICE_ROWS):
+                got += [score_text(t, dense, model) for t in batch.slice(at, SLICE_ROWS).to_pylist()]
+            yield pa.array(got, pa.float64())
+
+    return score
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
     """``(id, score)`` for every row; nulls in the id stay, a null text is an empty one, repeated rows are scored each."""
-    kind = docs.schema[id_col].dataType
+    return docs.select(id_col, score_column(model)(F.col(f"`{text_col}`").cast("binary")).alias(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = model.dense()
-        for batch in batches:
-            got = [score_text(t, dense, model) for _, t in (p for s in sliced(iter([batch])) for p in zip(*s))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["id", "score"])
 
-    made = binary_text(docs, id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, score double")
-    return made.select(F.col("id").alias(id_col), F.col("score").alias(out))
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, columns unchanged."""
+    return docs.filter(score_column(model)(F.col(f"`{text_col}`").cast("binary")) < threshold)
 
 
 def held_out(key):
