@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, sharding, simhash, toxicity
+from . import chat, decontam, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": chat.query,
     "op2_simhash": simhash.query,
     "op3_quality": quality.query,
+    "op4_licenses": licenses.query,
+    "op5_pii": pii.query,
     "op6_sharding": sharding.query,
     "op7_decontamination": decontam.query,
+    "op8_topk": topk.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
 }
 
-ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat": chat.ORACLE, "op7_decontamination": decontam.ORACLE, "op8_topk": topk.ORACLE}
