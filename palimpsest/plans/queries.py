@@ -1,0 +1,153 @@
+"""Queries of the document engine by name, over whole tables, and their SQL counterparts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.paths import cleaned_path, format_of, with_extension
+from ..functions.text import line_skeleton, newline_kind
+from ..operators import engine, lexicon, ngrams, stylometry
+from ..operators import rules as R
+from . import oracles
+from .injection import injected
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return docs.select("doc_id", injected(F.col("doc_id"), F.col("text")).alias("text"))
+
+
+def name_of(rule_id: str) -> str:
+    return "rule_" + rule_id.replace(".", "_").replace("-", "_")
+
+
+def _rule(spark: SparkSession, sf_dir: str, rule: R.Rule, with_text: bool) -> DataFrame:
+    """One rule over all documents: in Catalyst if a pattern states it, else by its scanner in one Arrow pass."""
+    docs, text = _injected(spark, sf_dir), F.col("text")
+    simple = rule.pattern is not None and rule.scan is None
+    if simple and not with_text:
+        return docs.select("doc_id", engine.native_count(rule, text).alias("n"))
+    if simple and isinstance(rule.replace, (str, dict)):
+        return docs.select("doc_id", engine.native_count(rule, text).alias("n"), F.md5(engine.native_clean(rule, text)).alias("cleaned_md5"))
+    made = engine.cleaned(docs, "aggressive", rules=[rule])
+    n = F.coalesce(F.element_at("report.flagged", rule.id), F.lit(0)) + F.coalesce(F.element_at("report.applied", rule.id), F.lit(0))
+    return made.select("doc_id", n.cast("long").alias("n"), *([F.md5("report.cleaned").alias("cleaned_md5")] if with_text else []))
+
+
+def _clean(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    made = engine.cleaned(_injected(spark, sf_dir), level)
+    return made.select("doc_id", "report.changed", "report.edits_applied", "report.flags", F.md5("report.cleaned").alias("cleaned_md5"), "report.error")
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.findings(_injected(spark, sf_dir), "aggressive")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", injected(F.col("doc_id"), F.col("text")).alias("text"))
+    made = engine.cleaned(docs, "standard")
+    applied = made.select(F.explode("report.applied").alias("rule_id", "applied")).withColumn("flagged", F.lit(0).cast("long"))
+    flagged = made.select(F.explode("report.flagged").alias("rule_id", "flagged")).withColumn("applied", F.lit(0).cast("long"))
+    return applied.unionByName(flagged).groupBy("rule_id").agg(F.sum("applied").alias("applied"), F.sum("flagged").alias("flagged"))
+
+
+def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a second cleaning would change: none, or the report has their number by level."""
+    made = engine.cleaned(_injected(spark, sf_dir), "standard").select("doc_id", F.col("report.cleaned").alias("text"))
+    again = engine.cleaned(made, "standard")
+    return again.groupBy("report.changed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.lexical_counts(_injected(spark, sf_dir), lexicon.builtin_specs())
+
+
+def _stylometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stylometry.profile(_documents(spark, sf_dir))
+
+
+def _ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    pairs = _documents(spark, sf_dir).select("doc_id", text.alias("before"), F.replace(text, F.lit(" the "), F.lit(" a ")).alias("after"))
+    return ngrams.disruption(pairs, "doc_id")
+
+
+def _newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r"), F.lit("")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    text = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), ends), ends)
+    return _documents(spark, sf_dir).select("doc_id", newline_kind(text).alias("newline"), line_skeleton(text).alias("skeleton"))
+
+
+_EXTENSIONS = ("md", "TXT", "docx", "pdf", "htm", "jpeg", "v1", "")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.pmod("doc_id", F.lit(len(_EXTENSIONS))) + 1).cast("int"))
+    path = F.concat(F.lit("/in/"), "source", F.lit("/doc"), F.col("doc_id").cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    return _documents(spark, sf_dir).select(
+        "doc_id", format_of(path).alias("format"), with_extension(path, "md").alias("as_md"), cleaned_path(path, "txt").alias("cleaned")
+    )
+
+
+_KIND = {1: "markdown", 2: "text", 3: "docx", 4: "pdf", 5: "html", 6: "image"}
+
+
+def _paths_sql() -> str:
+    exts = ", ".join(f"'{e}'" for e in _EXTENSIONS)
+    kinds = " ".join(f"WHEN {k - 1} THEN '{v}'" for k, v in _KIND.items())
+    return f"""WITH p AS (SELECT doc_id, doc_id % 8 AS k, '/in/' || source || '/doc' || doc_id AS stem, [{exts}][doc_id % 8 + 1] AS e FROM documents)
+SELECT doc_id, CASE k {kinds} END AS format,
+  CASE WHEN k = 0 THEN stem || '.md' WHEN k IN (1, 2, 3, 4, 5, 7) THEN stem || '.md' ELSE stem || '.v1.md' END AS as_md, stem || '.cleaned.txt' AS cleaned FROM p"""
+
+
+_NEWLINES = """WITH x AS (SELECT doc_id, doc_id % 4 AS k, replace(coalesce(text, ''), chr(10), [chr(10), chr(13) || chr(10), chr(13), ''][doc_id % 4 + 1]) || [chr(10), chr(13) || chr(10), chr(13), ''][doc_id % 4 + 1] AS t FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' WHEN 2 THEN 'cr' ELSE 'lf' END AS newline,
+  'lines=' || CAST(len(string_split(t, chr(10))) AS VARCHAR) AS skeleton FROM x"""
+
+
+def _rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, r.id, r.level, r.edits) for k, r in enumerate(R.builtin())]
+    return spark.createDataFrame(rows, "rule_ord int, rule_id string, min_level int, edits boolean")
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    stated = oracles.rule_expressions()
+    for r in R.builtin():
+        if not r.id.startswith(("lexical.", "phrasal.", "structural.")):
+            out[name_of(r.id)] = partial(_rule, rule=r, with_text=bool(stated.get(r.id, (None, None))[1]))
+    return out | {
+        "lexical_pack": _lexical,
+        "clean_light": partial(_clean, level="light"),
+        "clean_standard": partial(_clean, level="standard"),
+        "clean_aggressive": partial(_clean, level="aggressive"),
+        "findings": _findings,
+        "report_by_rule": _report,
+        "clean_twice": _unchanged,
+        "stylometry": _stylometry,
+        "ngram_disruption": _ngrams,
+        "newlines": _newlines,
+        "output_paths": _paths,
+        "rules": _rules_table,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name_of(i): oracles.rule_sql(i, e) for i, e in oracles.rule_expressions().items()}
+    return out | {
+        "lexical_pack": oracles.lexical_sql(),
+        "stylometry": oracles.STYLOMETRY,
+        "ngram_disruption": oracles.ngrams_sql(),
+        "newlines": _NEWLINES,
+        "output_paths": _paths_sql(),
+    }

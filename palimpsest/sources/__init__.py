@@ -1 +1 @@
-
+"""Sources: files by format, and the editable spans of their texts."""
