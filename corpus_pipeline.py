@@ -37,9 +37,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their size and shard."""
+    """The documents with their size and shard, which replace columns of those names."""
     _, cuts = sharding.plan(docs)
-    return docs.select("*", sharding.size_of(docs["text"]).alias("size"), sharding.shard_of(cuts).alias("shard"))
+    return docs.withColumns({"size": sharding.size_of(docs["text"]), "shard": sharding.shard_of(cuts)})
 
 
 STAGES = [

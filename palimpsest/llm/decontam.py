@@ -127,7 +127,7 @@ def _merge_column():
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_scan`` (n_words, n_hit, items): words, hit words and sorted ids of items with occurring windows.
+    """``docs`` with ``__scan`` (n_words, n_hit, items): words, hit words and sorted ids of items with occurring windows.
 
     One block: one narrow pass. Several: one pass each, whose columns of hits are merged per row; the rows themselves
     are never shuffled or matched up, so repeated rows and null ids need no care. A benchmark without words hits nothing.
@@ -135,17 +135,17 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width
     text = F.col(f"`{text_col}`").cast("binary")
     out, names = docs, []
     for k, items in enumerate(blocks_of(benchmark, block_bytes=block_bytes)):
-        names.append(f"_scan{k}")
+        names.append(f"__scan{k}")
         out = out.withColumn(names[-1], scan_column(items, width)(text))
     runs = F.flatten(F.array(*[F.col(n)["spans"] for n in names]))
     found = F.flatten(F.array(*[F.col(n)["items"] for n in names]))
     if len(names) == 1:
         hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
         made = F.struct(F.col(names[0])["n_words"].alias("n_words"), hit.alias("n_hit"), found.alias("items"))
-        return out.withColumn("_scan", made).drop(*names)
-    out = out.withColumn("_merged", _merge_column()(runs, found))
-    made = F.struct(F.col(names[0])["n_words"].alias("n_words"), F.col("_merged")["n_hit"].alias("n_hit"), F.col("_merged")["items"].alias("items"))
-    return out.withColumn("_scan", made).drop("_merged", *names)
+        return out.withColumn("__scan", made).drop(*names)
+    out = out.withColumn("__merged", _merge_column()(runs, found))
+    made = F.struct(F.col(names[0])["n_words"].alias("n_words"), F.col("__merged")["n_hit"].alias("n_hit"), F.col("__merged")["items"].alias("items"))
+    return out.withColumn("__scan", made).drop("__merged", *names)
 
 
 def is_contaminated(scan: Column) -> Column:
@@ -155,13 +155,13 @@ def is_contaminated(scan: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, columns unchanged; null and empty texts stay."""
-    return scanned(docs, benchmark, text_col).filter(~is_contaminated(F.col("_scan"))).drop("_scan")
+    return scanned(docs, benchmark, text_col).filter(~is_contaminated(F.col("__scan"))).drop("__scan")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: hit words and items of every document."""
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    scan = F.col("_scan")
+    scan = F.col("__scan")
     return scanned(docs.select("doc_id", "text"), benchmark).select(
         "doc_id",
         scan["n_words"].alias("n_words"),

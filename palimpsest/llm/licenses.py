@@ -290,13 +290,13 @@ def scan_column(notices=NOTICES, phrases=PHRASES):
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_licence``: the scan of each row's whole text. A null text has no words; rows are independent."""
-    return docs.withColumn("_licence", scan_column()(F.col(f"`{text_col}`").cast("binary")))
+    """``docs`` with ``__licence``: the scan of each row's whole text. A null text has no words; rows are independent."""
+    return docs.withColumn("__licence", scan_column()(F.col(f"`{text_col}`").cast("binary")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: phrase places and licence labels of every document."""
-    x = F.col("_licence")
+    x = F.col("__licence")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return scanned(docs).select(
         "doc_id", x["n_words"].alias("n_words"), x["n_base"].alias("n_base"), x["first_word"].alias("first_word"), x["last_word"].alias("last_word"),

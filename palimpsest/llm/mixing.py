@@ -120,9 +120,9 @@ def keyed(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: st
     text = F.col(f"`{text_col}`")
     return docs.select(
         "*",
-        F.array_sort(F.array_distinct(members)).alias("_members"),
-        words_of(text).alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))).alias("_rank"),
+        F.array_sort(F.array_distinct(members)).alias("__members"),
+        words_of(text).alias("__size"),
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))).alias("__rank"),
     )
 
 
@@ -133,10 +133,10 @@ def _order(name) -> tuple:
 def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> Plan:
     """The mix of ``keyed`` rows (``_members``, ``_size``, ``_rank``). A row without sources belongs to none and is not taken."""
     spark = rows.sparkSession
-    found = rows.groupBy("_members").agg(F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    found = rows.groupBy("__members").agg(F.sum("__size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
-    lists = sorted(([list(r["_members"] or []), r["n"]] for r in found), key=lambda x: [_order(s) for s in x[0]])
+    lists = sorted(([list(r["__members"] or []), r["n"]] for r in found), key=lambda x: [_order(s) for s in x[0]])
     names = sorted({s for m, _ in lists for s in m}, key=_order)
     number = {s: i for i, s in enumerate(names)}
     size = [sum(n for m, n in lists if s in m) for s in names]
@@ -158,7 +158,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = C
 
 def _table(spark: SparkSession, lists: list, columns: str, values: list[tuple]) -> DataFrame:
     """A row per pattern: few, checked against MOST_PATTERNS, and so fit for a broadcast."""
-    return F.broadcast(spark.createDataFrame([(m, *v) for (m, *_), v in zip(lists, values)], f"_key array<string>, {columns}"))
+    return F.broadcast(spark.createDataFrame([(m, *v) for (m, *_), v in zip(lists, values)], f"__key array<string>, {columns}"))
 
 
 def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], rest: list[int]) -> list[Cut]:
@@ -167,17 +167,17 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
         start.append(at)
         at += n
     info = _table(spark, lists, "p int, start long, rest long", [(i, start[i], rest[i]) for i in range(len(lists))])
-    lean = rows.select("_members", "_size", "_rank").join(info, F.col("_members").eqNullSafe(F.col("_key"))).select("p", "_rank", "_size", "start", "rest")
-    laid, _ = prefix_sums(lean, ["p", "_rank", "_size"], ["_size"])
-    inside = F.col("before__size") - F.col("start")
-    past = laid.filter((inside + F.col("_size") > F.col("rest")) & (F.col("rest") > 0))
-    first = past.groupBy("p").agg(F.min(F.struct(F.col("_rank").alias("r"), (F.col("rest") - inside).alias("left"))).alias("x")).select("p", "x.r", "x.left")
-    gap = F.abs(F.col("_size") - F.col("left"))
+    lean = rows.select("__members", "__size", "__rank").join(info, F.col("__members").eqNullSafe(F.col("__key"))).select("p", "__rank", "__size", "start", "rest")
+    laid, _ = prefix_sums(lean, ["p", "__rank", "__size"], ["__size"])
+    inside = F.col("before___size") - F.col("start")
+    past = laid.filter((inside + F.col("__size") > F.col("rest")) & (F.col("rest") > 0))
+    first = past.groupBy("p").agg(F.min(F.struct(F.col("__rank").alias("r"), (F.col("rest") - inside).alias("left"))).alias("x")).select("p", "x.r", "x.left")
+    gap = F.abs(F.col("__size") - F.col("left"))
     best = (
         past.join(F.broadcast(first), "p")
-        .filter((F.col("_rank") >= F.col("r")) & (gap < F.col("left")))
+        .filter((F.col("__rank") >= F.col("r")) & (gap < F.col("left")))
         .groupBy("p")
-        .agg(F.min(F.struct(gap.alias("g"), F.col("_rank").alias("e"))).alias("x"))
+        .agg(F.min(F.struct(gap.alias("g"), F.col("__rank").alias("e"))).alias("x"))
         .select("p", F.col("x.e").alias("e"))
     )
     got = {r["p"]: (r["r"], r["e"]) for r in first.join(best, "p", "left").collect()}
@@ -188,30 +188,30 @@ def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
     """``keyed`` rows with ``_copies``, how many times the mix takes the row: a narrow pass."""
     lists = [[m] for m, _ in made.patterns]
     if not lists:
-        return rows.withColumn("_copies", F.lit(0))
-    table = _table(rows.sparkSession, lists, "copies int, upto long, extra long", [(c.copies, c.upto, c.extra) for _, c in made.patterns])
-    once = F.coalesce(F.col("_rank") < F.col("upto"), F.lit(False)) | F.coalesce(F.col("_rank") == F.col("extra"), F.lit(False))
-    joined = rows.join(table, F.col("_members").eqNullSafe(F.col("_key")), "left")
-    return joined.withColumn("_copies", F.coalesce("copies", F.lit(0)) + once.cast("int")).drop("_key", "copies", "upto", "extra")
+        return rows.withColumn("__copies", F.lit(0))
+    table = _table(rows.sparkSession, lists, "__times int, __upto long, __extra long", [(c.copies, c.upto, c.extra) for _, c in made.patterns])
+    once = F.coalesce(F.col("__rank") < F.col("__upto"), F.lit(False)) | F.coalesce(F.col("__rank") == F.col("__extra"), F.lit(False))
+    joined = rows.join(table, F.col("__members").eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("__copies", F.coalesce("__times", F.lit(0)) + once.cast("int")).drop("__key", "__times", "__upto", "__extra")
 
 
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs``, as often as they are taken. Rows without words are kept once: they have no weight."""
     rows = keyed(docs, F.array(F.col(f"`{source_col}`").cast("string")), id_col, text_col, seed)
-    made = plan(rows.select("_members", "_size", "_rank"))
+    made = plan(rows.select("__members", "__size", "__rank"))
     taken = copies_column(rows, made)
-    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))
-    return taken.filter(times > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies"))
+    return taken.filter(times > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: words taken of every document by the mix of all sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = keyed(docs, F.array("source")).select("doc_id", "_members", "_size", "_rank")
+    rows = keyed(docs, F.array("source")).select("doc_id", "__members", "__size", "__rank")
     made = plan(rows)
     per = F.broadcast(
-        spark.createDataFrame([([s], n, float(made.quota[s])) for s, n in made.sizes.items()], "_source array<string>, source_size long, target double")
+        spark.createDataFrame([([s], n, float(made.quota[s])) for s, n in made.sizes.items()], "__source array<string>, source_size long, target double")
     )
-    return copies_column(rows, made).join(per, F.col("_members").eqNullSafe(F.col("_source"))).select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).cast("long").alias("taken")
+    return copies_column(rows, made).join(per, F.col("__members").eqNullSafe(F.col("__source"))).select(
+        "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).cast("long").alias("taken")
     )

@@ -311,12 +311,12 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
     best = rows.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
 
     def key(id_, th) -> list[Column]:
-        return [F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), id_.isNull().alias("_null"), th.alias("_th")]
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias("__id"), id_.isNull().alias("__null"), th.alias("__th")]
 
     wanted = best.select(*key(F.col("x.id"), F.col("x.th")))
     named = docs.select(*docs.columns, *key(F.col(f"`{id_col}`"), text_hash(text_col)))
     # Rows equal in id and text meet under one key after the join and leave one of them.
-    return named.join(wanted, ["_id", "_null", "_th"]).dropDuplicates(["_id", "_null", "_th"]).select(docs.columns)
+    return named.join(wanted, ["__id", "__null", "__th"]).dropDuplicates(["__id", "__null", "__th"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
