@@ -4,9 +4,9 @@ Documents are aggregated by membership pattern, the set of sources they belong t
 at no cost and again, copy by copy, at growing cost; each source asks for its quota. The flow of least cost says how
 many words of a pattern go to which source; patterns are few, so it is solved on the driver. Within a pattern, every
 document is taken the whole number of times that the flow affords, and one time more in the order of a seeded hash
-until the rest is used up; a last document is chosen whose size fits best what is left. The order's cut is found by
-global prefix sums, so a source that holds a third of all rows needs no task of its own, and selection is a comparison
-of a row's own hash with its pattern's cut.
+until the rest is used up; a document too large for what is left is passed over, a few times, and a last one is chosen
+whose size fits best. The cuts are found by global prefix sums, so a source that holds a third of all rows needs no
+task of its own, and selection is a comparison of a row's own hash and size with its pattern's cuts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ SEED = 20
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 COPIES = 2
+#: Times that a document too large for what is left is passed over.
+FILLS = 3
 #: Patterns beyond which the driver refuses to solve the flow.
 MOST_PATTERNS = 50_000
 
@@ -94,11 +96,12 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 
 @dataclass(frozen=True)
 class Cut:
-    """A pattern's whole copies, the hash up to which rows are taken once more, and the hash of the row that fits best."""
+    """A pattern's whole copies, the stretches of hashes (from, to but not including, largest size) that are taken once
+    more, and the hash of the last row, which fits best."""
 
     copies: int
-    upto: int | None
-    extra: int | None
+    stretches: tuple[tuple[int, int, int], ...] = ()
+    extra: int | None = None
 
 
 @dataclass(frozen=True)
@@ -147,7 +150,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = C
     flow = min_cost_flow([n for _, n in lists], [[number[s] for s in m] for m, _ in lists], [round(q) for q in quota], copies)
     whole = [sum(f.values()) // n if n else 0 for f, (_, n) in zip(flow, lists)]
     rest = [sum(f.values()) - w * n for f, w, (_, n) in zip(flow, whole, lists)]
-    cuts = [Cut(w, None, None) for w in whole]
+    cuts = [Cut(w) for w in whole]
     if lists:
         cuts = _cuts(spark, rows, lists, whole, rest)
     return Plan(
@@ -162,26 +165,43 @@ def _table(spark: SparkSession, lists: list, columns: str, values: list[tuple])
 
 
 def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], rest: list[int]) -> list[Cut]:
-    start, at = [], 0
-    for _, n in lists:
-        start.append(at)
-        at += n
-    info = _table(spark, lists, "p int, start long, rest long", [(i, start[i], rest[i]) for i in range(len(lists))])
-    lean = rows.select("__members", "__size", "__rank").join(info, F.col("__members").eqNullSafe(F.col("__key"))).select("p", "__rank", "__size", "start", "rest")
-    laid, _ = prefix_sums(lean, ["p", "__rank", "__size"], ["__size"])
-    inside = F.col("before___size") - F.col("start")
-    past = laid.filter((inside + F.col("__size") > F.col("rest")) & (F.col("rest") > 0))
-    first = past.groupBy("p").agg(F.min(F.struct(F.col("__rank").alias("r"), (F.col("rest") - inside).alias("left"))).alias("x")).select("p", "x.r", "x.left")
-    gap = F.abs(F.col("__size") - F.col("left"))
-    best = (
-        past.join(F.broadcast(first), "p")
-        .filter((F.col("__rank") >= F.col("r")) & (gap < F.col("left")))
-        .groupBy("p")
-        .agg(F.min(F.struct(gap.alias("g"), F.col("__rank").alias("e"))).alias("x"))
-        .select("p", F.col("x.e").alias("e"))
-    )
-    got = {r["p"]: (r["r"], r["e"]) for r in first.join(best, "p", "left").collect()}
-    return [Cut(w, *(got.get(i) or (None, None))) if x else Cut(w, None, None) for i, (w, x) in enumerate(zip(whole, rest))]
+    number = _table(spark, lists, "p int", [(i,) for i in range(len(lists))])
+    lean = rows.select("__members", "__size", "__rank").join(number, F.col("__members").eqNullSafe(F.col("__key"))).select("p", "__rank", "__size")
+    low, high = -(2**63), 2**63 - 1
+    stretches: list[list[tuple[int, int, int]]] = [[] for _ in lists]
+    # Of each pattern: the hash after which rows are free, what is left to take, and the largest size that may be.
+    state = {i: (low, r, high) for i, r in enumerate(rest) if r}
+    for _ in range(FILLS):
+        if not state:
+            break
+        info = F.broadcast(spark.createDataFrame([(i, *v) for i, v in state.items()], "p int, after long, left long, most long"))
+        fit = lean.join(info, "p").filter((F.col("__rank") > F.col("after")) & (F.col("__size") <= F.col("most")) | (F.col("after") == low))
+        laid, _ = prefix_sums(fit, ["p", "__rank", "__size"], ["__size"])
+        start = F.broadcast(laid.groupBy("p").agg(F.min("before___size").alias("start")))
+        inside = F.col("before___size") - F.col("start")
+        past = laid.join(start, "p").filter(inside + F.col("__size") > F.col("left"))
+        found = past.groupBy("p").agg(F.min(F.struct(F.col("__rank").alias("r"), (F.col("left") - inside).alias("left"))).alias("x")).collect()
+        ends = {r["p"]: (r["x"]["r"], r["x"]["left"]) for r in found}
+        then = {}
+        for i, (after, left, most) in state.items():
+            if i not in ends:  # all that is free fits
+                stretches[i].append((after, high, most))
+                continue
+            upto, left = ends[i]
+            stretches[i].append((after, upto, most))
+            if left > 0:
+                then[i] = (upto, left, left)
+        state = then
+    extra: dict[int, int] = {}
+    if state:
+        info = F.broadcast(spark.createDataFrame([(i, v[0], v[1]) for i, v in state.items()], "p int, after long, left long"))
+        gap = F.abs(F.col("__size") - F.col("left"))
+        best = (
+            lean.join(info, "p").filter((F.col("__rank") >= F.col("after")) & (gap < F.col("left")))
+            .groupBy("p").agg(F.min(F.struct(gap.alias("g"), F.col("__rank").alias("e"))).alias("x")).collect()
+        )
+        extra = {r["p"]: r["x"]["e"] for r in best}
+    return [Cut(w, tuple(stretches[i]), extra.get(i)) for i, w in enumerate(whole)]
 
 
 def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
@@ -189,10 +209,13 @@ def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
     lists = [[m] for m, _ in made.patterns]
     if not lists:
         return rows.withColumn("__copies", F.lit(0))
-    table = _table(rows.sparkSession, lists, "__times int, __upto long, __extra long", [(c.copies, c.upto, c.extra) for _, c in made.patterns])
-    once = F.coalesce(F.col("__rank") < F.col("__upto"), F.lit(False)) | F.coalesce(F.col("__rank") == F.col("__extra"), F.lit(False))
+    kind = "__times int, __taken array<struct<a:long,b:long,most:long>>, __extra long"
+    table = _table(rows.sparkSession, lists, kind, [(c.copies, list(c.stretches), c.extra) for _, c in made.patterns])
+    rank, size = F.col("__rank"), F.col("__size")
+    inside = F.exists("__taken", lambda s: (rank >= s["a"]) & (rank < s["b"]) & ((size <= s["most"])))
+    once = F.coalesce(inside, F.lit(False)) | F.coalesce(rank == F.col("__extra"), F.lit(False))
     joined = rows.join(table, F.col("__members").eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn("__copies", F.coalesce("__times", F.lit(0)) + once.cast("int")).drop("__key", "__times", "__upto", "__extra")
+    return joined.withColumn("__copies", F.coalesce("__times", F.lit(0)) + once.cast("int")).drop("__key", "__times", "__taken", "__extra")
 
 
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
