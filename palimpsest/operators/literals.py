@@ -221,3 +221,70 @@ SMALL_WORDS = (
     "a", "an", "the", "and", "or", "but", "nor", "for", "of", "to", "in", "on", "at", "by", "with", "from", "as",
     "is", "are", "was", "were", "be", "been", "vs", "via", "into", "over", "under", "per", "than", "that", "this",
 )
+
+#: Phrases of blocks that are nothing but an assistant's chatter.
+BOILERPLATE = (
+    "as an ai language model", "as a large language model", "i'm unable to continue",
+    "i cannot continue this conversation", "as of my last knowledge update", "as of my knowledge cutoff",
+    "i don't have access to real-time", "i do not have access to real-time", "i don't have the ability to browse",
+    "this response was generated by", "this document was generated by", "generated by chatgpt",
+    "generated with chatgpt", "generated by claude", "generated by an ai", "this is a hypothetical scenario",
+    "please note that this is a hypothetical", "here is your summary", "below you will find",
+    "prepared in the format you requested", "in the format you requested", "i hope this helps", "hope this helps!",
+    "let me know if you'd like me to", "let me know if you would like me to", "let me know if you need anything else",
+    "feel free to ask if you have any questions", "if you have any further questions, feel free",
+    "would you like me to expand on any",
+)
+
+#: How a chatty first sentence starts.
+PREAMBLES = (
+    "certainly!", "certainly,", "sure!", "sure,", "of course!", "of course,", "absolutely!", "great question!",
+    "good question!", "here's a comprehensive overview", "here is a comprehensive overview",
+    "below is a comprehensive overview", "here's an overview", "here is an overview", "here's a summary",
+    "here is a summary", "here is the summary", "here is your summary", "below you will find", "below is the summary",
+    "here is the breakdown", "i'd be happy to help", "i would be happy to help", "happy to help",
+    "as requested, here",
+)
+
+#: How a chatty last sentence starts.
+CLOSERS = (
+    "i hope this helps", "hope this helps", "let me know if you'd like me to expand",
+    "let me know if you would like me to expand", "let me know if you have any questions",
+    "let me know if you need anything else", "feel free to reach out if you have any questions",
+    "feel free to ask if you have any questions", "if you have any further questions, feel free to ask",
+    "would you like me to expand on any section", "would you like me to expand on any of these",
+)
+
+#: How a disclaiming sentence starts.
+DISCLAIMERS = (
+    "as an ai language model", "as a large language model", "this document is for informational purposes only",
+    "for informational purposes only", "this is for informational purposes only", "this response was generated by",
+    "this document was generated by", "this content was generated by", "please note that this is a hypothetical",
+    "this is a hypothetical scenario", "i cannot provide legal advice", "i cannot give legal advice",
+    "i am not a lawyer", "no warranty is provided", "always consult a professional",
+    "the numbers may not reflect your environment",
+)
+
+#: Markup that is no prose.
+FORMAT_TOKENS = (
+    "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[/INST]", "[INST]", "<<SYS>>", "<</SYS>>", "[END]", "[START]",
+    "```markdown", "```", "~~~", "</s>", "<s>", "**", "`",
+)
+
+#: Front-matter keys that declare provenance.
+PROVENANCE_KEYS = (
+    "ai_generated", "ai-generated", "aigenerated", "ai_assisted", "ai-assisted", "ai_disclosure", "ai-disclosure",
+    "ai_model", "ai-model", "llm_model", "llm-model", "ai_provider", "c2pa", "c2pa_manifest", "content_credentials",
+)
+
+#: Tools that front matter may name.
+FRONT_MATTER_TOOLS = (
+    "chatgpt", "openai", "claude", "anthropic", "gemini", "copilot", "perplexity", "deepseek", "grok", "qwen", "kimi",
+    "cursor", "windsurf", "notebooklm", "manus", "genspark",
+)
+
+#: Tools that HTML metadata may name.
+HTML_TOOLS = (
+    "chatgpt", "openai", "claude", "anthropic", "gemini", "copilot", "perplexity", "deepseek", "grok", "qwen", "kimi",
+    "cursor", "windsurf", "lovable", "v0.dev", "bolt.new", "genspark", "manus", "notebooklm",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
 from ..functions.text import line_skeleton, newline_kind
-from ..operators import engine, lexicon, ngrams, stylometry
+from ..operators import blocks, engine, formats, lexicon, ngrams, stylometry
 from ..operators import rules as R
 from . import oracles
 from .injection import injected
@@ -69,7 +69,9 @@ def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.lexical_counts(_injected(spark, sf_dir), lexicon.builtin_specs())
+    # Packs of many terms take the automaton's one pass; Catalyst's alternations are for small packs.
+    made = engine.cleaned(_injected(spark, sf_dir), "aggressive", rules=lexicon.builtin_rules())
+    return made.select("doc_id", F.explode("report.flagged").alias("rule_id", "n"))
 
 
 def _stylometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +117,58 @@ SELECT doc_id, CASE k WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' WHEN 2 THEN 'cr' ELSE
   'lines=' || CAST(len(string_split(t, chr(10))) AS VARCHAR) AS skeleton FROM x"""
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+
+
+def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.blocks(_pages(spark, sf_dir), "page_id", "html", "html")
+    return found.select("page_id", F.col("ord").cast("long").alias("ord"), "kind", F.col("level").cast("long").alias("level"), "text")
+
+
+def _html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of every page with their targets, by Catalyst."""
+    found = F.regexp_extract_all("html", F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1))
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+_HTML_LINKS = """SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, h[i] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i
+FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages))"""
+
+
+def _clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select("page_id", injected(F.col("page_id"), F.col("html")).alias("text"), F.lit("html").alias("format"))
+    made = formats.clean_files(pages)
+    return made.select("page_id", "report.changed", "report.edits_applied", "report.flags", F.md5("report.cleaned").alias("cleaned_md5"), "report.error")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to which metadata is added by id: each kind is found, other pages have none."""
+    extra = F.element_at(
+        F.array(
+            F.lit(""), F.lit('<meta name="generator" content="ChatGPT 5">'), F.lit("<!-- Generated by Claude -->"), F.lit('<meta name="ai-generated" content="yes">'),
+            F.lit('<meta name="author" content="Jane Doe">'), F.lit("<!-- created by hand -->"), F.lit('<script type="application/c2pa">x</script>'),
+        ),
+        (F.pmod("page_id", F.lit(7)) + 1).cast("int"),
+    )
+    pages = _pages(spark, sf_dir).select("page_id", F.concat("html", extra).alias("text"), F.lit("html").alias("format"))
+    return formats.container_findings(pages, "page_id").groupBy("page_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CONTAINERS = """SELECT page_id, CASE page_id % 7 WHEN 6 THEN 'container.c2pa-manifest' ELSE 'container.html-ai-metadata' END AS rule_id, CAST(1 AS BIGINT) AS n
+FROM pages WHERE page_id % 7 IN (1, 2, 3, 6)"""
+
+
+def _convert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = blocks.converted(_pages(spark, sf_dir), "html", "markdown", "html")
+    return made.select("page_id", F.md5("converted.text").alias("markdown_md5"), "converted.edits", "converted.removed", "converted.error")
+
+
+def _convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = blocks.converted(_documents(spark, sf_dir), "text", "markdown")
+    return made.select("doc_id", F.md5("converted.text").alias("markdown_md5"), "converted.edits", "converted.removed", "converted.error")
+
+
 def _rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(k, r.id, r.level, r.edits) for k, r in enumerate(R.builtin())]
     return spark.createDataFrame(rows, "rule_ord int, rule_id string, min_level int, edits boolean")
@@ -139,6 +193,12 @@ def queries() -> dict[str, Query]:
         "newlines": _newlines,
         "output_paths": _paths,
         "rules": _rules_table,
+        "html_blocks": _html_blocks,
+        "html_links": _html_links,
+        "clean_pages": _clean_pages,
+        "container_findings": _containers,
+        "convert_pages": _convert_pages,
+        "convert_documents": _convert_documents,
     }
 
 
@@ -150,4 +210,6 @@ def oracle_sql() -> dict[str, str]:
         "ngram_disruption": oracles.ngrams_sql(),
         "newlines": _NEWLINES,
         "output_paths": _paths_sql(),
+        "html_links": _HTML_LINKS,
+        "container_findings": _CONTAINERS,
     }

@@ -26,8 +26,8 @@ def decoded(files: DataFrame) -> DataFrame:
     """
     raw = F.when(F.col("format").isin(*TEXTUAL), F.try_validate_utf8(F.col("content").cast("string")))
     rows = files.withColumn("_raw", raw)
-    frame = "^﻿[︀-️\U000e0100-\U000e01ef]"
-    bom = F.startswith(F.col("_raw"), F.lit("﻿")) & ~F.rlike(F.col("_raw"), F.lit(frame))
+    frame = "^\ufeff[\ufe00-\ufe0f\U000e0100-\U000e01ef]"
+    bom = F.startswith(F.col("_raw"), F.lit("\ufeff")) & ~F.rlike(F.col("_raw"), F.lit(frame))
     bad = (
         F.when(F.col("format").isNull(), F.struct(F.lit("UnsupportedFormat").alias("kind"), F.col("path").alias("message")))
         .when(F.col("format").isin(*TEXTUAL) & F.col("_raw").isNull(), F.struct(F.lit("Encoding").alias("kind"), F.lit("not valid UTF-8").alias("message")))
