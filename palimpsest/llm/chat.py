@@ -24,9 +24,6 @@ TOOLS: dict[str, Schema] = {
     "respond": {"prompt": {"type": "string", "required": True, "least": 1, "most": 2000}, "turn": {"type": "integer", "required": True, "least": 0}},
 }
 
-#: Rounds of a level search before it is durably cut.
-CUT_EVERY = 8
-
 
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls ``(conv, call, ...)`` and results ``(conv, call, content)`` by identifier, in a full outer hash join.
@@ -49,32 +46,54 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, rounds: int = 100_000) -> DataFrame:
     """``(conv, call, level)`` from ``(conv, call, needs)``, one row per dependency, ``needs`` null where there is none.
 
-    A call that needs nothing known is at level 0; a needed call that does not exist binds nothing. Calls on or behind
-    a cycle have no level: null. Each round settles the calls whose needs are all settled.
+    A call that needs nothing known is at level 0, any other one above the highest that it needs; a needed call that
+    does not exist binds nothing. Calls on or behind a cycle have no level: null. Calls with one need form chains, which
+    pointer doubling follows to their anchors, calls with no need or several, in rounds that grow with the logarithm of
+    the longest chain. Anchors are then settled round by round, so only nested calls of several needs take a round each.
     """
     nodes = durable(edges.select("conv", "call").filter("conv is not null and call is not null").distinct())
     known = nodes.select(F.col("conv").alias("_c"), F.col("call").alias("_n"))
-    needs = durable(
-        edges.filter("needs is not null").distinct().join(known, (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n"))).select("conv", "call", "needs")
-    )
-    blocked = needs.select("conv", "call").distinct()
-    settled = nodes.join(blocked, ["conv", "call"], "left_anti").withColumn("level", F.lit(0))
-    open_ = needs
-    for n in range(1, rounds + 1):
-        front = settled.filter(F.col("level") == n - 1).select("conv", F.col("call").alias("needs"))
-        left = open_.join(front, ["conv", "needs"], "left_anti").select("conv", "call", "needs")
-        left = durable(left)
-        ready = open_.select("conv", "call").distinct().join(left.select("conv", "call").distinct(), ["conv", "call"], "left_anti")
-        ready = ready.withColumn("level", F.lit(n))
-        if not ready.take(1):
+    asked = edges.filter("needs is not null").distinct().join(known, (F.col("conv") == F.col("_c")) & (F.col("needs") == F.col("_n")))
+    asked = durable(asked.select("conv", "call", "needs"))
+    degree = asked.groupBy("conv", "call").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to"))
+    chain = durable(degree.filter("n = 1").select("conv", "call", "to", F.lit(1).cast("long").alias("steps")))
+    ends = False
+    for _ in range(chain.count().bit_length() + 1):
+        on = chain.select("conv", F.col("call").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        if chain.join(on, ["conv", "to"], "left_semi").isEmpty():
+            ends = True
+            break
+        both = chain.join(on, ["conv", "to"], "left")
+        chain = durable(both.select("conv", "call", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    if not ends:  # what still points into a chain after that many doublings runs round a cycle
+        chain = durable(chain.join(chain.select("conv", F.col("call").alias("to")), ["conv", "to"], "left_anti"))
+    several = degree.filter("n > 1").select("conv", "call")
+    loose = nodes.join(degree.select("conv", "call"), ["conv", "call"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    ready, settled = durable(loose), []
+    # Of each anchor with several needs, the anchors behind them and how far; ``at`` is the level once it is known.
+    jump = chain.select("conv", F.col("call").alias("needs"), F.col("to").alias("behind"), "steps")
+    wait = asked.join(several, ["conv", "call"], "left_semi").join(jump, ["conv", "needs"], "left")
+    wait = durable(wait.select("conv", "call", F.coalesce("behind", "needs").alias("to"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("long").alias("at")))
+    for _ in range(rounds):
+        settled.append(ready)
+        if wait.isEmpty():
             break
-        settled = settled.union(ready)
-        if n % CUT_EVERY == 0:
-            settled = durable(settled)
-        open_ = left
-        if not open_.take(1):
+        done = ready.select("conv", F.col("call").alias("to"), "level")
+        filled = wait.join(done, ["conv", "to"], "left").select(
+            "conv", "call", "to", "steps", F.coalesce("at", F.col("level") + F.col("steps") + 1).alias("at")
+        )
+        filled = durable(filled)
+        by_call = filled.groupBy("conv", "call").agg(F.max("at").alias("level"), F.sum(F.col("at").isNull().cast("int")).alias("open"))
+        ready = durable(by_call.filter("open = 0").select("conv", "call", "level"))
+        if ready.isEmpty():
             break
-    return nodes.join(settled, ["conv", "call"], "left").select("conv", "call", "level")
+        wait = durable(filled.join(ready, ["conv", "call"], "left_anti"))
+    anchors = settled[0]
+    for part in settled[1:]:
+        anchors = anchors.union(part)
+    below = anchors.select("conv", F.col("call").alias("to"), F.col("level").alias("base"))
+    chained = chain.join(below, ["conv", "to"]).select("conv", "call", (F.col("base") + F.col("steps")).alias("level"))
+    return nodes.join(anchors.union(chained), ["conv", "call"], "left").select("conv", "call", "level")
 
 
 def _problem(name: str, spec: Mapping[str, object], args: Column) -> Column:
