@@ -39,7 +39,7 @@ def disruption(pairs: DataFrame, id_col: str, before: str = "before", after: str
     of = lambda n, c: F.sum(F.when(F.col("n") == n, c).otherwise(0))
     lost = F.col("b") - F.least("a", "b")
     sums = each.groupBy(id_col).agg(of(5, F.col("b")).alias("t5"), of(5, lost).alias("l5"), of(2, F.col("b")).alias("t2"), of(2, lost).alias("l2"))
-    share = lambda x, t: F.when(F.coalesce(F.col(t), F.lit(0)) == 0, 0.0).otherwise(F.round(F.col(x) / F.col(t), 6))
+    share = lambda x, t: F.when(F.coalesce(F.col(t), F.lit(0)) == 0, 0.0).otherwise(F.round(F.try_divide(F.col(x), F.col(t)), 6))
     counts = rows.select(id_col, F.size("_b").cast("long").alias("tokens_before"), F.size("_a").cast("long").alias("tokens_after"))
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return counts.join(sums, id_col, "left").select(

@@ -28,14 +28,14 @@ def _mattr(words: Column, n: Column) -> Column:
     """Mean share of distinct words over all windows of WINDOW words; of the whole if it is shorter."""
     at = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
     total = F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i, F.lit(WINDOW)))))
-    return total / (F.size(at) * F.least(n, F.lit(WINDOW)))
+    return F.try_divide(total, F.size(at) * F.least(n, F.lit(WINDOW)))
 
 
 def _contexts(words: Column, n: Column) -> Column:
     """Share of distinct four-word contexts among those that a fifth word follows."""
     at = F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1)))
     seen = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(4)), " ")))
-    return F.when(n < 5, F.lit(0.0)).otherwise(F.size(seen) / (n - 4))
+    return F.when(n < 5, F.lit(0.0)).otherwise(F.try_divide(F.size(seen), n - 4))
 
 
 def _unit(x: Column) -> Column:
@@ -50,14 +50,14 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "*", F.size("_w").alias("n_words"), F.size("_l").alias("n_sentences")
     )
     k = F.col("n_sentences").cast("double")
-    mean = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x) / k
+    mean = F.try_divide(F.aggregate("_l", F.lit(0.0), lambda a, x: a + x), k)
     known = known.select("*", mean.alias("mean_words"))
-    spread = F.sqrt(F.aggregate("_l", F.lit(0.0), lambda a, x: a + (x - F.col("mean_words")) * (x - F.col("mean_words"))) / k)
+    spread = F.sqrt(F.try_divide(F.aggregate("_l", F.lit(0.0), lambda a, x: a + (x - F.col("mean_words")) * (x - F.col("mean_words"))), k))
     hits = F.size(F.filter("_w", lambda w: w.isin(*lit.DISCOURSE_MARKERS)))
     n = F.col("n_words")
     known = known.select(
-        "*", (spread / F.col("mean_words")).alias("burstiness"), _mattr(F.col("_w"), n).alias("mattr"), _contexts(F.col("_w"), n).alias("contexts"),
-        (hits * 100.0 / n).alias("markers"),
+        "*", F.try_divide(spread, F.col("mean_words")).alias("burstiness"), _mattr(F.col("_w"), n).alias("mattr"), _contexts(F.col("_w"), n).alias("contexts"),
+        F.try_divide(hits * 100.0, n).alias("markers"),
     )
     score = (
         0.42 * _unit((0.62 - F.col("burstiness")) / 0.45)
