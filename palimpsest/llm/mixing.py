@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, prefix_sums, read_table
+from .common import SPACE_WORD, durable, prefix_sums, read_table
 
 SEED = 20
 WEIGHTS = (3, 1, 2)
@@ -221,7 +221,7 @@ def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs``, as often as they are taken. Rows without words are kept once: they have no weight."""
     rows = keyed(docs, F.array(F.col(f"`{source_col}`").cast("string")), id_col, text_col, seed)
-    made = plan(rows.select("__members", "__size", "__rank"))
+    made = plan(durable(rows.select("__members", "__size", "__rank")))
     taken = copies_column(rows, made)
     times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies"))
     return taken.filter(times > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
@@ -230,7 +230,8 @@ def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", t
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: words taken of every document by the mix of all sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = keyed(docs, F.array("source")).select("doc_id", "__members", "__size", "__rank")
+    # Texts are read once; the rounds below go over keys and sizes.
+    rows = durable(keyed(docs, F.array("source")).select("doc_id", "__members", "__size", "__rank"))
     made = plan(rows)
     per = F.broadcast(
         spark.createDataFrame([([s], n, float(made.quota[s])) for s, n in made.sizes.items()], "__source array<string>, source_size long, target double")
