@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
 from ..functions.text import line_skeleton, newline_kind
-from ..operators import blocks, engine, formats, lexicon, ngrams, stylometry
+from ..operators import blocks, engine, formats, lexicon, ngrams, packages, stylometry
+from ..operators import literals as lit
 from ..operators import rules as R
 from . import oracles
 from .injection import injected
@@ -169,6 +170,41 @@ def _convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.md5("converted.text").alias("markdown_md5"), "converted.edits", "converted.removed", "converted.error")
 
 
+def _docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Word package and back: the same Markdown as from the text itself, but for code marks."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    made = packages.converted_packages(packages.rendered_packages(docs)).withColumn("package", F.col("converted.text"))
+    plain = blocks.converted(made, "text", "markdown", sanitize=False)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "(?m)^[0-9]+\\. ", "- "), "\\s+", " ")
+    return plain.select("doc_id", (bare(F.col("converted.text")) == bare(F.col("package"))).alias("same"))
+
+
+#: Small pictures by remainder of the id: a named generator, a manifest chunk, an Exif tool, and one that says nothing.
+_PICTURES = (
+    "89504e470d0a1a0a0000000d49484452000000000000000000000000002e90680f0000001974455874536f6674776172650044414c4c2d45206279204f70656e41495b5aa54d0000000049454e44ae426082",
+    "89504e470d0a1a0a0000000d49484452000000000000000000000000002e90680f00000004636142586a756d62293ab84f0000001174455874436f6d6d656e74006120686f6c69646179a3d533940000000049454e44ae426082",
+    "ffd8ffe1001c4578696600004d69646a6f75726e657920763920202020202020ffda",
+    "89504e470d0a1a0a0000000d49484452000000000000000000000000002e90680f0000001774455874436f6d6d656e74006120706c61696e2070696374757265cb503a900000000049454e44ae426082",
+)
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.element_at(F.array(*map(F.lit, _PICTURES)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    files = _documents(spark, sf_dir).select("doc_id", F.unhex(picked).alias("content"))
+    return packages.metadata_findings(files, "doc_id").select("doc_id", "rule_id")
+
+
+_MEDIA = """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'container.c2pa-manifest' ELSE 'container.image-ai-metadata' END AS rule_id
+FROM documents WHERE doc_id % 4 < 3"""
+
+
+def coverage(spark: SparkSession, provider: str = "") -> DataFrame:
+    """Families of signatures with their rules; ``provider`` is looked for in names, regardless of case."""
+    rows = [(name, who, rule) for name, who, rules in lit.FAMILIES for rule in rules or (None,)]
+    frame = spark.createDataFrame(rows, "family string, provider string, rule_id string")
+    return frame.filter(F.contains(F.lower(F.concat_ws(" ", "family", "provider")), F.lit(provider.lower())))
+
+
 def _rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(k, r.id, r.level, r.edits) for k, r in enumerate(R.builtin())]
     return spark.createDataFrame(rows, "rule_ord int, rule_id string, min_level int, edits boolean")
@@ -199,6 +235,9 @@ def queries() -> dict[str, Query]:
         "container_findings": _containers,
         "convert_pages": _convert_pages,
         "convert_documents": _convert_documents,
+        "docx_round_trip": _docx_round_trip,
+        "media_findings": _media,
+        "coverage": lambda spark, sf_dir: coverage(spark),
     }
 
 
@@ -212,4 +251,6 @@ def oracle_sql() -> dict[str, str]:
         "output_paths": _paths_sql(),
         "html_links": _HTML_LINKS,
         "container_findings": _CONTAINERS,
+        "docx_round_trip": "SELECT doc_id, true AS same FROM documents",
+        "media_findings": _MEDIA,
     }

@@ -160,3 +160,61 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.queries()["rules"](spark, "").count() == 103
+
+
+def package(body, **more):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+        for name, text in more.items():
+            z.writestr(name.replace("__", "/").replace("_DOT_", "."), text)
+    return out.getvalue()
+
+
+def test_word_packages(spark):
+    from palimpsest.operators import packages
+    from palimpsest.sources import docx
+
+    body = (
+        '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T…</w:t></w:r></w:p><w:p><w:r><w:t>“a &amp; b</w:t></w:r><w:r><w:t xml:space="preserve"> c”</w:t></w:r></w:p>'
+        '<w:p><w:pPr><w:numPr><w:ilvl w:val="1"/></w:numPr></w:pPr><w:r><w:t>item</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>B</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    )
+    core = "<cp:coreProperties><dc:creator>python-docx</dc:creator><dcterms:created>2013-12-23T23:15:00Z</dcterms:created></cp:coreProperties>"
+    raw = package(body, docProps__core_DOT_xml=core, word__header1_DOT_xml="<w:hdr><w:p><w:t>h…</w:t></w:p></w:hdr>")
+    files = spark.createDataFrame([("a", bytearray(raw)), ("b", bytearray(b"PK bad")), ("c", None), ("d", bytearray(package("<w:p><w:t>plain</w:t></w:p>")))], "path string, content binary")
+    rows = {r.path: r.report for r in packages.clean_packages(files).collect()}
+    parts = docx.parts(rows["a"].cleaned)
+    assert '<w:t>T...</w:t>' in parts["word/document.xml"] and '<w:t>"a &amp; b</w:t></w:r><w:r><w:t xml:space="preserve"> c"</w:t>' in parts["word/document.xml"]
+    assert parts["word/header1.xml"] == "<w:hdr><w:p><w:t>h...</w:t></w:p></w:hdr>" and rows["a"].edits_applied == 4
+    assert rows["b"].error and rows["c"].error and not rows["d"].changed
+    assert [r.rule_id for r in packages.metadata_findings(files).collect()] == ["container.docx-generator-metadata"] * 2
+    text = {r.path: r.converted for r in packages.converted_packages(files).collect()}
+    assert text["a"].text == "## T…\n\n“a & b c”\n\n  - item\n\n| A | B |\n| --- | --- |\n" and text["b"].error
+    found = blocks.read_markdown("# H\n\ntext <&>\n\n- x\n\n| A | B |\n|---|---|\n| 1 | 2 |\n")
+    assert docx.blocks(docx.render(found)) == found and docx.render(found) == docx.render(found)
+
+
+def test_pictures_survive_damage():
+    from palimpsest.plans.queries import _PICTURES
+    from palimpsest.sources import media
+
+    whole = [bytes.fromhex(p) for p in _PICTURES]
+    assert [[f["rule_id"] for f in media.findings(p)] for p in whole] == [["container.image-ai-metadata"], ["container.c2pa-manifest"], ["container.image-ai-metadata"], []]
+    for p in whole:
+        for n in range(0, len(p), 7):
+            media.findings(p[:n])
+            media.findings(p[:n] + bytes([p[n] ^ 0x55]) + p[n + 1 :])
+    assert [f["rule_id"] for f in media.findings(b"<svg ><metadata><x>c2pa:manifest</x></metadata></svg>")][0] == "container.c2pa-manifest"
+
+
+def test_coverage_names_known_rules(spark):
+    from palimpsest.operators import literals as lit
+    from palimpsest.plans.queries import coverage
+
+    ids = {r.id for r in R.builtin()} | {"watermark.ngram-disrupt"}
+    named = {rule for _, _, rules in lit.FAMILIES for rule in rules}
+    assert {r for r in named if not r.startswith("container.")} - ids - {r for r in named if r.endswith(".container") or r == "unicode.whitespace-stego"} == set()
+    assert coverage(spark, "OPENAI").count() > 5
