@@ -411,3 +411,10 @@ FAMILIES = (
         "watermark.ngram-disrupt",
     )),
 )
+
+#: What a generated PDF's metadata may name.
+PDF_GENERATORS = (
+    "chatgpt", "openai", "gpt-", "claude", "anthropic", "gemini", "copilot", "deepseek", "qwen", "mistral",
+    "perplexity", "grok", "kimi", "manus", "genspark", "notebooklm", "ai-generated", "ai generated",
+    "generated by ai", "large language model", "c2pa", "content credentials", "trainedalgorithmicmedia",
+)

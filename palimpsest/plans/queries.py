@@ -179,6 +179,15 @@ def _docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("doc_id", (bare(F.col("converted.text")) == bare(F.col("package"))).alias("same"))
 
 
+def _pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF file and its text read back: letters survive the way there and back."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pages = packages.pdf_pages(packages.rendered_packages(docs, target="pdf").select("doc_id", "content"), "doc_id")
+    read = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("read"))
+    letters = lambda c: F.regexp_replace(c, "[^\\p{L}]", "")
+    return docs.join(read, "doc_id").select("doc_id", (letters(F.col("text")) == letters(F.col("read"))).alias("same"))
+
+
 #: Small pictures by remainder of the id: a named generator, a manifest chunk, an Exif tool, and one that says nothing.
 _PICTURES = (
     "89504e470d0a1a0a0000000d49484452000000000000000000000000002e90680f0000001974455874536f6674776172650044414c4c2d45206279204f70656e41495b5aa54d0000000049454e44ae426082",
@@ -236,6 +245,7 @@ def queries() -> dict[str, Query]:
         "convert_pages": _convert_pages,
         "convert_documents": _convert_documents,
         "docx_round_trip": _docx_round_trip,
+        "pdf_round_trip": _pdf_text,
         "media_findings": _media,
         "coverage": lambda spark, sf_dir: coverage(spark),
     }
@@ -252,5 +262,6 @@ def oracle_sql() -> dict[str, str]:
         "html_links": _HTML_LINKS,
         "container_findings": _CONTAINERS,
         "docx_round_trip": "SELECT doc_id, true AS same FROM documents",
+        "pdf_round_trip": "SELECT doc_id, true AS same FROM documents",
         "media_findings": _MEDIA,
     }

@@ -218,3 +218,39 @@ def test_coverage_names_known_rules(spark):
     named = {rule for _, _, rules in lit.FAMILIES for rule in rules}
     assert {r for r in named if not r.startswith("container.")} - ids - {r for r in named if r.endswith(".container") or r == "unicode.whitespace-stego"} == set()
     assert coverage(spark, "OPENAI").count() > 5
+
+
+def test_pdf_files(spark):
+    import zlib
+
+    import pytest
+
+    from palimpsest.operators import packages
+    from palimpsest.sources import pdf
+
+    made = pdf.render(blocks.read_markdown("# Héad (x) \\\\ y\n\n" + "word — “q” " * 300))
+    pages = pdf.text_of(made)
+    assert len(pages) == 1 and pages[0].startswith("Héad (x) \\\\ y\n") and pages[0].count("“q”") == 300
+    cmap = b"begincmap 1 beginbfchar <0001> <00480069> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange endcmap"
+    code = zlib.compress(b"BT /F1 12 Tf 10 700 Td [<0001> -300 <0002>] TJ 0 -14 Td <00030004> Tj ET")
+    odd = (
+        b"%%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[3 0 R]/Count 1>> endobj 3 0 obj <</Type/Page/Parent 2 0 R/Contents[5 0 R]/Resources<</Font<</F1 4 0 R>>>>>> endobj\n"
+        b"4 0 obj <</Subtype/Type0/ToUnicode 6 0 R>> endobj 5 0 obj <</Length %d/Filter/FlateDecode>> stream\n%s\nendstream endobj 6 0 obj <<>> stream\n%s\nendstream endobj\n"
+        b"7 0 obj <</Producer(ChatGPT export)/Author(Jane)>> endobj trailer <</Root 1 0 R/Info 7 0 R>>" % (len(code), code, cmap)
+    )
+    assert pdf.text_of(odd) == ["Hi a\nbc"]
+    assert [f["rule_id"] for f in pdf.metadata(odd)] == ["container.pdf-info-metadata"]
+    for bad in (b"", b"no", made.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R")):
+        with pytest.raises(pdf.BadPdf):
+            pdf.text_of(bad)
+    for n in range(0, len(made), 61):
+        for damaged in (made[:n], made[:n] + bytes([made[n] ^ 0x2A]) + made[n + 1 :]):
+            try:
+                pdf.text_of(damaged)
+                pdf.metadata(damaged)
+            except pdf.BadPdf:
+                pass
+    files = spark.createDataFrame([("a", bytearray(made)), ("b", bytearray(b"x")), ("c", None)], "path string, content binary")
+    rows = {r.path: r for r in packages.pdf_pages(files).collect()}
+    assert rows["a"].page == 1 and rows["b"].error and rows["c"].error
+    assert packages.converted_packages(files).filter("path = 'a'").first().converted.text.startswith("Héad")
