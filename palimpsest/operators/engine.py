@@ -22,6 +22,11 @@ from . import rules as R
 SLICE = 256
 
 
+def once(function):
+    """An Arrow function that a plan evaluates once: filters that explode() implies would otherwise repeat it."""
+    return function.asNondeterministic()
+
+
 def level_of(level: str | int) -> int:
     """A level by number, name or alias."""
     return level if isinstance(level, int) else R.LEVELS[level.lower()]
@@ -148,7 +153,7 @@ def clean_column(level: str | int = "standard", rules: Sequence[R.Rule] | None =
                 rows += [None if t is None else clean_text(t, detector) for t in batch.slice(at, SLICE).to_pylist()]
             yield pa.array(rows, kind)
 
-    return clean
+    return once(clean)
 
 
 def cleaned(docs: DataFrame, level: str | int = "standard", text_col: str = "text", rules: Sequence[R.Rule] | None = None) -> DataFrame:
@@ -175,7 +180,7 @@ def findings_column(level: str | int = "standard", rules: Sequence[R.Rule] | Non
                 rows += [None if t is None else _rows(t, detector) for t in batch.slice(at, SLICE).to_pylist()]
             yield pa.array(rows, kind)
 
-    return find
+    return once(find)
 
 
 def _rows(text: str, detector: Detector) -> list[dict]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.markup import FRONT_MATTER, READERS, html_tokens
 from . import literals as lit
-from .engine import SLICE, Detector, _tally, resolved
+from .engine import SLICE, Detector, _tally, once, resolved
 
 _WHITE = regex.compile(r"\s+")
 
@@ -158,7 +158,7 @@ def clean_files(files: DataFrame, level: str | int = "standard", text_col: str =
             rows += [clean_source(t, k, detector) if t is not None and k in READERS else None for t, k in pairs]
         return pa.array(rows, kind)
 
-    return files.withColumn("report", clean(F.col(f"`{text_col}`"), F.col(f"`{format_col}`")))
+    return files.withColumn("report", once(clean)(F.col(f"`{text_col}`"), F.col(f"`{format_col}`")))
 
 
 def container_findings(files: DataFrame, id_col: str, text_col: str = "text", format_col: str = "format") -> DataFrame:
@@ -170,4 +170,4 @@ def container_findings(files: DataFrame, id_col: str, text_col: str = "text", fo
         pairs: Iterator = zip(texts.to_pylist(), kinds.to_pylist())
         return pa.array([containers(t, k) if t is not None else [] for t, k in pairs], note)
 
-    return files.select(F.col(f"`{id_col}`"), F.explode(scan(F.col(f"`{text_col}`"), F.col(f"`{format_col}`"))).alias("f")).select(id_col, "f.rule_id", "f.message")
+    return files.select(F.col(f"`{id_col}`"), F.explode(once(scan)(F.col(f"`{text_col}`"), F.col(f"`{format_col}`"))).alias("f")).select(id_col, "f.rule_id", "f.message")

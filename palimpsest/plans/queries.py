@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
 from ..functions.text import line_skeleton, newline_kind
-from ..operators import blocks, engine, formats, lexicon, ngrams, packages, stylometry
+from ..operators import blocks, diff, engine, formats, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
 from . import oracles
@@ -62,6 +62,11 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.unionByName(flagged).groupBy("rule_id").agg(F.sum("applied").alias("applied"), F.sum("flagged").alias("flagged"))
 
 
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = engine.cleaned(_injected(spark, sf_dir), "standard").select("doc_id", F.col("text").alias("before"), F.col("report.cleaned").alias("after"))
+    return diff.diffs(made, "doc_id", "before", "after").select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
 def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a second cleaning would change: none, or the report has their number by level."""
     made = engine.cleaned(_injected(spark, sf_dir), "standard").select("doc_id", F.col("report.cleaned").alias("text"))
@@ -233,6 +238,7 @@ def queries() -> dict[str, Query]:
         "findings": _findings,
         "report_by_rule": _report,
         "clean_twice": _unchanged,
+        "clean_diff": _diff,
         "stylometry": _stylometry,
         "ngram_disruption": _ngrams,
         "newlines": _newlines,
