@@ -1,0 +1,16 @@
+"""Reading tables so that small ones use all cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+#: Sizes between which a table is dealt out anew: below, one task is enough; above, files have row groups for all cores.
+LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of moderate size over all cores: one file of one row group would be one task. Others are left as read."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not LEAST_BYTES <= size <= MOST_BYTES:
+        return table
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)

@@ -1,48 +1,58 @@
-"""How much of a text's n-grams another version keeps: multiset differences by one aggregation per text."""
+"""How much of a text's n-grams another version keeps: multiset differences, row by row in one narrow pass.
+
+Windows of all texts are several times the size of the texts, so they are counted where the texts are and never
+shuffled.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import dialect
+from .engine import SLICE, once
+
 #: A token is a run of letters, numbers and apostrophes, or any other single character that is no white space.
-TOKEN = "[\\p{IsAlphabetic}\\p{N}'’]+|[^\\p{IsWhite_Space}]"
+TOKEN = "[@ALNUM@'’]+|[^@SPACE@]"
+_TOKEN = regex.compile(dialect(TOKEN, "python"))
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.translate(F.lower(w), "’", "'"))
+    """Lower-cased tokens of a text, in Catalyst."""
+    return F.transform(F.regexp_extract_all(text, F.lit(dialect(TOKEN, "java")), F.lit(0)), lambda w: F.translate(F.lower(w), "’", "'"))
+
 
+def tokenised(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower().replace("’", "'"))
 
-def grams(words: Column, n: int) -> Column:
-    """All windows of ``n`` tokens as text; none if there are fewer."""
-    last = F.size(words) - (n - 1)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), "\u0001"))
-    return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+
+def lost_windows(before: list[str], after: list[str], n: int) -> tuple[int, int]:
+    """Windows of ``n`` tokens before, and how many of them have no copy left after."""
+    one, two = (Counter(zip(*(t[k:] for k in range(n)))) for t in (before, after))
+    return max(0, len(before) - n + 1), sum((one - two).values())
 
 
 def disruption(pairs: DataFrame, id_col: str, before: str = "before", after: str = "after") -> DataFrame:
-    """Per id: tokens of both versions, 5-gram windows and those not kept, and the shares of lost 5-grams and bigrams.
+    """Per row: the id, tokens of both versions, 5-gram windows and those lost, and the shares of lost 5-grams and bigrams.
 
-    A window kept twice needs two copies after. Windows of both versions go into one aggregation by (id, window), which
-    combines partially before its shuffle; a second one adds up per id. Ids should be unique: rows of one id merge.
+    A window that stands twice before needs two copies after. A null text is an empty one; shares of none are 0.
     """
-    rows = pairs.select(id_col, tokens(F.coalesce(F.col(before), F.lit(""))).alias("_b"), tokens(F.coalesce(F.col(after), F.lit(""))).alias("_a"))
-    one = F.lit(1).cast("long")
-
-    def side(column: str, n: int, is_before: bool) -> DataFrame:
-        at = rows.select(id_col, F.explode(grams(F.col(column), n)).alias("g"))
-        zero = F.lit(0).cast("long")
-        return at.select(id_col, F.lit(n).alias("n"), "g", (one if is_before else zero).alias("b"), (zero if is_before else one).alias("a"))
-
-    every = side("_b", 5, True).unionByName(side("_a", 5, False)).unionByName(side("_b", 2, True)).unionByName(side("_a", 2, False))
-    each = every.groupBy(id_col, "n", "g").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    of = lambda n, c: F.sum(F.when(F.col("n") == n, c).otherwise(0))
-    lost = F.col("b") - F.least("a", "b")
-    sums = each.groupBy(id_col).agg(of(5, F.col("b")).alias("t5"), of(5, lost).alias("l5"), of(2, F.col("b")).alias("t2"), of(2, lost).alias("l2"))
-    share = lambda x, t: F.when(F.coalesce(F.col(t), F.lit(0)) == 0, 0.0).otherwise(F.round(F.try_divide(F.col(x), F.col(t)), 6))
-    counts = rows.select(id_col, F.size("_b").cast("long").alias("tokens_before"), F.size("_a").cast("long").alias("tokens_after"))
-    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return counts.join(sums, id_col, "left").select(
-        id_col, "tokens_before", "tokens_after", whole("t5").alias("windows"), whole("l5").alias("lost"), share("l5", "t5").alias("lost_share"),
-        share("l2", "t2").alias("bigram_share"),
-    )
+
+    names = ("tokens_before", "tokens_after", "windows", "lost", "bigrams", "gone")
+
+    @F.arrow_udf(", ".join(f"{n} long" for n in names))
+    def measure(old: pa.Array, new: pa.Array) -> pa.Array:
+        rows = []
+        for at in range(0, len(old), SLICE):
+            for a, b in zip(old.slice(at, SLICE).to_pylist(), new.slice(at, SLICE).to_pylist()):
+                x, y = tokenised(a or ""), tokenised(b or "")
+                rows.append(dict(zip(names, (len(x), len(y), *lost_windows(x, y, 5), *lost_windows(x, y, 2)))))
+        return pa.array(rows, pa.struct([(n, pa.int64()) for n in names]))
+
+    made = pairs.select(F.col(f"`{id_col}`"), once(measure)(F.col(before), F.col(after)).alias("m")).select(id_col, "m.*")
+    share = lambda x, t: F.coalesce(F.round(F.try_divide(F.col(x), F.col(t)), 6), F.lit(0.0))
+    return made.select(id_col, *names[:4], share("lost", "windows").alias("lost_share"), share("gone", "bigrams").alias("bigram_share"))

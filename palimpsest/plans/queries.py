@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
+from ..functions.tables import spread
 from ..functions.text import line_skeleton, newline_kind
 from ..operators import blocks, diff, engine, formats, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", injected(F.col("doc_id"), F.col("text")).alias("text"))
 
 
+#: Literals of a rule up to which Catalyst's regular expressions count them.
+FEW_WORDS = 16
+
+
 def name_of(rule_id: str) -> str:
     return "rule_" + rule_id.replace(".", "_").replace("-", "_")
 
@@ -35,7 +40,9 @@ def name_of(rule_id: str) -> str:
 def _rule(spark: SparkSession, sf_dir: str, rule: R.Rule, with_text: bool) -> DataFrame:
     """One rule over all documents: in Catalyst if a pattern states it, else by its scanner in one Arrow pass."""
     docs, text = _injected(spark, sf_dir), F.col("text")
-    simple = rule.pattern is not None and rule.scan is None
+    # Alternations of many literals are slow in Java's matcher, which tries each at every place; the engine's automaton
+    # does not.
+    simple = rule.pattern is not None and rule.scan is None and len(rule.words) <= FEW_WORDS
     if simple and not with_text:
         return docs.select("doc_id", engine.native_count(rule, text).alias("n"))
     if simple and isinstance(rule.replace, (str, dict)):
@@ -124,7 +131,7 @@ SELECT doc_id, CASE k WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' WHEN 2 THEN 'cr' ELSE
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
 
 
 def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
