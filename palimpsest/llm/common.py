@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import spread
+
 #: Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -28,8 +30,8 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus through Spark's own reader, so that any store works."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the corpus through Spark's own reader, so that any store works; moderate ones over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
