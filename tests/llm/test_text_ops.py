@@ -142,3 +142,13 @@ def test_personal_data_query_and_mask(spark, tmp_path):
     masked = {r.doc_id: r.text for r in pii.masked(documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(PRIVATE)])).collect()}
     assert masked[10] == "password=[secret]" and masked[13] == "[secret] end"
     assert pii.extracted(documents(spark, [])).count() == 0
+
+
+def test_long_values_are_extracted_to_their_end(spark):
+    sizes = [256, 257, 480, 1000, 100_000]
+    values = [("aZ0_-.9f" * (n // 8 + 1))[: n - 1] + "x" for n in sizes]
+    texts = [f'token = "{v}" end' for v in [*("%040x" % (7**50 + i) for i in range(12)), *values]]
+    docs = documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])
+    spans = {r.doc_id: [(s.s, s.e) for s in r.secret] for r in pii.extracted(docs).collect()}
+    assert [spans[12 + i] for i in range(len(sizes))] == [[(9, 9 + n)] for n in sizes]
+    assert {r.text for r in pii.masked(docs).collect()} == {'token = "[secret]" end'}
