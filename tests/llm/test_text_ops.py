@@ -152,3 +152,20 @@ def test_long_values_are_extracted_to_their_end(spark):
     spans = {r.doc_id: [(s.s, s.e) for s in r.secret] for r in pii.extracted(docs).collect()}
     assert [spans[12 + i] for i in range(len(sizes))] == [[(9, 9 + n)] for n in sizes]
     assert {r.text for r in pii.masked(docs).collect()} == {'token = "[secret]" end'}
+
+
+def test_patterns_around_seeds_in_quotes_spaces_and_prose(spark):
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    name = "AWS_SECRET_ACCESS_KEY_PRODUCTION_EU"
+    forms = ['{"api_key": "%s"}', "'token' => '%s',", "token =   %s", name + "=%s", "now my access code is %s today", "please write to agent %s or wait"]
+    fresh = ["a1b2c3d4e5f6", "xY7-pq90Zr", "q8w7e6r5t4", "Zz19kk28ll37", "7f3kQ9zLp2", "agent47-x9"]
+    rows = [f % (f"u{i}@host.example" if "agent" in f else sha(i)) for f in forms for i in range(12)]
+    rows += [f % v for f, v in zip(forms, fresh)]
+    rows += ['{"api_key": "p4$s,w;0rd!"}', "now my access code is s3cr@t%9x today", "nobody said code is boring today", "token =   required"]
+    # A place that plain words share is not a pattern.
+    rows += [f"so it was {w} then" for w in (*map(sha, range(100, 104)), "a1b2c3d4e5f7", *(f"w{chr(97 + k)}" for k in range(8)))]
+    got = {r.doc_id: {rows[r.doc_id][s.s : s.e] for s in r.secret} for r in pii.extracted(documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(rows)])).collect()}
+    at = len(forms) * 12
+    assert [got[at + i] for i in range(6)] == [{v} for v in fresh]
+    assert [got[at + i] for i in range(6, 10)] == [{"p4$s,w;0rd!"}, {"s3cr@t%9x"}, set(), set()]
+    assert not any(got[i] for i in range(at + 10, len(rows)))
