@@ -5,7 +5,7 @@ at no cost and again, copy by copy, at growing cost; each source asks for its qu
 many words of a pattern go to which source; patterns are few, so it is solved on the driver. Within a pattern, every
 document is taken the whole number of times that the flow affords, and one time more in the order of a seeded hash
 until the rest is used up; a document too large for what is left is passed over, a few times, and a last one is chosen
-whose size fits best. The cuts are found by global prefix sums, so a source that holds a third of all rows needs no
+among all that are left, those passed over too, whose size fits best. The cuts are found by global prefix sums, so a source that holds a third of all rows needs no
 task of its own, and selection is a comparison of a row's own hash and size with its pattern's cuts.
 """
 
@@ -171,6 +171,8 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
     stretches: list[list[tuple[int, int, int]]] = [[] for _ in lists]
     # Of each pattern: the hash after which rows are free, what is left to take, and the largest size that may be.
     state = {i: (low, r, high) for i, r in enumerate(rest) if r}
+    # What is still to take when no more fills follow.
+    short: dict[int, int] = {}
     for _ in range(FILLS):
         if not state:
             break
@@ -179,13 +181,16 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
         laid, _ = prefix_sums(fit, ["p", "__rank", "__size"], ["__size"])
         start = F.broadcast(laid.groupBy("p").agg(F.min("before___size").alias("start")))
         inside = F.col("before___size") - F.col("start")
-        past = laid.join(start, "p").filter(inside + F.col("__size") > F.col("left"))
-        found = past.groupBy("p").agg(F.min(F.struct(F.col("__rank").alias("r"), (F.col("left") - inside).alias("left"))).alias("x")).collect()
-        ends = {r["p"]: (r["x"]["r"], r["x"]["left"]) for r in found}
+        past = F.when(inside + F.col("__size") > F.col("left"), F.struct(F.col("__rank").alias("r"), (F.col("left") - inside).alias("left")))
+        found = laid.join(start, "p").groupBy("p").agg(F.min(past).alias("x"), F.sum("__size").alias("fits")).collect()
+        ends = {r["p"]: (r["x"]["r"], r["x"]["left"]) for r in found if r["x"]}
+        fits = {r["p"]: r["fits"] for r in found}
         then = {}
         for i, (after, left, most) in state.items():
             if i not in ends:  # all that is free fits
                 stretches[i].append((after, high, most))
+                if left > fits.get(i, 0):
+                    short[i] = left - fits.get(i, 0)
                 continue
             upto, left = ends[i]
             stretches[i].append((after, upto, most))
@@ -193,12 +198,16 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
                 then[i] = (upto, left, left)
         state = then
     extra: dict[int, int] = {}
-    if state:
-        info = F.broadcast(spark.createDataFrame([(i, v[0], v[1]) for i, v in state.items()], "p int, after long, left long"))
-        gap = F.abs(F.col("__size") - F.col("left"))
+    short |= {i: left for i, (_, left, _) in state.items()}
+    if short:
+        kind = "p int, left long, taken array<struct<a:long,b:long,most:long>>"
+        info = F.broadcast(spark.createDataFrame([(i, left, stretches[i]) for i, left in short.items()], kind))
+        rank, size = F.col("__rank"), F.col("__size")
+        free = ~F.exists("taken", lambda s: (rank >= s["a"]) & (rank < s["b"]) & (size <= s["most"]))
+        gap = F.abs(size - F.col("left"))
         best = (
-            lean.join(info, "p").filter((F.col("__rank") >= F.col("after")) & (gap < F.col("left")))
-            .groupBy("p").agg(F.min(F.struct(gap.alias("g"), F.col("__rank").alias("e"))).alias("x")).collect()
+            lean.join(info, "p").filter(free & (gap < F.col("left")))
+            .groupBy("p").agg(F.min(F.struct(gap.alias("g"), rank.alias("e"))).alias("x")).collect()
         )
         extra = {r["p"]: r["x"]["e"] for r in best}
     return [Cut(w, tuple(stretches[i]), extra.get(i)) for i, w in enumerate(whole)]

@@ -144,3 +144,14 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert abs(taken[s] - t) <= 130, (s, t, taken[s])
     mix = mixing.mixed(docs)
     assert mix.columns == docs.columns and mix.count() > 0
+
+
+def test_a_very_long_document_passed_over_can_still_be_the_last(spark):
+    # 550 words in small documents, one of 400, 50 more behind it: 900 are asked for; 1,000 are nearer than 600.
+    sizes = [10] * 55 + [400] + [10] * 5
+    rows = spark.createDataFrame([(["a"], n, i) for i, n in enumerate(sizes)], "__members array<string>, __size long, __rank long").repartition(3)
+    for rest, want in ((900, 1000), (600, 600), (700, 600), (1000, 1000), (560, 560)):
+        cut = mixing._cuts(spark, rows, [[["a"], 1000]], [0], [rest])[0]
+        made = mixing.Plan([(["a"], cut)], {}, {}, [])
+        got = mixing.copies_column(rows, made).collect()
+        assert sum(r["__size"] * r["__copies"] for r in got) == want and max(r["__copies"] for r in got) == 1
