@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tables import spread
-
 #: Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -30,15 +29,21 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus through Spark's own reader, so that any store works; moderate ones over all cores."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A table of the corpus through Spark's own reader, so that any store works."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own only where none is named."""
+    """The folder that spark.checkpoint.dir or the context names, which all executors share.
+
+    Where none is named, a local master gets a temporary folder of its own; on a cluster that would be each machine's
+    own disk, so there an error is raised.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="corpus-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -46,13 +51,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    """
+    """The rows of ``df`` checkpointed to the shared folder, so that lost executors cost no recomputation; partitions and
+    their order stay."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder. Unlike a checkpoint it carries nothing of the plan that made it
+    (constraints, statistics), so rounds that feed on each other keep plans of one size; partitions may change."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and nothing else changed; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

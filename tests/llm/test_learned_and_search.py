@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -121,6 +122,63 @@ def test_levels_of_random_graphs_equal_brute_force(spark):
     assert {(x.conv, x.call): x.level for x in got} == level
 
 
+def test_levels_in_small_blocks_equal_brute_force(spark):
+    """Local needs, far needs and cycles, over blocks so small that needs cross them; ``at`` in order and at random."""
+    r = random.Random(3)
+    rows, needs = [], {}
+    for conv in ("local", "far", "loops", "unplaced"):
+        for i in range(32):
+            own = {max(0, i - r.randrange(1, 4)) for _ in range(r.randrange(3))} - {i}
+            if conv != "local" and i > 2:
+                own |= {r.randrange(32 if conv == "loops" and r.random() < 0.1 else i)} - ({i} if conv != "loops" else set())
+            needs[conv, str(i)] = {(conv, str(n)) for n in own}
+            at = r.randrange(32) if conv == "unplaced" else i
+            rows += [(conv, at, str(i), str(n)) for n in own] + [(conv, at, str(i), None)] * 2
+    level, moved = {}, True
+    while moved:
+        new = {k: max((level[n] + 1 for n in v), default=0) for k, v in needs.items() if k not in level and all(n in level for n in v)}
+        level, moved = level | new, bool(new)
+    r.shuffle(rows)
+    got = chat.levels(spark.createDataFrame(rows, "conv string, at long, call string, needs string"), width=9).collect()
+    assert {(x.conv, x.call): x.level for x in got} == {k: level.get(k) for k in needs} and any(x.level is None for x in got)
+
+
+def test_levels_of_a_thousand_consecutive_calls(spark):
+    began = time.time()
+    turns = spark.range(1000).selectExpr("1L conv_id", "id turn", "'user' role", "'x' text")
+    got = chat.levels(chat.from_turns(turns)[2]).collect()
+    assert sorted(r.level for r in got) == list(range(1000)) and time.time() - began < 60
+
+
+def test_levels_without_an_end_raise(spark):
+    rows = [("c", str(i), str(n)) for i in range(40) for n in (i - 1, i - 2) if n >= 0] + [("c", "0", None)]
+    edges = spark.createDataFrame(rows, "conv string, call string, needs string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        chat._by_rounds(edges.selectExpr("conv", "0L at", "call", "needs", "cast(needs is not null as bigint) w"), rounds=3)
+
+
+def test_arguments_of_every_type(spark):
+    tools = {"t": {
+        "n": {"type": "number", "most": 1e6}, "i": {"type": "integer"}, "b": {"type": "boolean"}, "o": {"type": "object"}, "a": {"type": "array", "most": 2},
+        "e": {"type": "string", "one_of": ["x", "y"]},
+    }}
+    made = [
+        '{"n": 1e5, "i": -0, "b": true, "o": {"z": [1.50], "a": null}, "a": [1, 2], "e": "x"}', '{"n": 100000.00}', '{"n": "1e999", "i": "1.5", "b": "yes", "o": "[]", "a": "{}", "e": "z"}',
+        '{"a": [1,2,3], "n": 2e6}', '[1]', '{"n": 1, "n": 2}',
+    ]
+    calls = spark.createDataFrame([("c", str(k), "t", t) for k, t in enumerate(made)], "conv string, call string, tool string, j string")
+    calls = calls.withColumn("args", chat.arguments(F.col("j"))).drop("j")
+    nothing = spark.createDataFrame([], "conv string, call string, content string")
+    edges = spark.createDataFrame([("c", str(k), None) for k in range(len(made))], "conv string, call string, needs string")
+    got = {r.call: r for r in chat.formatted(calls, nothing, edges, tools).collect()}
+    assert got["0"].valid and got["0"].json.startswith('{"arguments":{"a":[1,2],"b":true,"e":"x","i":0,"n":100000,"o":{"a":null,"z":[1.5]}}')
+    assert got["1"].valid and '"n":100000}' in got["1"].json
+    assert got["2"].problems == "a: not an array;b: not a boolean;e: not one of its values;i: not an integer;n: not a number;o: not an object"
+    assert '"n":"1e999"' in got["2"].json and got["3"].problems == "a: above 2;n: above 1000000.0"
+    assert got["4"].problems == got["5"].problems == "no tool or arguments"
+    assert chat.formatted(calls.filter("false"), nothing, edges.filter("false"), tools).count() == 0
+
+
 def test_links_problems_and_canonical_json(spark):
     calls = spark.createDataFrame(
         [("c", "1", "respond", {"turn": "3", "prompt": 'say "hi"\n\\'}), ("c", "2", "respond", {"turn": "x", "prompt": "", "more": "1"}), ("c", "3", "nope", {}), ("c", "4", "configure", None)],
