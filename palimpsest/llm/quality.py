@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +90,12 @@ class Compressors:
 
 
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
-    """A trained dictionary; samples too few or too small for training make up a raw one."""
-    samples = [b for t in texts for b in blocks(t) if b][: settings.blocks]
+    """A trained dictionary; samples too few or too small for training make up a raw one. Beyond ``blocks`` blocks, those
+    of the smallest seeded hash of block and text number are taken, from all texts alike."""
+    samples = [b for t in texts for b in blocks(t) if b]
+    if len(samples) > settings.blocks:
+        order = sorted(range(len(samples)), key=lambda i: (xxhash.xxh64_intdigest(samples[i], i), i))
+        samples = [samples[i] for i in sorted(order[: settings.blocks])]
     if not samples:
         return b""
     try:

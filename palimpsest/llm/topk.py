@@ -3,10 +3,12 @@
 Pivots are drawn by farthest-first choice from a bounded sample. Every vector is keyed by its nearest pivot and its
 distance to it, and the table is laid out in that order, so that neighbouring rows form annuli around a pivot. A
 query's distance to the pivot bounds, by the triangle inequality, its distance to any vector of an annulus, and with
-the annulus' largest norm the inner product. Queries are stated rows, collected in blocks of bounded size; for each
-block one narrow pass over the index visits a partition's annuli from the most promising outwards and leaves out, per
-query, those whose bound is below its tenth best score so far. Partitions' best rows, ten a query at most, are merged
-by an aggregation. The bounds never leave out a row that belongs to the answer, so the result is exact.
+the annulus' largest norm the inner product. The layout is cut into parts of bounded size, each described by its annuli
+of one pivot. Queries are a table too. Each is first searched in the part of its highest bound; its tenth best score
+there, or over the sample, is its bar. It then goes to every other part that holds an annulus whose bound reaches the
+bar, and within a part to the annuli that do, the most promising first; a part returns only rows that reach the bar.
+Rows meet by part number in a shuffle: a task holds one part's vectors and a batch of queries. The bounds never leave
+out a row that belongs to the answer, so the result is exact.
 """
 
 from __future__ import annotations
@@ -15,19 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, read_table
+from .common import durable, read_table, written
 
 PIVOTS = 64
-#: Rows from which pivots are drawn and first thresholds taken.
+#: Rows from which pivots are drawn and first bars taken.
 SAMPLE = 2048
 ANNULUS = 256
-QUERY_BLOCK = 4096
-#: Rows of one index partition, held by a task at a time.
-PART_ROWS = 50_000
+#: Queries compared with a part at a time.
+QUERY_BATCH = 1024
+#: Bytes of the vectors of one part, more only where the index has over MOST_PARTS parts' worth of them: the driver and
+#: each worker hold a description of all parts, some 40 bytes each.
+PART_BYTES = 16 << 20
+MOST_PARTS = 500_000
+#: Different lengths of vectors; each is searched by itself.
+MOST_LENGTHS = 32
 SCALE = 1024
 
 
@@ -64,10 +72,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def index(vectors: DataFrame, pivots: np.ndarray, parts: int) -> DataFrame:
-    """``(vec_id, v, cell, r)`` in order of cell and distance, laid out once in the shared folder."""
+def index(vectors: DataFrame, pivots: np.ndarray, partitions: int, part_rows: int) -> DataFrame:
+    """``(vec_id, v, cell, r, part)`` in order of cell and distance, laid out once in the shared folder; a part is at most
+    ``part_rows`` neighbouring rows."""
     dim = pivots.shape[1]
-    kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,8 +85,16 @@ def index(vectors: DataFrame, pivots: np.ndarray, parts: int) -> DataFrame:
                 r = d[np.arange(len(d)), cell]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(r)], names=["vec_id", "v", "cell", "r"])
 
-    keyed = vectors.mapInArrow(key, f"vec_id {kind}, v array<double>, cell int, r double")
-    return durable(keyed.repartitionByRange(parts, "cell", "r", "vec_id").sortWithinPartitions("cell", "r", "vec_id"))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            part = (TaskContext.get().partitionId() << 32) + (at + np.arange(batch.num_rows)) // part_rows
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int64))], names=["vec_id", "v", "cell", "r", "part"])
+
+    keyed = vectors.mapInArrow(key, "vec_id long, v array<double>, cell int, r double")
+    laid = keyed.repartitionByRange(partitions, "cell", "r", "vec_id").sortWithinPartitions("cell", "r", "vec_id")
+    return durable(laid.mapInArrow(number, "vec_id long, v array<double>, cell int, r double, part long"))
 
 
 class _Best:
@@ -102,92 +118,170 @@ class _Best:
             self.score[q], self.id[q] = both[order], names[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = QUERY_BLOCK) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, sample: int = SAMPLE, part_rows: int | None = None
+) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query row its k best rows of ``vectors`` by inner product.
 
-    Both frames have ``vec_id`` (a long) and ``v`` (array of double, whole numbers). A query's own row, that of its id,
-    is no candidate; ties go to the smaller id. Vectors of another length than most in the sample take no part.
-    Fewer rows than k: all. Repeated query ids are searched once.
+    Both frames have ``vec_id`` (a long) and ``v`` (array of double, whole numbers). Rows of a query's own id are no
+    candidates; ties go to the smaller id. Rows without an id take no part. Vectors meet those of their own length
+    only, over MOST_LENGTHS lengths raise an error. Fewer rows than k: all. Repeated query ids are searched once.
     """
     spark = vectors.sparkSession
+    named = vectors.filter("vec_id is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
+    lengths = named.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LENGTHS + 1).collect()
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of over {MOST_LENGTHS} lengths")
+    asked = queries.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").dropDuplicates(["vec_id"])
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in sorted(lengths, key=lambda r: r["dim"]):
+        same = F.size("v") == r["dim"]
+        out = out.union(_search(named.filter(same), asked.filter(same), r["dim"], r["n"], k, pivots, sample, part_rows))
+    return out
+
+
+def _search(vectors: DataFrame, asked: DataFrame, dim: int, rows: int, k: int, pivots: int, sample: int, part_rows: int | None) -> DataFrame:
+    """``search`` among vectors of one length."""
+    spark = vectors.sparkSession
     draw = vectors.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(sample).collect()
-    out = "query_id long, vec_id long, score long"
-    if not draw:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lengths = [len(r["v"]) for r in draw]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    known = np.array([r["v"] for r in draw if len(r["v"]) == dim])
-    known_ids = np.array([r["vec_id"] for r in draw if len(r["v"]) == dim], np.int64)
+    known = np.array([r["v"] for r in draw])
+    known_ids = np.array([r["vec_id"] for r in draw], np.int64)
     centres = choose_pivots(known, pivots)
-    vectors = vectors.filter(F.size("v") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-    rows = vectors.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
-    laid = index(vectors, centres, parts)
-    asked = durable(queries.filter(F.size("v") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "v").dropDuplicates(["vec_id"]))
-    n = asked.count()
-    pieces = max(1, -(-n // block))
-    found = None
-    for piece in range(pieces):
-        # A block of about ``block`` queries: bounded, whatever the number of all queries.
-        got = asked.filter(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(pieces)) == piece).collect()
-        if not got:
-            continue
-        names = np.array([r["vec_id"] for r in got], np.int64)
-        q = np.array([r["v"] for r in got])
-        first = q @ known.T
-        first[names[:, None] == known_ids[None, :]] = -np.inf
-        floor = np.full(len(q), -np.inf)
-        if first.shape[1] >= k:
-            floor = -np.partition(-first, k - 1, axis=1)[:, k - 1]
-        part = laid.mapInArrow(_visitor(q, names, floor, centres, dim, k), out)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _visitor(q: np.ndarray, names: np.ndarray, floor: np.ndarray, centres: np.ndarray, dim: int, k: int):
-    near = _distances(q, centres)
-    norm = (q * q).sum(1)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_rows = part_rows or max(ANNULUS, PART_BYTES // (8 * dim), -(-rows // MOST_PARTS))
+    laid = index(vectors, centres, max(shuffles, -(-rows // part_rows)), part_rows)
+    # A row for each part and pivot, which of MOST_PARTS parts is bounded.
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    kept = laid.groupBy("part", "cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max(square).alias("square")).toPandas().sort_values(["part", "cell"])
+    rings = spark.sparkContext.broadcast(tuple(kept[c].to_numpy() for c in ("part", "cell", "lo", "hi", "square")))
+    first = _asked(asked, centres, rings, dim, k, (known, known_ids))
+    near = written(_meet(laid, first, centres, dim, k))
+    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), k, 1).alias("x"))
+    bars = best.select("query_id", F.get("x", F.lit(0)).cast("double").alias("met"))
+    bound = first.select("vec_id", "v", F.col("part").alias("done"), "bar").join(bars, F.col("vec_id") == F.col("query_id"), "left")
+    again = bound.select("vec_id", "v", "done", F.greatest("bar", F.coalesce("met", F.lit(float("-inf")))).alias("bar"))
+    far = _meet(laid, _asked(again, centres, rings, dim, k, None), centres, dim, k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.union(far).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _bounds(near: np.ndarray, norm: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Highest inner product that each query (row) may have in each annulus (column)."""
+    d = near[:, cell]
+    gap = np.maximum(0, np.maximum(d - hi, lo - d))
+    gap = np.maximum(0, gap * (1 - 1e-9) - 1e-6)  # rounding must not cut off an answer
+    return (norm[:, None] + square - gap * gap) / 2 + 1e-3
+
+
+def _asked(queries: DataFrame, centres: np.ndarray, rings, dim: int, k: int, known: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """``(vec_id, v, part, bar)``: queries with the parts that they go to.
+
+    With the sample ``known``: each to its most promising part, the bar from the sample. Without: the queries bring
+    their bar and the part already ``done``, and go to all others whose bound reaches the bar.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, cell, lo, hi, square = rings.value
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, int)
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERY_BATCH // 4):
+                batch = whole.slice(at, QUERY_BATCH // 4)
+                if not batch.num_rows or not len(part):
+                    continue
+                ids, q = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim)
+                near, norm = _distances(q, centres), (q * q).sum(1)
+                # The highest bound of each part, some thousand rings at a time.
+                tops = np.concatenate([_tops(near, norm, cell, lo, hi, square, starts, a) for a in range(0, len(starts), 4096)], axis=1)
+                if known is not None:
+                    scores = q @ known[0].T
+                    scores[ids[:, None] == known[1][None, :]] = -np.inf
+                    bar = np.full(len(q), -np.inf)
+                    if scores.shape[1] >= k:
+                        bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    i, j = np.arange(len(q)), tops.argmax(1)
+                else:
+                    bar = batch.column(3).to_numpy(zero_copy_only=False)
+                    done = batch.column(2).to_numpy(zero_copy_only=False)
+                    i, j = np.nonzero((tops >= bar[:, None]) & (part[starts][None, :] != done[:, None]))
+                for b in range(0, len(i), 10_000):
+                    x, y = i[b : b + 10_000], j[b : b + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[x]), batch.column(1).take(pa.array(x)), pa.array(part[starts][y]), pa.array(bar[x])], names=["vec_id", "v", "part", "bar"]
+                    )
+
+    made = queries.mapInArrow(deal, "vec_id long, v array<double>, part long, bar double")
+    return written(made) if known is not None else made
+
+
+def _tops(near, norm, cell, lo, hi, square, starts, a: int) -> np.ndarray:
+    some = starts[a : a + 4096]
+    end = starts[a + 4096] if a + 4096 < len(starts) else len(cell)
+    at = slice(some[0], end)
+    return np.maximum.reduceat(_bounds(near, norm, cell[at], lo[at], hi[at], square[at]), some - some[0], axis=1)
+
+
+def _meet(laid: DataFrame, asked: DataFrame, centres: np.ndarray, dim: int, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best rows of each part, k at most, for each query sent to it."""
+    none = F.lit(None)
+    both = laid.select("part", F.lit(0).alias("kind"), "vec_id", "v", "cell", "r", none.cast("double").alias("bar")).union(
+        asked.select("part", F.lit(1).alias("kind"), "vec_id", "v", none.cast("int").alias("cell"), none.cast("double").alias("r"), "bar")
+    )
+    ready = both.repartition("part").sortWithinPartitions("part", "kind", "cell", "r", "vec_id")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mats, cells, radii = [], [], [], []
+        held: list[pa.RecordBatch] = []
+        now, made = None, None
         for batch in batches:
-            if batch.num_rows:
-                ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-                mats.append(_matrix(batch.column(1), dim))
-                cells.append(batch.column(2).to_numpy(zero_copy_only=False))
-                radii.append(batch.column(3).to_numpy(zero_copy_only=False))
-        if not ids:
-            return
-        i, x, cell, r = (np.concatenate(p) for p in (ids, mats, cells, radii))
-        size = (x * x).sum(1)
-        cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
-        rings = [(a, min(a + ANNULUS, hi)) for lo, hi in zip([0, *cuts], [*cuts, len(i)]) for a in range(lo, hi, ANNULUS)]
-        bounds = np.empty((len(rings), len(q)))
-        for n, (a, b) in enumerate(rings):
-            d = near[:, cell[a]]
-            gap = np.maximum(0, np.maximum(d - r[b - 1], r[a] - d))
-            gap = np.maximum(0, gap * (1 - 1e-9) - 1e-6)  # rounding must not cut off an answer
-            bounds[n] = (norm + size[a:b].max() - gap * gap) / 2 + 1e-3
-        best = _Best(len(q), k, floor)
+            part, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            if not len(part):
+                continue
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                if part[lo] != now:
+                    held, now, made = [], part[lo], None
+                if not kind[lo]:
+                    held.append(batch.slice(lo, hi - lo))
+                    continue
+                made = made or _Part(held, dim)
+                held = []
+                for at in range(lo, hi, QUERY_BATCH):
+                    piece = batch.slice(at, min(QUERY_BATCH, hi - at))
+                    yield made.best(piece.column(2).to_numpy(zero_copy_only=False), _matrix(piece.column(3), dim), piece.column(6).to_numpy(zero_copy_only=False), centres, k)
+
+    return ready.mapInArrow(visit, "query_id long, vec_id long, score long")
+
+
+class _Part:
+    """One part's vectors in order of pivot and distance, with its annuli."""
+
+    def __init__(self, held: list[pa.RecordBatch], dim: int) -> None:
+        self.ids, self.cells, radii = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (2, 4, 5))
+        self.x = np.concatenate([_matrix(b.column(3), dim) for b in held])
+        size = (self.x * self.x).sum(1)
+        cuts = (np.flatnonzero(self.cells[1:] != self.cells[:-1]) + 1).tolist()
+        self.rings = [(a, min(a + ANNULUS, hi)) for lo, hi in zip([0, *cuts], [*cuts, len(self.ids)]) for a in range(lo, hi, ANNULUS)]
+        self.cell = np.array([self.cells[a] for a, _ in self.rings], int)
+        self.lo, self.hi = np.array([radii[a] for a, _ in self.rings]), np.array([radii[b - 1] for _, b in self.rings])
+        self.square = np.array([size[a:b].max() for a, b in self.rings])
+
+    def best(self, names: np.ndarray, q: np.ndarray, bar: np.ndarray, centres: np.ndarray, k: int) -> pa.RecordBatch:
+        bounds = _bounds(_distances(q, centres), (q * q).sum(1), self.cell, self.lo, self.hi, self.square).T
+        best = _Best(len(q), k, bar)
         for n in np.argsort(-bounds.max(1), kind="stable"):
             live = np.flatnonzero(bounds[n] >= best.bar())
             if not len(live):
                 continue
-            a, b = rings[n]
-            order = np.argsort(i[a:b], kind="stable")
-            scores = q[live] @ x[a:b][order].T
-            scores[names[live][:, None] == i[a:b][order][None, :]] = -np.inf
-            best.add(live, scores, i[a:b][order])
+            a, b = self.rings[n]
+            order = np.argsort(self.ids[a:b], kind="stable")
+            ids = self.ids[a:b][order]
+            scores = q[live] @ self.x[a:b][order].T
+            scores[names[live][:, None] == ids[None, :]] = -np.inf
+            best.add(live, scores, ids)
         at, place = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(names[at]), pa.array(best.id[at, place]), pa.array(best.score[at, place].astype(np.int64))], names=["query_id", "vec_id", "score"]
         )
 
-    return visit
-
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the ten best of every vector whose id is divisible by 100."""
@@ -201,7 +295,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -17,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SLICE_ROWS, alnum_words, read_table
 
+#: Bytes of the texts of one class that are learnt from.
+SAMPLE_BYTES = 16 << 20
 #: Hash space of the features; the weights of executors hold the non-zero ones only.
 BITS = 20
 
@@ -27,7 +30,8 @@ BITS = 20
 @dataclass(frozen=True)
 class Settings:
     """Of the training. ``rows`` bounds the sample of each class, ``chars`` the length of the texts learnt from (longer
-    labelled texts are scored like any other but not learnt from), so the sample's size has a proven bound."""
+    labelled texts are scored like any other but not learnt from), SAMPLE_BYTES their sum, so that the driver holds at
+    most 32 MB of texts and about 100 MB of features of four bytes, four to a word."""
 
     rows: int = 4000
     chars: int = 12_000
@@ -63,7 +67,7 @@ def features(text: bytes | None) -> np.ndarray:
     """Hashed features, repeats included; none for an empty or null text."""
     words = alnum_words(text)
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     with np.errstate(over="ignore"):
         h = (np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)) * _K[0]
         h ^= h >> np.uint64(29)
@@ -73,7 +77,7 @@ def features(text: bytes | None) -> np.ndarray:
         if len(words) > 2:
             parts.append((h[:-2] * _K[2] + h[2:]) * _K[3])
             parts.append(((h[:-2] * _K[1] + h[1:-1]) * _K[3] + h[2:]) * _K[2])
-        return (np.concatenate(parts) >> _SHIFT).astype(np.int64)
+        return (np.concatenate(parts) >> _SHIFT).astype(np.int32)
 
 
 def _sigmoid(x):
@@ -149,32 +153,34 @@ def score_text(text: bytes | None, dense: np.ndarray, model: Model) -> float:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, target: str, rows: int, chars: int, learn=None, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", most_bytes: int = SAMPLE_BYTES,
 ) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts of each class, of at most ``chars`` code points, in a seeded order of ids.
+    """At most ``rows`` labelled texts of each class, of at most ``chars`` code points each and ``most_bytes`` together, in
+    a seeded order of ids.
 
-    Labels other than 0 and 1, null ids and rows that ``learn`` (a predicate of the id column) leaves out take no part.
-    Text for the sampled ids is fetched by a second, selective join, so that texts of unsampled rows are not shuffled.
+    Labels other than 0 and 1, null ids, ids with both labels and rows that ``learn`` (a predicate of the id column)
+    leaves out take no part; of several texts of one id the least is taken. Both classes are chosen in one pass over ids
+    and sizes, a ranking that partitions prune before the exchange, and the chosen ids' texts are fetched by a second,
+    selective join, so that texts of unsampled rows are not shuffled.
     """
-    key = F.col(f"`{id_col}`")
+    key, body = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     lab = labels.select(key.alias("id"), F.col(target).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     if learn is not None:
         lab = lab.filter(learn(F.col("id")))
-    sizes = docs.select(key.alias("id"), F.length(f"`{text_col}`").alias("n")).filter(F.col("n").between(1, chars))
-    ids = lab.join(sizes, "id", "left_semi").dropDuplicates(["id"])
-    chosen = [
-        ids.filter(F.col("y") == k).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows).collect() for k in (0, 1)
-    ]
-    spark = docs.sparkSession
-    pairs = [(r["id"], r["y"]) for part in chosen for r in part]
+    lab = lab.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
+    sizes = docs.select(key.alias("id"), F.length(body).alias("n"), F.octet_length(body).alias("size")).filter(F.col("n").between(1, chars))
+    ids = lab.join(sizes.groupBy("id").agg(F.max("size").alias("size")), "id")
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(11), "id"), "id")
+    first = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    fits = F.sum("size").over(Window.partitionBy("y").orderBy("rank")) <= most_bytes
+    pairs = first.withColumn("fits", fits).filter("fits").select("id", "y").collect()
     if not pairs:
         return []
     # At most 2 * rows identifiers: a broadcast of proven size.
-    small = spark.createDataFrame(pairs, f"id {lab.schema['id'].dataType.simpleString()}, y int")
-    text = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.length(f"`{text_col}`").alias("n"))
-    got = text.filter(F.col("n").between(1, chars)).join(F.broadcast(small), "id").select("id", "text", "y").collect()
-    unique = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], bytes(r["text"])), reverse=True)}
-    return [(bytes(r["text"]), r["y"]) for _, r in sorted(unique.items())]
+    small = F.broadcast(docs.sparkSession.createDataFrame(pairs, f"id {lab.schema['id'].dataType.simpleString()}, y int"))
+    text = docs.select(key.alias("id"), body.cast("binary").alias("text"), F.length(body).alias("n"))
+    got = text.filter(F.col("n").between(1, chars)).join(small, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return [(bytes(r["text"]), r["y"]) for r in sorted(got.collect(), key=lambda r: r["id"])]
 
 
 def train(

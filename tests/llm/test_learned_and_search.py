@@ -93,11 +93,44 @@ def test_search_in_blocks_and_small_tables(spark):
     rng = np.random.default_rng(4)
     vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(-50, 50, 4)]) for i in range(40)], "vec_id long, v array<double>")
     whole = sorted(map(tuple, topk.search(vectors, vectors).collect()))
-    assert whole == sorted(map(tuple, topk.search(vectors, vectors, block=7, sample=5, pivots=3).collect())) and len(whole) == 400
+    assert whole == sorted(map(tuple, topk.search(vectors, vectors, part_rows=7, sample=5, pivots=3).collect())) and len(whole) == 400
     few = vectors.filter("vec_id < 3")
     assert topk.search(few, few).count() == 6 and topk.search(few.filter("false"), few).count() == 0
 
 
+def test_search_of_several_lengths_without_ids_and_with_tied_ids(spark):
+    rng = np.random.default_rng(6)
+    data = [(i if i % 9 else None, [float(x) for x in rng.integers(-9, 9, 3 if i % 3 else 5)]) for i in range(120)]
+    data += [data[1], data[1], (data[2][0], data[4][1]), (7000, [])]
+    vectors = spark.createDataFrame(data, "vec_id long, v array<double>")
+    got = {}
+    for r in topk.search(vectors, vectors.filter("vec_id % 10 = 0 or vec_id is null"), part_rows=11).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for q, v in data:
+        if q is not None and q % 10 == 0 and v:
+            want = sorted((-int(np.dot(v, u)), i) for i, u in data if i is not None and i != q and len(u) == len(v))[:10]
+            assert sorted(got.pop(q)) == want
+    assert not got
+    with pytest.raises(ValueError, match="lengths"):
+        topk.search(spark.range(40).selectExpr("id vec_id", "array_repeat(1D, int(id) + 1) v"), vectors)
+
+
+def test_far_parts_are_left_out_and_return_only_rows_that_reach_the_bar(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(x) for x in np.floor(np.eye(8)[i % 8] * 1000 + rng.normal(scale=9, size=8))]) for i in range(4000)]
+    vectors = spark.createDataFrame(data, "vec_id long, v array<double>")
+    centres = topk.choose_pivots(np.array([v for _, v in data[:200]]), 16)
+    laid = topk.index(vectors, centres, 4, 250)
+    parts = laid.select("part").distinct().count()
+    kept = laid.groupBy("part", "cell").agg(F.min("r"), F.max("r"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).toPandas().sort_values(["part", "cell"])
+    rings = spark.sparkContext.broadcast(tuple(kept[c].to_numpy() for c in kept.columns))
+    some = vectors.filter("vec_id < 80")
+    first = topk._asked(some, centres, rings, 8, 10, (np.array([v for _, v in data[:200]]), np.arange(200)))
+    again = topk._asked(first.select("vec_id", "v", "part", "bar"), centres, rings, 8, 10, None)
+    assert first.count() == 80 and again.count() < 80 * parts / 2
+    assert topk._meet(laid, first, centres, 8, 10).groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 10
+
+
 def test_levels_order_calls_and_leave_cycles_out(spark):
     edges = spark.createDataFrame(
         [("c", "a", None), ("c", "b", "a"), ("c", "d", "b"), ("c", "d", "a"), ("c", "e", "missing"), ("c", "x", "y"), ("c", "y", "x"), ("c", "z", "y"), (None, "q", None)],
