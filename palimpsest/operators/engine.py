@@ -212,6 +212,17 @@ def report(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def report_of(made: DataFrame, keys: Sequence[str] = (), report_col: str = "report") -> DataFrame:
+    """``report`` from ``cleaned`` documents: their tallies are one list of (rule, applied, flagged), so texts are cleaned once."""
+    none = F.lit(0).cast("long")
+    entries = lambda name: F.map_entries(F.coalesce(F.col(f"{report_col}.{name}"), F.create_map().cast("map<string,bigint>")))
+    row = lambda rule, applied, flagged: F.struct(rule.alias("rule_id"), applied.alias("applied"), flagged.alias("flagged"))
+    tallies = F.concat(
+        F.transform(entries("applied"), lambda e: row(e["key"], e["value"], none)), F.transform(entries("flagged"), lambda e: row(e["key"], none, e["value"]))
+    )
+    return made.select(*keys, F.inline(tallies)).groupBy(*keys, "rule_id").agg(F.sum("applied").alias("applied"), F.sum("flagged").alias("flagged"))
+
+
 # --- single rules as Catalyst expressions ----------------------------------------------------------------------------
 
 

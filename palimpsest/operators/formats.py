@@ -12,15 +12,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.markup import FRONT_MATTER, READERS, html_tokens
+from ..sources.markup import FRONT_MATTER, READERS, html_tokens, markdown_links, markdown_skeleton
 from . import literals as lit
 from .engine import SLICE, Detector, _tally, once, resolved
-
-_WHITE = regex.compile(r"\s+")
-
+from .rules import BLOCK_BEGIN, BLOCK_END, between
+from .urls import cleaned_url
 
 def skeleton(source: str, kind: str) -> str:
-    """What cleaning must keep: the number of lines, and of HTML every tag as it stands."""
+    """What cleaning must keep: the number of lines; of HTML every tag as it stands, of Markdown every mark."""
+    if kind == "markdown":
+        return markdown_skeleton(source)
     lines = f"lines={source.count(chr(10)) + 1}"
     if kind != "html":
         return lines
@@ -59,41 +60,68 @@ def escaped(text: str) -> str:
 # --- container findings ----------------------------------------------------------------------------------------------
 
 _ATTRIBUTE = regex.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_COMMENT = regex.compile(r"(?s)<!--(.*?)-->")
-_BLOCK = regex.compile(r"(?s)-----BEGIN C2PA MANIFEST-----\s*(\S.*?)-----END C2PA MANIFEST-----")
-_STARTS = ("generated by ", "generated with ", "created by ", "created with ", "exported from ")
-_META = frozenset("ai-generated ai_generated ai-content-declaration ai-model llm-model c2pa c2pa:manifest dcterms:provenance".split())
-_NAMING = frozenset("generator author created_by created-by tool source".split())
+_FENCED = regex.compile(r"^\s*+(?:```|~~~)")
+_LABELLED = regex.compile(r"^\s*+(?:[-*+] |[0-9]++[.)] )\*\*(?=[^*]*\S)((?:(?!\*\*)[^`]){1,80})\*\*(?=$|[:. \u2014-])")
+#: What a provenance block may hold, behind marks of comment lines.
+_PAYLOAD = ("data:application/c2pa", "https://", "http://", "urn:c2pa:")
+_LINE_COMMENT = regex.compile(r"^\s*+#*+(?://)*+(?:--)*+\**+\s*+")
+
+#: Keys and openings that declare provenance, keys that name a tool, openings of a generator's comment.
+META_DECLARES = frozenset(("ai-generated", "ai_generated", "ai-content-declaration", "ai-model", "llm-model", "c2pa", "c2pa:manifest", "dcterms:provenance"))
+META_NAMES = frozenset(("generator", "author", "creator"))
+FRONT_NAMES = frozenset(("generator", "author", "created_by", "created-by", "tool", "source"))
+COMMENT_DECLARES = ("ai-generated", "c2pa:")
+COMMENT_STARTS = ("generated by ", "generated with ", "created by ", "created with ", "exported from ")
+MANIFEST_TYPES = frozenset(("application/c2pa", "application/x-c2pa-manifest-store"))
 
 
 def containers(source: str, kind: str) -> list[dict]:
     """Document-level findings as rows of rule and message."""
-    out = []
-    add = lambda rule, message: out.append({"rule_id": rule, "message": message})
+    out: list[tuple[str, str]] = []
     if kind == "markdown":
         front = FRONT_MATTER.match(source)
-        for line in (front.group().splitlines() if front else []):
-            if message := _front_line(line):
-                add("container.markdown-frontmatter", message)
+        out += [("container.markdown-frontmatter", m) for line in (front.group().splitlines() if front else []) if (m := _front_line(line))]
+        out += [(TRACKED, "a link's target carries a provider's parameter") for url in markdown_links(source) if cleaned_url(url) is not None]
         source = source[front.end() :] if front else source
+        out += _markdown_habits(source)
     if kind == "html":
         for k, _, _, m in html_tokens(source):
             if k == "tag" and m.group(2) and not m.group(1):
-                tag, attrs = m.group(2).lower(), {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m.group(3))}
-                if tag == "link" and "c2pa-manifest" in attrs.get("rel", "").lower().split():
-                    add("container.c2pa-manifest", "link to a provenance manifest")
-                elif tag == "script" and attrs.get("type", "").lower() in ("application/c2pa", "application/x-c2pa-manifest-store"):
-                    add("container.c2pa-manifest", "embedded provenance manifest")
-                elif tag == "meta" and (message := _meta(attrs)):
-                    add("container.html-ai-metadata", message)
+                attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m.group(3))}
+                out += _TAGS.get(m.group(2).lower(), lambda _: ())(attrs)
     if kind in ("html", "markdown"):
-        for m in _COMMENT.finditer(source):
-            if message := _comment(m.group(1).strip()):
-                add("container.html-ai-metadata", message)
-    for m in _BLOCK.finditer(source):
-        if "\n" in m.group():
-            add("container.c2pa-manifest", "structured provenance block")
-    return out
+        comments = (source[s + 4 : e - 3].strip() for s, e in between(source, "<!--", "-->"))
+        out += [("container.html-ai-metadata", m) for c in comments if (m := _comment(c))]
+    out += [("container.c2pa-manifest", "structured provenance block") for s, e in between(source, BLOCK_BEGIN, BLOCK_END) if _is_payload(source[s + len(BLOCK_BEGIN) : e - len(BLOCK_END)])]
+    return [{"rule_id": rule, "message": message} for rule, message in out]
+
+
+TRACKED = "markers.ai-tracking-urls.container"
+
+
+def _is_payload(inner: str) -> bool:
+    """A locator or embedded manifest, perhaps within comment lines; prose between the two lines is none."""
+    bare = inner.strip()
+    if not 0 < len(bare.encode()) <= 262_144:
+        return False
+    return "".join(_LINE_COMMENT.sub("", line).strip() for line in bare.splitlines()).startswith(_PAYLOAD)
+
+
+def _markdown_habits(source: str) -> Iterator[tuple[str, str]]:
+    """Trailing white space that holds a tab, and three or more list items in a row that open with a bold label; no code."""
+    fenced, items = False, 0
+    for line in [*source.split("\n"), ""]:
+        line = line.rstrip("\r")
+        fence = bool(_FENCED.match(line))
+        if fence or fenced or not _LABELLED.match(line):
+            if items >= 3:
+                yield "style.list.inline-headers", f"{items} list items in a row with a bold label"
+            items = 0
+        else:
+            items += 1
+        if not fenced and line.strip() and "\t" in line[len(line.rstrip(" \t")) :]:
+            yield "unicode.whitespace-stego", "trailing white space with a tab"
+        fenced ^= fence
 
 
 def _front_line(line: str) -> str | None:
@@ -104,34 +132,46 @@ def _front_line(line: str) -> str | None:
         return None
     if key in lit.PROVENANCE_KEYS and value not in ("false", "no"):
         return f"{key} declares provenance"
-    if key in _NAMING and (tool := next((t for t in lit.FRONT_MATTER_TOOLS if t in value), None)):
-        return f"{key} names {tool}"
-    return None
+    tool = _named(value, lit.FRONT_MATTER_TOOLS) if key in FRONT_NAMES else None
+    return f"{key} names {tool}" if tool else None
 
 
-def _meta(attrs: dict[str, str]) -> str | None:
-    key = next((attrs[a].lower() for a in ("name", "property", "itemprop") if a in attrs), None)
-    content = attrs.get("content", "").lower()
-    if key is None:
-        return None
-    if key in _META:
-        return f"{key} declares provenance"
-    if "trainedalgorithmicmedia" in content:
-        return f"{key} carries a digital source type"
-    if key in ("generator", "author", "creator") and (tool := next((t for t in lit.HTML_TOOLS if t in content), None)):
-        return f"{key} names {tool}"
-    return None
+def _named(text: str, tools) -> str | None:
+    return next((t for t in tools if t in text), None)
+
+
+def _meta(attrs: dict[str, str]) -> Iterator[tuple[str, str]]:
+    keys, content = [attrs[a].lower() for a in ("name", "property", "itemprop") if a in attrs], attrs.get("content", "").lower()
+    tool = _named(content, lit.HTML_TOOLS)
+    for key in keys[:1]:
+        tests = ((key in META_DECLARES, "declares provenance"), ("trainedalgorithmicmedia" in content, "carries a digital source type"), (tool and key in META_NAMES, f"names {tool}"))
+        yield from [("container.html-ai-metadata", f"{key} {what}") for holds, what in tests if holds][:1]
+
+
+def _link(attrs: dict[str, str]) -> Iterator[tuple[str, str]]:
+    if "c2pa-manifest" in attrs.get("rel", "").lower().split():
+        yield "container.c2pa-manifest", "link to a provenance manifest"
+
+
+def _script(attrs: dict[str, str]) -> Iterator[tuple[str, str]]:
+    if attrs.get("type", "").lower() in MANIFEST_TYPES:
+        yield "container.c2pa-manifest", "embedded provenance manifest"
+
+
+def _anchor(attrs: dict[str, str]) -> Iterator[tuple[str, str]]:
+    if cleaned_url(attrs.get("href", "")) is not None:
+        yield TRACKED, "a link's target carries a provider's parameter"
+
+
+_TAGS = {"meta": _meta, "link": _link, "script": _script, "a": _anchor}
 
 
 def _comment(inner: str) -> str | None:
     low = inner.lower()
-    if not inner or len(inner.encode()) > 280:
+    if not 0 < len(inner.encode()) <= 280:
         return None
-    if low.startswith(("ai-generated", "c2pa:")):
-        return "comment declares provenance"
-    if low.startswith(_STARTS) and (tool := next((t for t in lit.HTML_TOOLS if t in low), None)):
-        return f"comment names {tool}"
-    return None
+    tool = _named(low, lit.HTML_TOOLS) if low.startswith(COMMENT_STARTS) else None
+    return "comment declares provenance" if low.startswith(COMMENT_DECLARES) else f"comment names {tool}" if tool else None
 
 
 _REPORT = (

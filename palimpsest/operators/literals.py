@@ -313,7 +313,7 @@ MEDIA_GENERATORS = (
 
 #: Families of signatures: name, providers, and the rules that find them.
 FAMILIES = (
-    ("openai", 'OpenAI \u2014 ChatGPT, Codex, API', (
+    ("openai", "OpenAI: ChatGPT, Codex", (
         "typo.invisibles.strip", "unicode.spaces.normalize", "markers.citation-artifacts", "markers.citation-brackets",
         "markers.private-use-citations", "markers.private-use-citations.strip", "markers.turn-citations",
         "markers.turn-citations.strip", "markers.citation-brackets.strip", "markers.legacy-citations.strip",
@@ -321,24 +321,24 @@ FAMILIES = (
         "markers.chat-tokens.pattern", "markers.chat-tokens.strip", "markers.tool-calls", "markers.model-identifiers",
         "phrasal.negative-parallelism",
     )),
-    ("anthropic", 'Anthropic \u2014 Claude', (
+    ("anthropic", "Anthropic: Claude", (
         "typo.em-dash.to-comma", "typo.en-dash.to-hyphen", "markers.reasoning-block", "markers.reasoning-trace",
         "markers.agent-trailers", "markers.agent-trailer-lines", "markers.claude-prompt-fingerprint",
         "markers.tool-calls", "markers.model-identifiers", "phrasal.claude-residue", "phrasal.superlative-framing",
     )),
-    ("google", 'Google \u2014 Gemini, NotebookLM, AI Studio, Workspace', (
+    ("google", "Google: Gemini, NotebookLM, Workspace", (
         "typo.invisibles.strip", "unicode.spaces.normalize", "markers.gemini-citations", "markers.gemini-citations.strip",
         "markers.chat-tokens", "markers.chat-tokens.pattern", "phrasal.gemini-affirmations", "phrasal.formal-transitions",
     )),
-    ("meta", 'Meta \u2014 Llama, Meta AI', (
+    ("meta", "Meta: Llama", (
         "markers.chat-tokens", "markers.chat-tokens.strip", "markers.chat-tokens.pattern", "markers.model-identifiers",
         "phrasal.model-self-reference",
     )),
-    ("xai", 'xAI \u2014 Grok', (
+    ("xai", "xAI: Grok", (
         "markers.citation-artifacts", "markers.model-identifiers", "style.emoji.opener", "style.emoji.density",
         "lexical.grok-tics",
     )),
-    ("mistral", 'Mistral AI \u2014 Le Chat, Mistral Large', (
+    ("mistral", "Mistral: Le Chat", (
         "markers.chat-tokens", "markers.tool-calls", "markers.model-identifiers",
     )),
     ("deepseek", "DeepSeek", (
@@ -346,70 +346,68 @@ FAMILIES = (
         "markers.chat-tokens.strip", "markers.chat-tokens.pattern", "markers.reasoning-trace", "markers.reasoning-block",
         "markers.model-identifiers",
     )),
-    ("alibaba", 'Alibaba \u2014 Qwen', (
+    ("alibaba", "Alibaba: Qwen", (
         "typo.fullwidth.normalize", "typo.cjk-punctuation.normalize", "markers.chat-tokens",
         "markers.chat-tokens.pattern", "markers.agent-trailers", "markers.model-identifiers",
     )),
-    ("moonshot", 'Moonshot AI \u2014 Kimi', (
+    ("moonshot", "Moonshot: Kimi", (
         "markers.chat-tokens", "markers.chat-tokens.pattern", "markers.reasoning-block", "markers.model-identifiers",
     )),
-    ("zhipu", 'Zhipu AI \u2014 GLM', (
+    ("zhipu", "Zhipu: GLM", (
         "typo.fullwidth.normalize", "typo.cjk-punctuation.normalize", "markers.chat-tokens",
         "markers.chat-tokens.pattern", "markers.reasoning-trace",
     )),
-    ("microsoft", 'Microsoft \u2014 Copilot (Word, Edge, VS Code)', (
+    ("microsoft", "Microsoft: Copilot", (
         "phrasal.machine-residue", "phrasal.sycophancy", "markers.agent-trailers", "markers.citation-artifacts",
         "structural.markdown-tells", "style.markdown.residue", "style.placeholder.residue",
     )),
-    ("perplexity", 'Perplexity \u2014 Sonar, Comet', (
+    ("perplexity", "Perplexity: Sonar", (
         "markers.citation-artifacts", "phrasal.formal-transitions",
     )),
-    ("amazon", 'Amazon \u2014 Nova', (
+    ("amazon", "Amazon: Nova", (
         "markers.model-identifiers", "phrasal.machine-residue",
     )),
-    ("agentic-coding", 'Agentic coding tools \u2014 Claude Code, Codex CLI, Cursor, Copilot, Devin, \\\n                    Jules, Aider, Windsurf, Gemini CLI', (
+    ("agentic-coding", "coding agents of any provider", (
         "markers.agent-trailers", "markers.agent-trailer-lines", "markers.tool-calls",
         "markers.claude-prompt-fingerprint", "unicode.ansi.strip", "style.emoji.opener", "style.emoji.density",
         "style.markdown.residue", "structural.markdown-tells",
     )),
-    ("chat-ui", 'All chat UIs \u2014 the interface chrome around the answer', (
+    ("chat-ui", "chat pages of any provider", (
         "markers.chat-ui-disclaimer", "markers.chat-ui-disclaimer.strip", "markers.chat-ui-residue",
     )),
-    ("structure", 'All providers \u2014 document shape and formatting habits', (
+    ("structure", "layout habits of any provider", (
         "structural.markdown-tells", "structural.heading-emoji", "style.markdown.residue", "style.emoji.opener",
         "style.emoji.density", "style.heading.title-case", "style.list.inline-headers",
     )),
-    ("encoding", 'All providers \u2014 encoding damage in the delivery path', (
+    ("encoding", "damaged encodings of any provider", (
         "typo.mojibake.repair", "typo.html-entities.decode", "markers.html-tags",
     )),
-    ("unicode", 'All providers \u2014 invisible-character vectors', (
+    ("unicode", "hidden characters of any provider", (
         "typo.invisibles.strip", "unicode.smuggled.strip", "unicode.fillers.strip", "unicode.spaces.normalize",
         "unicode.bidi.strip-overrides", "unicode.bidi.flag", "unicode.confusables.flag", "unicode.controls.strip",
         "unicode.ansi.strip", "unicode.private-use.flag", "unicode.private-use.strip", "unicode.combining.flag",
         "unicode.zero-width.flag", "unicode.zero-width.strip", "unicode.whitespace-stego.flag",
         "unicode.whitespace-stego.strip", "unicode.math-styled.flag", "unicode.math-styled.normalize",
     )),
-    ("typography", 'All providers \u2014 punctuation and typography', (
+    ("typography", "typography of any provider", (
         "typo.quotes.straighten", "typo.ligatures.expand", "typo.ellipsis.expand", "typo.em-dash.to-comma",
         "typo.en-dash.to-hyphen", "typo.hyphens.normalize", "typo.fullwidth.normalize", "typo.cjk-punctuation.normalize",
         "typo.detokenizer.normalize", "style.spacing.detokenized", "style.punctuation.repeated",
     )),
-    ("lexical", 'All providers \u2014 measured excess vocabulary and phrasing', (
+    ("lexical", "vocabulary of any provider", (
         "lexical.overused-verbs", "lexical.overused-nouns", "lexical.inflated-adjectives", "lexical.llm-tics",
         "lexical.hedges", "phrasal.copula-avoidance", "phrasal.negative-parallelism", "phrasal.trailing-participles",
         "phrasal.academic-formulas", "phrasal.marketing-formulas", "phrasal.promotional-puffery",
         "phrasal.professional-disclaimer", "phrasal.rhetorical-pivots", "phrasal.throat-clearing", "phrasal.sycophancy",
         "phrasal.fake-authority", "phrasal.formal-transitions",
     )),
-    ("docx-generators", 'DOCX generator libraries \u2014 python-docx, JS docx, Apache POI, docx4j', (
+    ("docx-generators", "libraries that write Word packages", (
    
     )),
-    ("c2pa-provenance", "C2PA 2.x / Content Credentials & AI container provenance", (
+    ("c2pa-provenance", "provenance manifests (C2PA)", (
         "markers.c2pa-text-manifest", "markers.c2pa-structured-manifest", "markers.c2pa-structured-manifest.strip",
     )),
-    ("statistical-watermarks", 'Statistical token watermarks \u2014 opt-in n-gram window disruption', (
-        "watermark.ngram-disrupt",
-    )),
+    ("statistical-watermarks", "statistical watermarks (measured, never rewritten)", ()),
 )
 
 #: What a generated PDF's metadata may name.

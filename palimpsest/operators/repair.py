@@ -134,11 +134,8 @@ def entities(text: str, level: int) -> Iterator[tuple[int, int, str]]:
     """References once decoded; a doubly encoded one stays, as decoding it once would leave another."""
     at = text.find("&")
     while at >= 0:
-        end = text.find(";", at + 1)
-        if end < 0:
-            return
-        body = text[at + 1 : end]
-        decoded = referenced(body) if body and len(body.encode()) <= REFERENCE else None
+        body, end = _body(text, at + 1)
+        decoded = referenced(body) if body else None
         after = at + 1
         if decoded is not None:
             after = end + 1
@@ -152,7 +149,13 @@ def entities(text: str, level: int) -> Iterator[tuple[int, int, str]]:
         at = text.find("&", after)
 
 
+def _body(text: str, at: int) -> tuple[str, int]:
+    """What stands between ``at`` and the next semicolon, if at most REFERENCE bytes, and the semicolon's place."""
+    end = text.find(";", at, at + REFERENCE + 1)
+    body = text[at:end] if end >= 0 else ""
+    return (body if len(body.encode()) <= REFERENCE else ""), end
+
+
 def _reference_follows(text: str, at: int) -> bool:
-    end = text.find(";", at)
-    body = text[at:end] if end > at else ""
-    return bool(body) and len(body.encode()) <= REFERENCE and referenced(body) is not None
+    body, _ = _body(text, at)
+    return bool(body) and referenced(body) is not None

@@ -8,6 +8,7 @@ text at once.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -204,28 +205,34 @@ _TAIL = regex.compile(f"[{LATIN}{HOMOGLYPH}0-9]*$")
 _HAS_LATIN, _HAS_LOOKALIKE = regex.compile(f"[{LATIN}]"), regex.compile(f"[{HOMOGLYPH}]")
 
 
-def _special_tokens(text: str, level: int) -> Iterator[Found]:
-    """Token-shaped markers that no list knows; the search goes on behind a closer even if what it closed is none."""
-    known = [k.lower() for k in (*lit.CHAT_TOKENS, *lit.TOOL_CALLS)]
+def between(text: str, opener: str, closer: str) -> Iterator[tuple[int, int]]:
+    """Stretches from an opener to the next closer, both included, each behind the one before. An opener without a closer
+    ends the search, as no later one has any, so a text of openers is gone through once."""
+    at = text.find(opener)
+    while at >= 0 and (end := text.find(closer, at + len(opener))) >= 0:
+        yield at, end + len(closer)
+        at = text.find(opener, end + len(closer))
+
 
-    def is_known(token: str) -> bool:
-        return token.lower() in known or any(token in k for k in (*lit.CHAT_TOKENS, *lit.TOOL_CALLS))
+#: All listed tokens as one text, and lower-cased ones: what is a part of a listed token or equals one is not reported.
+_LISTED = "\n".join((*lit.CHAT_TOKENS, *lit.TOOL_CALLS))
+_LISTED_LOWER = frozenset(_LISTED.lower().split("\n"))
+_ASCII_INNER = regex.compile(r"[A-Za-z0-9_.-]{1,64}")
+_WIDE_INNER = regex.compile(r"(?=.*[▁_])[^\p{White_Space}\p{Cc}]{1,64}")
 
+
+def _special_tokens(text: str, level: int) -> Iterator[Found]:
+    """Token-shaped markers that no list knows; the search goes on behind a closer even if what it closed is none."""
     found = []
-    for m in _ASCII_TOKEN.finditer(text):
-        if _ASCII_INNER.fullmatch(m.group(1)) and not is_known(m.group()):
-            found.append((*m.span(), None))
-    for m in _WIDE_TOKEN.finditer(text):
-        inner = m.group(1)
-        fits = inner and len(inner) <= 64 and ("▁" in inner or "_" in inner) and not _BLANK.search(inner)
-        if fits and not is_known(m.group()):
-            found.append((*m.span(), None))
+    for opener, closer, inner in (("<|", "|>", _ASCII_INNER), ("｜", "｜", _WIDE_INNER)):
+        for s, e in between(text, opener, closer):
+            # Two marks, 64 characters and no more.
+            token = text[s:e] if e - s <= 70 else ""
+            if inner.fullmatch(token[len(opener) : -len(closer)]) and token not in _LISTED and token.lower() not in _LISTED_LOWER:
+                found.append((s, e, None))
     yield from sorted(found, key=lambda f: f[:2])
 
 
-_ASCII_TOKEN, _ASCII_INNER = regex.compile(r"(?s)<\|(.*?)\|>"), regex.compile(r"[A-Za-z0-9_.-]{1,64}")
-_WIDE_TOKEN, _BLANK = regex.compile("(?s)｜(.*?)｜"), regex.compile(r"[\p{White_Space}\p{Cc}]")
-
 #: One citation identifier: a turn, a kind, a number, and lines of it. A kind or line that goes on is none.
 _TURN = r"turn[0-9]+[a-z]{1,32}(?<![a-z]{33})[0-9]+(?:l[0-9]+(?:-l[0-9]+)?)?"
 TURNS = rf"(?:{_TURN})+(?![A-Za-z0-9_])"
@@ -234,16 +241,22 @@ _TURN_ID, _LINES = regex.compile(TURNS), regex.compile("l[0-9]+(?:-l[0-9]+)?")
 
 
 def _turn_ranges(text: str) -> Iterator[tuple[int, int]]:
-    lower = text.translate(ASCII_LOWER)
-    for m in _TURNS_AT.finditer(lower):
-        s, e = m.span()
-        if not any(_inside(text, s, e, a, b) for a, b in (("\ue200", "\ue201"), ("【", "】"))):
-            yield s, e
+    covers = [_covered(text, a, b) for a, b in (("\ue200", "\ue201"), ("【", "】"))]
+    for m in _TURNS_AT.finditer(text.translate(ASCII_LOWER)):
+        if not any(inside(*m.span()) for inside in covers):
+            yield m.span()
+
 
+def _covered(text: str, opener: str, closer: str) -> Callable[[int, int], bool]:
+    """Whether a range stands between the last opener before it and the first closer behind that opener."""
+    opens, closes = ([m.start() for m in regex.finditer(c, text)] for c in (opener, closer))
 
-def _inside(text: str, s: int, e: int, opener: str, closer: str) -> bool:
-    at = text.rfind(opener, 0, s)
-    return at >= 0 and text.find(closer, at) >= e
+    def inside(s: int, e: int) -> bool:
+        k = bisect_right(opens, s - 1)
+        j = bisect_left(closes, opens[k - 1]) if k else len(closes)
+        return j < len(closes) and closes[j] >= e
+
+    return inside
 
 
 def _turn_citations(replace: str | None):
@@ -253,27 +266,26 @@ def _turn_citations(replace: str | None):
     return scan
 
 
+def _openers(text: str, opener: str, closer: str) -> Iterator[tuple[int, int]]:
+    """Every opener with the first closer behind it, -1 for none; closers are searched once."""
+    end = text.find(closer)
+    for m in regex.finditer(opener, text):
+        if 0 <= end < m.start():
+            end = text.find(closer, m.start())
+        yield m.start(), end
+
+
 def _bracket_citations(text: str, level: int) -> Iterator[Found]:
-    at = text.find("【")
-    while at >= 0:
-        end = text.find("】", at)
-        if end < 0:
-            return
-        inner = text[at + 1 : end]
-        low = inner.translate(ASCII_LOWER)
-        if len(inner) <= 512 and ("†" in inner or any(w in low for w in ("source", "web", "turn", "cite"))):
+    for at, end in _openers(text, "【", "】"):
+        inner = text[at + 1 : end].translate(ASCII_LOWER) if 0 <= end - at - 1 <= 512 else ""
+        if "†" in inner or any(w in inner for w in ("source", "web", "turn", "cite")):
             yield at, end + 1, None
-        at = text.find("【", at + 1)
 
 
 def _bracket_citations_strip(text: str, level: int) -> Iterator[Found]:
-    for m in _BRACKETS.finditer(text):
-        inner = m.group(1)
-        if len(inner) <= 512 and _machine_made(inner.translate(ASCII_LOWER)):
-            yield *m.span(), ""
-
-
-_BRACKETS = regex.compile("(?s)【(.*?)】")
+    for s, e in between(text, "【", "】"):
+        if e - s <= 514 and _machine_made(text[s + 1 : e - 1].translate(ASCII_LOWER)):
+            yield s, e, ""
 
 
 def _machine_made(inner: str) -> bool:
@@ -291,17 +303,17 @@ def _machine_made(inner: str) -> bool:
 
 def _private_citations(strip: bool):
     def scan(text: str, level: int) -> Iterator[Found]:
-        at = text.find("\ue200")
-        while at >= 0:
-            close = text.find("\ue201", at)
-            whole = text[at : close + 1] if close >= 0 else ""
+        behind = 0
+        for at, close in _openers(text, "\ue200", "\ue201"):
+            if at < behind:
+                continue
+            whole = text[at : close + 1] if 0 <= close - at < 512 else ""
             ends = bool(whole) and len(whole.encode()) <= 512 and "\n" not in whole and "\r" not in whole
-            end = close + 1 if ends else at + 1
+            behind = close + 1 if ends else at + 1
             if not strip:
-                yield at, end, None
+                yield at, behind, None
             elif ends and _private_fits(whole[1:-1].split("\ue202")):
-                yield at, end, ""
-            at = text.find("\ue200", end)
+                yield at, behind, ""
 
     return scan
 
@@ -330,21 +342,19 @@ _GEMINI = regex.compile(GEMINI)
 
 
 def _trailer_lines(text: str, level: int) -> Iterator[Found]:
-    lower = text.translate(ASCII_LOWER)
-    found = []
-    for prefix in ("co-authored-by:", "generated-by:", "assisted-by:"):
-        at = lower.find(prefix)
-        while at >= 0:
-            stop = text.find("\n", at)
-            line = text[at : stop if stop >= 0 else len(text)]
-            raw = line.encode()
-            if len(raw) > 200:
-                line = raw[:200].decode(errors="ignore")
-            low = line.translate(ASCII_LOWER)
-            if not any(t in low for t in lit.AGENT_TRAILERS) and any(n in low for n in lit.AGENT_NAMES):
-                found.append((at, at + len(line.rstrip()), None))
-            at = lower.find(prefix, at + max(len(line), len(prefix)))
-    yield from sorted(found, key=lambda f: f[:2])
+    """Trailer lines, of 200 bytes at most, that name an agent and are not listed whole."""
+    behind: dict[str, int] = {}
+    for m in _TRAILER.finditer(text.translate(ASCII_LOWER)):
+        start, line = m.start(), text[m.start() : m.end(1)].encode()[:200].decode(errors="ignore")
+        if start < behind.get(m.group(2), 0):
+            continue
+        behind[m.group(2)] = start + len(line)
+        low = line.translate(ASCII_LOWER)
+        if any(n in low for n in lit.AGENT_NAMES) and not any(t in low for t in lit.AGENT_TRAILERS):
+            yield start, start + len(line.rstrip()), None
+
+
+_TRAILER = regex.compile(r"(?=((co-authored-by:|generated-by:|assisted-by:)[^\n]{0,200}+))")
 
 
 def _reasoning_blocks(text: str, level: int) -> Iterator[Found]:
@@ -371,15 +381,15 @@ _FRAME = regex.compile(f"\ufeff?([{SELECTOR}]+)")
 
 def _provenance_blocks(strip: bool):
     def scan(text: str, level: int) -> Iterator[Found]:
-        for m in _BLOCK.finditer(text):
-            inner = m.group(1).strip()
-            if inner and len(inner.encode()) <= 262_144 and not (strip and ("\n" in m.group() or "\r" in m.group())):
-                yield *m.span(), "" if strip else None
+        for s, e in between(text, BLOCK_BEGIN, BLOCK_END):
+            inner = text[s + len(BLOCK_BEGIN) : e - len(BLOCK_END)].strip()
+            if inner and len(inner.encode()) <= 262_144 and not (strip and ("\n" in text[s:e] or "\r" in text[s:e])):
+                yield s, e, "" if strip else None
 
     return scan
 
 
-_BLOCK = regex.compile("(?s)-----BEGIN C2PA MANIFEST-----(.*?)-----END C2PA MANIFEST-----")
+BLOCK_BEGIN, BLOCK_END = "-----BEGIN C2PA MANIFEST-----", "-----END C2PA MANIFEST-----"
 
 
 def _markdown_residue(text: str, level: int) -> Iterator[Found]:
@@ -401,19 +411,17 @@ def _places(text: str, needle: str) -> Iterator[int]:
 def _placeholders(text: str, level: int) -> Iterator[Found]:
     lower = text.translate(ASCII_LOWER)
     found = []
-    for m in _SQUARE.finditer(lower):
-        inner = m.group(1)
+    for s, e in between(lower, "[", "]"):
+        inner = lower[s + 1 : e - 1] if e - s <= 66 else ""
         bare = inner.strip()
-        if bare and len(inner) <= 64 and "\n" not in inner and "\r" not in inner and (
-            bare.startswith(lit.PLACEHOLDER_OPENERS) or bare in lit.PLACEHOLDER_WHOLE
-        ):
-            found.append((*m.span(), None))
+        if bare and not _BREAK.search(inner) and (bare.startswith(lit.PLACEHOLDER_OPENERS) or bare in lit.PLACEHOLDER_WHOLE):
+            found.append((s, e, None))
     found += [(i, i + 11, None) for i in _places(lower, "lorem ipsum")]
     found += [(*m.span(), None) for m in _MASKED.finditer(text)]
     yield from sorted(found, key=lambda f: f[:2])
 
 
-_SQUARE, _MASKED = regex.compile(r"(?s)\[(.*?)\]"), regex.compile("(?<=[0-9])[-/]XX+")
+_BREAK, _MASKED = regex.compile(r"[\r\n]"), regex.compile("(?<=[0-9])[-/]XX+")
 
 
 def _title_case(text: str, level: int) -> Iterator[Found]:
@@ -501,7 +509,7 @@ CONTROLS = "[" + chars(*CONTROL_POINTS) + "]"
 DETOKENIZER = "\u2581|(?<=[\\x21-\\x7e])[\u0120\u010A](?=[A-Za-z])"
 SMUGGLED = f"[{chars((0xE0000, 0xE00FF), (0xE01F0, 0xE0FFF))}]|(?!\ufe0f\u20e3)(?<![{STYLED_BASE}])[{SELECTOR}]"
 ZERO_WIDTH = f"(?<![{JOINER}])[{JOINER}](?:(?<=[A-Za-z0-9][{JOINER}])(?=[A-Za-z0-9])|(?<=[{HIDDEN}][{JOINER}])|(?=[{HIDDEN}]))"
-STEGO = r"(?<=[^ \t\r\n])[ \t]*\t[ \t]*(?![^\r\n])"
+STEGO = r"(?<=[^ \t\r\n])(?= *+\t)[ \t]++(?![^\r\n])"
 STYLED = f"(?<![{MATH}{LATIN}])[{MATH}]{{2,}}+(?![{LATIN}])"
 LEGACY = r"(?:(?:::)?contentreference)?(?:\[oaicite:[0-9]+\]|\(oaicite:[0-9]+\))(?:\{index=[0-9]+\}|(?!\{index=))"
 DATE_LINE = r"(?:(?<=[\r\n])|(?<!.))Today(?:'s date is ([0-9]{4})/([0-9]{2})/([0-9]{2})|[’ʼʹ]s date is ([0-9]{4})(?:-([0-9]{2})-|/([0-9]{2})/)([0-9]{2}))\.(?![^\r\n])"

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.pack_core import PACK
+
+#: An invisible provenance frame: variation selectors that stand for a magic, a version and a length.
+FRAME = "\ufeff" + "".join(chr(0xFE00 + b) if b < 16 else chr(0xE0100 + b - 16) for b in b"C2PATXT\0\x01\0\0\0\x05hello")
+
 #: One of these is appended to a text, by its id modulo their number; the first adds nothing.
 SNIPPETS = (
     "",
@@ -49,12 +54,37 @@ SNIPPETS = (
     " Tom &amp; Jerry&nbsp;&hellip; &amp;lt; &#8212; itâ€™s",
     " \U0001f680 launch \U0001f680\U0001f680\U0001f680 yes.",
     " -----BEGIN C2PA MANIFEST----- x -----END C2PA MANIFEST-----",
+    "\n-----BEGIN C2PA MANIFEST-----\nhttps://ex.am/m\n-----END C2PA MANIFEST----- and -----BEGIN C2PA MANIFEST-----",
+    " framed" + FRAME + " text",
+    " caf\u00c3\u00a9 it\u00e2\u20ac\u2122s \u00c3\u00bcber \u00c3 x",
+    " <scratchpad> never closed. Hmm, the user wants",
+    " ```thinking\nplan\n``` and `code` and <thinker",
+    " \uff5cbegin_of\u2581x\uff5c \uff5cplain\uff5c <|bad token|> <| x |> <|im_start|",
+    " \U0001f525 a \U0001f525 b \U0001f525! One \U0001f525. two \u2728\u2728",
+    "\n1. **First** a\n2) **Second:** b\n\u2022 **Third**\n- **Fourth:** d\nplain\n- **Fifth:** e",
+    " [cite: ] [cite_x] turnsearch0 turn0search [cite: 12]! \u3010\u65e5\u672c\u3011 \ue200cite\ue202turn1news2\ue201 \ue200open",
+    " utm_source=chatgpt.com alone; http://ex.am/?utm_source=newsletter https://ex.am/a?ref=perplexity",
+    " a \u2014 b\u2014c 3\u20144; x \u2013 y\u2013z",
+    " (oaicite:3){index=2} contentReference[oaicite:x] oaicite:4",
+    *(f" {terms[0]}; x{terms[0]}y, {terms[-1].upper()} and {terms[len(terms) // 2]}" for _, _, terms in PACK),
 )
 
+#: Every 53rd text starts with one of these; every 61st is one of the texts below and nothing else.
+PREFIXES = ("\U0001f680 launch ", "\u2728", "x \U0001f680 ", "  \U0001f525: hot ", "\U0001f4a1\ufe0f idea ", "\U0001f680\U0001f680 ")
+WHOLE = (
+    "The Quick Brown Fox Jumps", "the quick brown fox jumps", "Only Two", " A Tale of Two Cities and a Dog\t", "NASA Was Here Today", "It Is Not A Title.",
+    "Rise of the B Machines", "Title Case Words 2026 Again", "", "  ", "\U0001f680",
+)
+
+
+def _pick(values: tuple[str, ...], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+
 
 def injected(doc_id: Column, text: Column) -> Column:
-    picks = F.array(*[F.lit(s) for s in SNIPPETS])
-    return F.concat(F.coalesce(text, F.lit("")), F.element_at(picks, F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(len(SNIPPETS))).cast("int") + 1))
+    k = F.coalesce(doc_id, F.lit(0)).cast("long")
+    before = F.when(F.pmod(k, F.lit(53)) == 7, _pick(PREFIXES, F.floor(k / 53))).otherwise("")
+    return F.when(F.pmod(k, F.lit(61)) == 9, _pick(WHOLE, F.floor(k / 61))).otherwise(F.concat(before, F.coalesce(text, F.lit("")), _pick(SNIPPETS, k)))
 
 
 def literal(text: str) -> str:
@@ -71,5 +101,8 @@ def literal(text: str) -> str:
 
 def sql() -> str:
     """The table ``docs(doc_id, t)`` as a common table expression."""
-    cases = " ".join(f"WHEN {k} THEN {literal(s)}" for k, s in enumerate(SNIPPETS))
-    return f"docs AS (SELECT doc_id, coalesce(text, '') || (CASE coalesce(doc_id, 0) % {len(SNIPPETS)} {cases} END) AS t FROM documents)"
+    cases = lambda key, values: f"(CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {literal(s)}" for k, s in enumerate(values)) + " END)"
+    k = "coalesce(doc_id, 0)"
+    before = f"(CASE WHEN {k} % 53 = 7 THEN {cases(f'({k} // 53)', PREFIXES)} ELSE '' END)"
+    whole = f"CASE WHEN {k} % 61 = 9 THEN {cases(f'({k} // 61)', WHOLE)} ELSE {before} || coalesce(text, '') || {cases(k, SNIPPETS)} END"
+    return f"docs AS (SELECT doc_id, {whole} AS t FROM documents)"

@@ -43,6 +43,28 @@ def _occurrences(words) -> str:
     return " + ".join(f"(length(l) - length(replace(l, {literal(w)}, ''))) // {len(w)}" for w in dict.fromkeys(words))
 
 
+_SELECTOR = re2((0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
+#: The magic C2PATXT and a zero, byte by byte as variation selectors, a version of 1 or 2, four bytes of length or more.
+FRAME_RE2 = r"\x{FEFF}?\x{E0133}\x{E0122}\x{E0140}\x{E0131}\x{E0144}\x{E0148}\x{E0144}\x{FE00}[\x{FE01}\x{FE02}]" + f"[{_SELECTOR}]{{4,}}"
+BLOCK_RE2 = r"-----BEGIN C2PA MANIFEST-----\s*[^\s\r\n-][^\r\n]*?-----END C2PA MANIFEST-----"
+#: Sequences of two to four bytes that were read as Windows-1252, side by side.
+_TRAIL = re2((0xA0, 0xBF), 0x20AC, 0x201A, 0x192, 0x201E, 0x2026, 0x2020, 0x2021, 0x2C6, 0x2030, 0x160, 0x2039, 0x152, 0x17D, 0x2018, 0x2019, 0x201C, 0x201D,
+             0x2022, 0x2013, 0x2014, 0x2DC, 0x2122, 0x161, 0x203A, 0x153, 0x17E, 0x178)
+DAMAGED_RE2 = f"(?:[\\x{{C2}}-\\x{{DF}}][{_TRAIL}]|[\\x{{E0}}-\\x{{EF}}][{_TRAIL}]{{2}}|[\\x{{F0}}-\\x{{F4}}][{_TRAIL}]{{3}})+"
+HEADER_RE2 = r"^[ \t\r]*(?:(?:[-*•–—] |[0-9]+[.)] ))?\*\*(?:[^*\r\n]|\*[^*\r\n]){1,80}\*\*(?:$|[:. —-])"
+SENTENCE_RE2 = r"""[^.!?\r\n\x{2028}\x{2029}\x{85}]*(?:[.!?]+["')\]”’]*\s*|[\r\n\x{2028}\x{2029}\x{85}]|\z)"""
+_SMALL = ", ".join(f"'{w}'" for w in lit.SMALL_WORDS)
+_BARE = "regexp_replace(t, '^\\s+|\\s+$', '', 'g')"
+#: A short line of three to twelve words, most significant ones capitalised, none in capitals or of one letter.
+TITLE = f"""(SELECT CASE WHEN strlen(b) BETWEEN 1 AND 120 AND NOT regexp_matches(b, '[\\r\\n]|[.!?,;:]$') AND len(w) BETWEEN 3 AND 12
+  AND len(list_filter(g, lambda x: (length(x.l) < 2 AND NOT x.small) OR (length(x.l) > 1 AND NOT regexp_matches(x.l, '\\p{{Ll}}')))) = 0
+  AND len(list_filter(g, lambda x: x.k = 1 OR NOT x.small)) >= 3
+  AND 5 * len(list_filter(g, lambda x: (x.k = 1 OR NOT x.small) AND regexp_matches(x.l, '^\\p{{Lu}}'))) >= 4 * len(list_filter(g, lambda x: x.k = 1 OR NOT x.small))
+  THEN 1 ELSE 0 END FROM (SELECT b, w, list_filter(list_transform(range(1, len(w) + 1), lambda k: {{'k': k, 'l': regexp_replace(w[k], '[^\\p{{L}}]', '', 'g'),
+    'small': lower(regexp_replace(w[k], '[^\\p{{L}}]', '', 'g')) IN ({_SMALL})}}), lambda x: x.l <> '') AS g
+  FROM (SELECT b, string_split_regex(b, '\\s+') AS w FROM (SELECT {_BARE} AS b))))"""
+
+
 def rule_expressions() -> dict[str, tuple[str, str | None]]:
     """Rule id -> (expression of the number of findings, expression of the cleaned text if stated)."""
     from ..operators.rules import builtin
@@ -73,6 +95,8 @@ def rule_expressions() -> dict[str, tuple[str, str | None]]:
     known = "[" + ", ".join(literal(k.lower()) for k in (*lit.CHAT_TOKENS, *lit.TOOL_CALLS)) + "]"
     tokens = (
         f"len(list_filter(regexp_extract_all(t, {literal(r'(?s)<\|.*?\|>')}), lambda x: regexp_full_match(x, {literal(r'<\|[A-Za-z0-9_.-]{1,64}\|>')}) "
+        f"AND len(list_filter({known}, lambda k: contains(k, lower(x)))) = 0)) + "
+        f"len(list_filter(regexp_extract_all(t, '｜[^｜]{{1,64}}｜'), lambda x: regexp_matches(x, '[▁_]') AND NOT regexp_matches(x, '[\\s\\p{{Cc}}]') "
         f"AND len(list_filter({known}, lambda k: contains(k, lower(x)))) = 0))"
     )
     trailers, agents = (
@@ -132,6 +156,20 @@ def rule_expressions() -> dict[str, tuple[str, str | None]]:
         "style.markdown.residue": (f"({count(r'\*\*')} + {count('__')} + {count('~~')} + {count('```')} + {count(r'(?m)^[^\S\n]*#{1,6} ')})", None),
         "style.punctuation.repeated": (count("[!?]{2,}"), None),
         "style.spacing.detokenized": (count(r"[\p{L}\p{N}] [,.!?;:]", spaced), None),
+        "markers.c2pa-text-manifest": (count(FRAME_RE2), f"regexp_replace(t, {literal(FRAME_RE2)}, '', 'g')"),
+        "markers.c2pa-structured-manifest.strip": (count(BLOCK_RE2), f"regexp_replace(t, {literal(BLOCK_RE2)}, '', 'g')"),
+        "markers.ai-tracking-urls.strip": (f"len(list_filter({urls}, lambda u: regexp_matches(rtrim(u, '.,;:!'), {literal(tracked)})))", None),
+        "markers.reasoning-block": (count(f"(?s)(?:{any_of(lit.REASONING_OPENERS)}).*?(?:{any_of(lit.REASONING_CLOSERS)}|\\z)", LOWER), None),
+        "unicode.math-styled.normalize": (f"len(list_filter(regexp_extract_all(t, {literal(f'[{latin}{math}]+')}), lambda w: regexp_full_match(w, {literal(f'[{math}]{{2,}}')})))", None),
+        "typo.mojibake.repair": (count(DAMAGED_RE2), None),
+        "style.heading.title-case": (TITLE, None),
+        "style.list.inline-headers": (
+            f"len(regexp_extract_all(array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, {literal(HEADER_RE2)}) THEN 'y' ELSE 'n' END), ''), 'y{{3,}}'))",
+            None,
+        ),
+        "style.emoji.density": (
+            f"len(list_filter(regexp_extract_all(t, {literal(SENTENCE_RE2)}), lambda x: len(regexp_extract_all(x, {literal(f'[{re2(*R.EMOJI_POINTS)}]')})) >= 3))", None,
+        ),
         "style.placeholder.residue": (
             f"(len(list_filter(regexp_extract_all({LOWER}, {literal(r'\[[^\]]*\]')}), lambda x: length(x) <= 66 AND NOT contains(x, chr(10)) AND regexp_matches(x, {literal(r'^\[\s*(?:insert|your|add |enter|replace|placeholder|todo|tbd|xxx|(?:citation needed|source|link|name|date|title|image|company)\s*\]$)')}))) "
             f"+ {count('lorem ipsum', LOWER)} + {count('[0-9][-/]XX+')})",
@@ -148,18 +186,99 @@ def rule_sql(rule_id: str, expression: tuple[str, str | None]) -> str:
     return f"WITH {sql()}, s AS (SELECT doc_id, t, {LOWER} AS l{extra} FROM docs) SELECT doc_id, CAST({n} AS BIGINT) AS n{more} FROM s"
 
 
+def _smuggled() -> str:
+    """The text without smuggled characters: selectors that style a base or a key cap are set aside meanwhile."""
+    styled = re2((0x2190, 0xD7FF), (0xE000, 0xFDFF), (0xFE10, 0xE00FF), (0xE01F0, 0x10FFFF))
+    aside = f"replace(regexp_replace(t, '([{styled}])\\x{{FE0F}}', '\\1' || chr(1048573), 'g'), chr(65039) || chr(8419), chr(1048573) || chr(8419))"
+    gone = re2(*R.SELECTORS, (0xE0000, 0xE00FF), (0xE01F0, 0xE0FFF))
+    return f"replace(regexp_replace({aside}, '[{gone}]', '', 'g'), chr(1048573), chr(65039))"
+
+
+def _steps(level: int) -> list[tuple[str, str, str]]:
+    """(rule, number of edits, text after them) in an order in which no edit meets what another one has left."""
+    e = rule_expressions()
+    plain = [p for p in R.CONTROL_POINTS if p not in (0xFFFD, (0x0B, 0x0C))]
+    controls = f"regexp_replace(regexp_replace(t, '[\\x0b\\x0c\\x{{85}}]', ' ', 'g'), {literal('[' + re2(*plain) + ']')}, '', 'g')"
+    ansi = r"\x1b\[[\x20-\x3f]*[\x40-\x7e]|\x1b[\]PX^_][^\x07\n\r\x1b]*(?:\x07|\x1b\\)|\x1b(?:[\x20-\x2f]+[\x30-\x7e]|[\x30-\x4f\x51-\x57\x59\x5a\x5c\x60-\x7e])"
+    repaired, decoded = "t", "replace(t, '&amp;lt;', chr(1048573))"
+    for damage, right in (("Ã©", "é"), ("Ã¼", "ü"), ("â€™", "''")):
+        repaired = f"replace({repaired}, '{damage}', '{right}')"
+    for reference, right in (("&amp;", "&"), ("&nbsp;", " "), ("&hellip;", "..."), ("&#8212;", "—")):
+        decoded = f"replace({decoded}, '{reference}', '{right}')"
+    hyphens = f"regexp_replace(regexp_replace(translate(t, {literal(''.join(R.points(*R.HYPHENS)))}, '{'-' * len(R.points(*R.HYPHENS))}'), '([0-9])−', '\\1-', 'g'), '−([0-9])', '-\\1', 'g')"
+    light = [
+        ("markers.c2pa-text-manifest", *e["markers.c2pa-text-manifest"]), ("unicode.smuggled.strip", e["unicode.smuggled.strip"][0], _smuggled()),
+        ("unicode.ansi.strip", e["unicode.ansi.strip"][0], f"regexp_replace(t, {literal(ansi)}, '', 'g')"),
+        ("unicode.controls.strip", f"{e['unicode.controls.strip'][0]} - {held(chr(0xFFFD))}", controls),
+        ("typo.invisibles.strip", *e["typo.invisibles.strip"]), ("markers.claude-prompt-fingerprint", *e["markers.claude-prompt-fingerprint"]),
+    ]
+    maps = ("unicode.fillers.strip", "unicode.spaces.normalize", "unicode.bidi.strip-overrides", "typo.ligatures.expand", "typo.ellipsis.expand")
+    standard = [
+        ("typo.mojibake.repair", e["typo.mojibake.repair"][0], repaired), *((r, *e[r]) for r in maps), ("typo.hyphens.normalize", e["typo.hyphens.normalize"][0], hyphens),
+        ("typo.en-dash.to-hyphen", *e["typo.en-dash.to-hyphen"]), ("typo.quotes.straighten", *e["typo.quotes.straighten"]),
+        ("typo.html-entities.decode", e["typo.html-entities.decode"][0], f"replace({decoded}, chr(1048573), '&amp;lt;')"),
+    ]
+    return light if level == R.LIGHT else [light[0], standard[0], *light[1:], *standard[1:]]
+
+
+def _flags(level: int) -> list[tuple[str, str]]:
+    """(rule, number of its reports) of the rules of a level that only report, without the lexical pack."""
+    e = rule_expressions()
+    quiet = [r for r in R.builtin() if r.level <= level and not r.edits and r.id in e and not r.id.startswith(("lexical.", "phrasal.", "structural."))]
+    return [*((r.id, e[r.id][0]) for r in quiet), ("unicode.controls.strip", held(chr(0xFFFD)))]
+
+
+def _counted(level: int) -> str:
+    """Common table expressions: ``flagged(doc_id, rule_id, n)`` and ``last(doc_id, t, n0, n1, ...)`` after all steps."""
+    steps, parts = _steps(level), [sql()]
+    lexical = lexical_sql([s for s in builtin_specs() if s.level <= level])
+    each = ", ".join(f"CAST({n} AS BIGINT) AS f{k}" for k, (_, n) in enumerate(_flags(level)))
+    parts.append(f"f AS (SELECT doc_id, {each} FROM (SELECT doc_id, t, {LOWER} AS l, string_split(t, '') AS c FROM docs))")
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule_id, f{k} AS n FROM f" for k, (rule, _) in enumerate(_flags(level)))
+    parts.append(f"lex AS ({lexical})")
+    parts.append(f"flagged AS ({rows} UNION ALL SELECT doc_id, rule_id, n FROM lex)")
+    parts.append("x0 AS (SELECT doc_id, t FROM docs)")
+    for k, (_, n, new) in enumerate(steps):
+        before = "".join(f", n{j}" for j in range(k))
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT doc_id{before}, CAST({n} AS BIGINT) AS n{k}, {new} AS t FROM x{k})")
+    parts.append(f"last AS (SELECT * FROM x{len(steps)})")
+    return ", ".join(parts)
+
+
+def clean_sql(level: int) -> str:
+    total = " + ".join(f"n{k}" for k in range(len(_steps(level))))
+    return f"""WITH {_counted(level)}, s AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS flags FROM flagged GROUP BY doc_id)
+SELECT doc_id, {total} > 0 AS changed, {total} AS edits_applied, CAST(coalesce(flags, 0) AS BIGINT) AS flags, md5(t) AS cleaned_md5, CAST(NULL AS VARCHAR) AS error
+FROM last LEFT JOIN s USING (doc_id)"""
+
+
+def report_sql(level: int) -> str:
+    applied = " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, sum(n{k}) AS applied, 0 AS flagged FROM last" for k, (rule, *_) in enumerate(_steps(level)))
+    return f"""WITH {_counted(level)}, rows AS ({applied} UNION ALL SELECT rule_id, 0, sum(n) FROM flagged GROUP BY rule_id)
+SELECT rule_id, CAST(sum(applied) AS BIGINT) AS applied, CAST(sum(flagged) AS BIGINT) AS flagged FROM rows GROUP BY rule_id HAVING sum(applied) + sum(flagged) > 0"""
+
+
+def finding_counts_sql() -> str:
+    """Findings by document and rule at the highest level, conflicts included."""
+    e = rule_expressions()
+    each = ", ".join(f"CAST({n} AS BIGINT) AS f{k}" for k, (n, _) in enumerate(e.values()))
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule_id, f{k} AS n FROM f" for k, rule in enumerate(e))
+    return f"""WITH {sql()}, f AS (SELECT doc_id, {each} FROM (SELECT doc_id, t, {LOWER} AS l, string_split(t, '') AS c FROM docs)),
+lex AS ({lexical_sql(builtin_specs())}) SELECT doc_id, rule_id, n, true AS placed FROM ({rows} UNION ALL SELECT doc_id, rule_id, n FROM lex) WHERE n > 0"""
+
+
 #: Characters that stand in no text, around a match.
 MARK = ("chr(983117)", "chr(983118)")
 
 
-def lexical_sql() -> str:
-    """Leftmost-longest matches stay consumed; each is then kept or not by the characters beside it."""
+def lexical_sql(specs=None) -> str:
+    """A query of ``docs``. Leftmost-longest matches stay consumed; each is then kept or not by the characters beside it."""
     parts = []
-    for s in builtin_specs():
+    for s in builtin_specs() if specs is None else specs:
         marked = f"regexp_replace(l, {literal('(' + any_of(s.targets) + ')')}, {MARK[0]} || '\\1' || {MARK[1]}, 'g')"
         parts.append(f"SELECT doc_id, {literal(s.id)} AS rule_id, string_split({marked}, {MARK[0]}) AS p FROM low")
     word = r"[\p{L}\p{N}]"
-    return f"""WITH {sql()}, low AS (SELECT doc_id, lower(t) AS l FROM docs), pieces AS ({' UNION ALL '.join(parts)}),
+    return f"""WITH low AS (SELECT doc_id, lower(t) AS l FROM docs), pieces AS ({' UNION ALL '.join(parts)}),
 each AS (SELECT doc_id, rule_id, replace(p[i - 1], {MARK[1]}, '') AS before, string_split(p[i], {MARK[1]})[1] AS m,
     CASE WHEN length(string_split(p[i], {MARK[1]})[2]) > 0 THEN string_split(p[i], {MARK[1]})[2] ELSE coalesce(p[i + 1], '') END AS after
   FROM (SELECT doc_id, rule_id, p, unnest(range(2, len(p) + 1)) AS i FROM pieces WHERE len(p) > 1))

@@ -9,19 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
-from ..functions.tables import spread
 from ..functions.text import line_skeleton, newline_kind
 from ..operators import blocks, diff, engine, formats, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
-from . import oracles
+from . import injection, oracles
 from .injection import injected
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +60,19 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.findings(_injected(spark, sf_dir), "aggressive")
 
 
+def _finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by document and rule, and whether each stands where its UTF-8 offsets say."""
+    docs = _injected(spark, sf_dir).select("doc_id", "text", engine.findings_column("aggressive")(F.col("text")).alias("f"))
+    each = docs.select("doc_id", "text", F.inline("f"))
+    start = F.octet_length(F.substring("text", F.lit(1), F.col("start"))) == F.col("byte_start")
+    size = F.octet_length(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("byte_end") - F.col("byte_start")
+    return each.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(start & size & (F.col("start") < F.col("end"))).alias("placed"))
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", injected(F.col("doc_id"), F.col("text")).alias("text"))
     made = engine.cleaned(docs, "standard")
-    applied = made.select(F.explode("report.applied").alias("rule_id", "applied")).withColumn("flagged", F.lit(0).cast("long"))
-    flagged = made.select(F.explode("report.flagged").alias("rule_id", "flagged")).withColumn("applied", F.lit(0).cast("long"))
-    return applied.unionByName(flagged).groupBy("rule_id").agg(F.sum("applied").alias("applied"), F.sum("flagged").alias("flagged"))
+    return engine.report_of(made)
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +137,7 @@ SELECT doc_id, CASE k WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' WHEN 2 THEN 'cr' ELSE
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
 
 
 def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +249,7 @@ def queries() -> dict[str, Query]:
         "clean_standard": partial(_clean, level="standard"),
         "clean_aggressive": partial(_clean, level="aggressive"),
         "findings": _findings,
+        "finding_counts": _finding_counts,
         "report_by_rule": _report,
         "clean_twice": _unchanged,
         "clean_diff": _diff,
@@ -267,7 +274,12 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {name_of(i): oracles.rule_sql(i, e) for i, e in oracles.rule_expressions().items()}
     return out | {
-        "lexical_pack": oracles.lexical_sql(),
+        "lexical_pack": f"WITH {injection.sql()}, lex AS ({oracles.lexical_sql()}) SELECT * FROM lex",
+        "clean_light": oracles.clean_sql(R.LIGHT),
+        "clean_standard": oracles.clean_sql(R.STANDARD),
+        "clean_twice": "SELECT false AS changed, count(*) AS n FROM documents",
+        "report_by_rule": oracles.report_sql(R.STANDARD),
+        "finding_counts": oracles.finding_counts_sql(),
         "stylometry": oracles.STYLOMETRY,
         "ngram_disruption": oracles.ngrams_sql(),
         "newlines": _NEWLINES,

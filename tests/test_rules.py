@@ -1,16 +1,21 @@
 """Rules one by one, pipelines over texts, and invariants."""
 
+import hashlib
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.operators import engine, lexicon, repair, urls
+from palimpsest.operators import engine, formats, lexicon, repair, urls
 from palimpsest.operators import literals as lit
 from palimpsest.operators import rules as R
+from palimpsest.plans import injection
 from palimpsest.plans.injection import SNIPPETS
+from palimpsest.sources import markup
 
+RULES_IN_ORDER = [r.id for r in R.builtin()]
 RULES = {r.id: r for r in R.builtin()}
 DETECTORS = {level: engine.Detector(level) for level in ("light", "standard", "aggressive")}
 
@@ -193,3 +198,55 @@ def test_repair_agrees_with_typography():
     for c, t in repair.level_map(R.AGGRESSIVE).items():
         if c not in "–—―⸺⸻﹘":
             assert clean(c)["cleaned"] == t or t == " "
+
+
+OPENERS = (
+    "<|", "｜", "【", "\ue200", "turn0search0 ", "[", "[cite:", "[cite: ", "-----BEGIN C2PA MANIFEST-----", "&", "&#", "\x1b[",
+    "\x1b]", "\t", " \t x", "co-authored-by: claude ", "http://a?ref=", "<think>", "**", "# ", "😀", "\u0301", "â€",
+    "\ufe0f", "\u200d", "oaicite:", "[oaicite:", "Today's date is ", "- **a", "!", " ,", "2026-XX", "<div", "𝐀", "а", "аa",
+    "delve into the ", "\n", "x ", "\x01", "<!--", "<a \"", "](", "`", "``a", "<", "![",
+)
+
+
+@pytest.mark.parametrize("opener", OPENERS, ids=lambda o: o.encode("unicode_escape").decode())
+def test_time_grows_with_the_text_and_not_with_its_square(opener):
+    """A quarter of a megabyte of an opener that nothing closes, then one closer of every kind: all rules within seconds."""
+    text = opener * (250_000 // len(opener)) + "|>｜】\ue201]-----END C2PA MANIFEST-----;\x07m x"
+    detector = engine.Detector("aggressive")
+    began = time.time()
+    detector.find(text)
+    for kind in ("html", "markdown"):
+        formats.containers(text, kind)
+        list(markup.READERS[kind](text))
+    assert time.time() - began < 12
+
+
+def test_every_rule_is_hit_by_the_injected_texts():
+    texts = [*injection.SNIPPETS, *(p + "text" for p in injection.PREFIXES), *injection.WHOLE]
+    hit = {RULES_IN_ORDER[f[0]] for t in texts for f in DETECTORS["aggressive"].find(t)}
+    assert set(RULES) - hit == set()
+
+
+#: Number of entries and MD5 of the fixed lists, sorted and joined by line ends: a list that changes by accident is noticed.
+FIXED = {
+    "CHAT_TOKENS": (147, "418aeadbaf5219ad4306a554fdbdd599"), "TOOL_CALLS": (34, "1585068e1923b4f6476b80eabeee338e"), "CITATION_ARTIFACTS": (27, "fff32ab4f6ebaa8b11f389d24827a72c"), "AGENT_TRAILERS": (94, "8d31a5edc733bda1f5fbb3c333f450e5"), "AGENT_NAMES": (31, "2d35a9ab2f3d3d5e84e0ac2d77b749a4"), "REASONING_OPENERS": (12, "f86cbd56017b1d041d26ca685294e66d"), "REASONING_CLOSERS": (11, "0060b0d15e8c1ccd4c4ac6783089c60d"),
+    "REASONING_TRACES": (39, "ee43ae466da7f81ac2c8972981098a5c"), "MODEL_IDENTIFIERS": (120, "f866079df23a78ba454090eb0dac17c4"), "UI_DISCLAIMERS": (16, "6ce6bfc68a2993fafecf82700713afec"), "UI_RESIDUE": (27, "a333fbe93593c7b57d9229f1e5bb6e8e"), "HTML_TAGS": (31, "ced252f43193134fc82497a27840883a"), "PROVIDERS": (49, "82b8daecc975124d334bcea44badd270"), "PLACEHOLDER_OPENERS": (9, "c2fa8a3e93aa400101aa1a66c5ebd557"),
+    "PLACEHOLDER_WHOLE": (8, "023558811ca6d274cd3842ba21f74e52"), "SMALL_WORDS": (32, "57293b6e018c4b0e9578f49dc19e361c"), "DECORATION": (35, "4c835566255b3a40485bb67841b0c2af"), "CHAT_TOKENS_REMOVED": (109, "1489102c4c58d03c5f18be24cc236965"),
+}
+
+
+@pytest.mark.parametrize("name", FIXED)
+def test_fixed_lists_are_pinned(name):
+    values = sorted(getattr(lit, name))
+    assert (len(values), hashlib.md5("\n".join(values).encode()).hexdigest()) == FIXED[name]
+
+
+def test_code_points_are_pinned():
+    """Stated by hand from the Unicode charts, apart from the rules' own tables."""
+    classes = {
+        "typo.invisibles.strip": (71, 0x200B, 0xFEFF, 0x00AD, 0x2060, 0x180E), "typo.quotes.straighten": (20, 0x201C, 0x2019, 0x00AB, 0x02BC, 0x00B4),
+        "typo.ellipsis.expand": (3, 0x2026, 0x2025, 0x22EF), "unicode.fillers.strip": (7, 0x3164, 0x2800, 0xFFA0), "unicode.spaces.normalize": (16, 0x2003, 0x3000, 0x2028),
+        "typo.fullwidth.normalize": (94, 0xFF01, 0xFF5E), "typo.cjk-punctuation.normalize": (13, 0x3001, 0x3002, 0x30FB), "unicode.bidi.strip-overrides": (2, 0x202D, 0x202E),
+    }
+    for rule, (size, *some) in classes.items():
+        assert all(chr(c) in RULES[rule].replace for c in some) and len(RULES[rule].replace) == size, (rule, len(RULES[rule].replace))
