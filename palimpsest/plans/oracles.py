@@ -318,3 +318,27 @@ x AS (SELECT doc_id, n, sum(b) AS t, sum(b - least(a, b)) AS l FROM c GROUP BY A
 SELECT doc_id, CAST(len(b) AS BIGINT) AS tokens_before, CAST(len(a) AS BIGINT) AS tokens_after, CAST(coalesce(x5.t, 0) AS BIGINT) AS windows, CAST(coalesce(x5.l, 0) AS BIGINT) AS lost,
   CASE WHEN coalesce(x5.t, 0) = 0 THEN 0.0 ELSE round(CAST(x5.l AS DOUBLE) / x5.t, 6) END AS lost_share, CASE WHEN coalesce(x2.t, 0) = 0 THEN 0.0 ELSE round(CAST(x2.l AS DOUBLE) / x2.t, 6) END AS bigram_share
 FROM w LEFT JOIN (SELECT * FROM x WHERE n = 5) x5 USING (doc_id) LEFT JOIN (SELECT * FROM x WHERE n = 2) x2 USING (doc_id)"""
+
+
+#: Blocks of the pages' markup: text between block tags, an item behind ``li``, a heading behind ``h1`` to ``h6``.
+_BLOCK_ROWS = r"""pieces AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<!--.*?-->', '', 'g'),
+    '<br/?>', ' ', 'g'), '<(/?)(p|div|section|article|main|nav|aside|header|footer|body|html|ul|ol|li|h[1-6])(?:\s[^>]*)?>', chr(1) || '\1\2' || chr(2), 'g'), chr(1)) AS p FROM pages),
+each AS (SELECT page_id, i, string_split(p[i], chr(2))[1] AS tag, string_split(p[i], chr(2))[2] AS body FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM pieces)),
+said AS (SELECT page_id, i, tag, body, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(body, ''), '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM each),
+rows AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS ord, text,
+    CASE WHEN tag = 'li' THEN 'item' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE 'paragraph' END AS kind,
+    CAST(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN substr(tag, 2)::INT ELSE 0 END AS BIGINT) AS level,
+    regexp_matches(body, '^\s*<b>') AS bold, nullif(regexp_extract(body, '<a\s[^>]*href="([^"]*)"', 1), '') AS link FROM said WHERE text <> '')"""
+
+HTML_BLOCKS = f"WITH {_BLOCK_ROWS} SELECT page_id, ord, kind, level, text FROM rows"
+INLINES = f"""WITH {_BLOCK_ROWS} SELECT page_id, ord, CAST(0 AS BIGINT) AS k, text, bold, false AS italic, false AS code, false AS strike, link, CAST(NULL AS VARCHAR) AS image FROM rows"""
+PAGES_MARKDOWN = rf"""WITH {_BLOCK_ROWS},
+said_so AS (SELECT page_id, ord, kind, level, lag(kind) OVER (PARTITION BY page_id ORDER BY ord) AS last, bold, link,
+    regexp_replace(text, '([\\`*_\[\]<]|&(?:amp|lt|gt|quot|copy|nbsp|middot);)', '\\\1', 'g') AS t FROM rows),
+marked AS (SELECT page_id, ord, CASE WHEN last IS NULL THEN '' WHEN last = 'item' AND kind = 'item' THEN chr(10) ELSE chr(10) || chr(10) END
+    || CASE kind WHEN 'heading' THEN repeat('#', level::INT) || ' ' WHEN 'item' THEN '- ' ELSE '' END
+    || CASE WHEN link IS NOT NULL THEN '[' || t || '](' || CASE WHEN regexp_matches(link, '[\s()]') THEN '<' || link || '>' ELSE link END || ')' WHEN bold THEN '**' || t || '**'
+      ELSE regexp_replace(regexp_replace(t, '^(#{{1,6}} |[-+] |>)', '\\\1'), '^([0-9]{{1,9}})([.)] )', '\1\\\2') END AS piece FROM said_so),
+whole AS (SELECT page_id, string_agg(piece, '' ORDER BY ord) || chr(10) AS m FROM marked GROUP BY page_id)
+SELECT page_id, md5(coalesce(m, '')) AS markdown_md5 FROM pages LEFT JOIN whole USING (page_id)"""

@@ -145,6 +145,16 @@ def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("ord").cast("long").alias("ord"), "kind", F.col("level").cast("long").alias("level"), "text")
 
 
+def _inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.inlines(_pages(spark, sf_dir), "page_id", "html", "html")
+    return found.select("page_id", F.col("ord").cast("long").alias("ord"), F.col("k").cast("long").alias("k"), "text", "bold", "italic", "code", "strike", "link", "image")
+
+
+def _pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = blocks.converted(_pages(spark, sf_dir), "html", "markdown", "html", sanitize=False)
+    return made.select("page_id", F.md5("converted.text").alias("markdown_md5"))
+
+
 def _html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors of every page with their targets, by Catalyst."""
     found = F.regexp_extract_all("html", F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1))
@@ -260,6 +270,8 @@ def queries() -> dict[str, Query]:
         "rules": _rules_table,
         "html_blocks": _html_blocks,
         "html_links": _html_links,
+        "inlines": _inlines,
+        "pages_markdown": _pages_markdown,
         "clean_pages": _clean_pages,
         "container_findings": _containers,
         "convert_pages": _convert_pages,
@@ -285,6 +297,9 @@ def oracle_sql() -> dict[str, str]:
         "newlines": _NEWLINES,
         "output_paths": _paths_sql(),
         "html_links": _HTML_LINKS,
+        "html_blocks": oracles.HTML_BLOCKS,
+        "inlines": oracles.INLINES,
+        "pages_markdown": oracles.PAGES_MARKDOWN,
         "container_findings": _CONTAINERS,
         "docx_round_trip": "SELECT doc_id, true AS same FROM documents",
         "pdf_round_trip": "SELECT doc_id, true AS same FROM documents",
