@@ -65,6 +65,45 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` as they are."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many more underscores in front as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with over this share of all rows is hot; so there are fewer hot keys than this number's inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, a row for each key with ``n``, how many of the ``total`` rows have it.
+
+    Rows of hot keys stay where they are and meet a broadcast of at most a thousand rows; all others are shuffled, no key
+    with over a thousandth of the rows. ``rows`` and ``table`` are read twice, so they should be durable. Null keys
+    meet nothing; ``n`` is not returned.
+    """
+    is_hot = F.col("n") > max(1.0, total * HOT_SHARE)
+    hot = F.broadcast(table.filter(is_hot).drop("n"))
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.filter(~is_hot).drop("n"), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and nothing else changed; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

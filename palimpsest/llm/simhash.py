@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, read_table, sliced, space_words
+from .common import durable, free_names, join_by_key, own_columns, quoted, read_table, sliced, space_words, written
 
 SEED = 42
 RADIUS = 4
@@ -29,6 +29,8 @@ SHINGLE = 4
 TILE = 2048
 #: Fingerprints expected at one meeting place beyond which one more block is taken into the key.
 CROWD = 4096
+#: Rows that go or need care, by id and text hash (24 bytes each), up to which they are broadcast and texts stay in place.
+MOST_MARKED = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -107,14 +109,7 @@ def _links(fps: np.ndarray, side: np.ndarray, masks: list[int], key: int, radius
     fps, pops, side = fps[order], pops[order], side[order]
     across = bool(side.any())
     earlier = np.array(masks[:key], np.uint64)
-    root = list(range(len(fps)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    root = np.arange(len(fps))
     out, step = [], 256
     for a in range(0, len(fps), step):
         rows = fps[a : a + step]
@@ -129,19 +124,40 @@ def _links(fps: np.ndarray, side: np.ndarray, masks: list[int], key: int, radius
             if a == b:
                 near = np.triu(near, 1)
             i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            if len(earlier):  # a pair that agrees under an earlier key is found there
+            if len(i) and len(earlier):  # a pair that agrees under an earlier key is found there
                 seen = ((diff[i, j][:, None] & earlier[None, :]) == 0).any(axis=1)
                 i, j = i[~seen], j[~seen]
-            for x, y in zip((i + a).tolist(), (j + b).tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[p] = q
-                    out.append((int(fps[x]), int(fps[y])))
+            root, more = _joined(root, i + a, j + b)
+            out += [(int(fps[x]), int(fps[y])) for x, y in more]
     return out
 
 
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Labels after the links ``x``-``y``, and those of them that joined two labels: in each pass the first link of every
+    label, so a dense group costs some passes over arrays and not a step for each pair."""
+    used = []
+    while len(x):
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        _, first = np.unique(root[x], return_index=True)
+        up = np.arange(len(root))
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for p, q in zip(x[first].tolist(), y[first].tolist()):
+            one, two = top(root[p]), top(root[q])
+            if one != two:
+                up[max(one, two)] = min(one, two)
+                used.append((p, q))
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+    return root, used
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, m: int | None = None) -> DataFrame:
     """``(a, b)`` pairs of distinct fingerprints within the radius, enough of them to connect every component.
 
@@ -149,8 +165,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, m: int |
     value gives the same components.
     """
     spark = distinct.sparkSession
+    n = distinct.count()
     if m is None:
-        n = distinct.count()
         m = next(k for k in range(1, 12) if n / 2 ** (64 * k // (radius + k)) <= CROWD or k == 11)
     masks = _key_masks(radius, m)
     keyed = distinct.select(
@@ -170,7 +186,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, m: int |
         .withColumn("before", F.sum("n").over(upto) - F.col("n"))
         .withColumn("first", F.floor(F.col("before") / tile).cast("int"))
         .withColumn("split", F.ceil(F.col("n") / tile).cast("int"))
-        .select("k", "v", "pop", "total", "first", "split")
+        .select("k", "v", "pop", "n", "total", "first", "split")
     )
     # A place of up to a tile is compared at once; a larger one in pairs of tiles.
     small = F.col("total") <= tile
@@ -195,8 +211,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, m: int |
         ends = pairs.select("k", "v", F.col("t").alias("i"), F.col("u").alias("j"), F.col("t").alias("at"), F.lit(0).alias("side")).union(
             pairs.filter("t < u").select("k", "v", F.col("t").alias("i"), F.col("u").alias("j"), F.col("u").alias("at"), F.lit(1).alias("side"))
         )
+        # A place and population count may hold most fingerprints: its rows stay where they are.
         placed = (
-            keyed.join(many, ["k", "v", "pop"])
+            join_by_key(keyed, many.drop("total"), ["k", "v", "pop"], n * len(masks))
             .withColumn("part", F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("split").cast("long")).cast("int"))
             .join(tiles.select("k", "v", "first", "part", F.col("t").alias("at")), ["k", "v", "first", "part"])
             .select("k", "v", "at", "fp")
@@ -254,11 +271,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if not mark[0]:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        large = join_by_key(both.filter("v > u"), least, ["u"], mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = durable(large)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         small = (
-            large.join(least, "u")
+            join_by_key(large, least, ["u"], mark[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .filter("u <> v")
@@ -279,12 +297,23 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Marked rows ``(id, th, fp)``, and for each distinct fingerprint its component's root and least id ``(fp, root, least)``."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, hashes: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """Marked rows ``(id, th, fp)``; for each distinct fingerprint its component's root, the first of its rows and their
+    number ``(fp, root, x, n)``; and the number of all rows. First is the least id, null ids last, then, if ``hashes``, the
+    least hash; without, the aggregation needs no sort."""
     marked = durable(fingerprints(docs, id_col, text_col))
-    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    least = F.min("id")
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th")) if hashes else F.struct(least.isNull().alias("null"), least.alias("id"))
+    by_fp = durable(marked.groupBy("fp").agg(first.alias("x"), F.count(F.lit(1)).alias("n")))
     tree = components(links(by_fp.select("fp"), radius))
-    return marked, by_fp.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = by_fp.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked, durable(roots), by_fp.agg(F.sum("n")).first()[0] or 0
+
+
+def firsts(roots: DataFrame) -> DataFrame:
+    """``(fp, x, n)``: for each fingerprint the first row of its whole component."""
+    best = roots.groupBy("root").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    return join_by_key(roots.select("fp", "root", F.col("n").alias("rows")), durable(best), ["root"], roots.count()).select("fp", "x", F.col("rows").alias("n"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -293,30 +322,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     Null and empty texts have fingerprint zero and link like any other. Repeated rows are kept. A null id stays null
     and never is a component's id unless all its ids are null. Columns besides the two named are not read.
     """
-    marked, roots = rooted(docs, id_col, text_col, radius)
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = roots.join(least, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    marked, roots, total = rooted(docs, id_col, text_col, radius, hashes=False)
+    return join_by_key(marked, durable(firsts(roots)), ["fp"], total).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("x.id").alias("component_id")
     )
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component, columns unchanged: that of the least id (null ids last, then the least text hash).
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most_marked: int = MOST_MARKED) -> DataFrame:
+    """One row of each component, columns unchanged: that of the least id (null ids last, then the least text hash), of
+    rows equal in id and text one.
 
-    Which row stays is decided on ids and hashes; texts are shuffled once, for the join with the survivors.
+    Which rows go is decided on ids and hashes. Their keys are counted: up to ``most_marked`` are broadcast, and texts
+    stay where they are; more meet the rows in one shuffle.
     """
-    marked, roots = rooted(docs, id_col, text_col, radius)
-    rows = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("x"))
-    best = rows.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
-
-    def key(id_, th) -> list[Column]:
-        return [F.coalesce(id_.cast("string"), F.lit("")).alias("__id"), id_.isNull().alias("__null"), th.alias("__th")]
-
-    wanted = best.select(*key(F.col("x.id"), F.col("x.th")))
-    named = docs.select(*docs.columns, *key(F.col(f"`{id_col}`"), text_hash(text_col)))
-    # Rows equal in id and text meet under one key after the join and leave one of them.
-    return named.join(wanted, ["__id", "__null", "__th"]).dropDuplicates(["__id", "__null", "__th"]).select(docs.columns)
+    marked, roots, total = rooted(docs, id_col, text_col, radius)
+    each = join_by_key(marked, durable(firsts(roots)), ["fp"], total)
+    stays = F.col("id").eqNullSafe(F.col("x.id")) & (F.col("th") == F.col("x.th"))
+    going = each.filter(~stays).select("id", "th", F.lit(False).alias("stays")).distinct()
+    again = each.filter(stays).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "th", F.lit(True).alias("stays"))
+    key, th, of, own = free_names(docs, "key", "th", "of", "own")
+    special = written(going.union(again)).toDF(key, th, of)
+    count = special.groupBy(of).count().collect()
+    if sum(r["count"] for r in count) <= most_marked:
+        special = F.broadcast(special)
+    named = docs.withColumn(own, text_hash(text_col))
+    met = F.col(quoted(id_col)).eqNullSafe(F.col(key)) & (F.col(own) == F.col(th))
+    single = named.join(special, met, "left_anti").select(own_columns(docs))
+    if not any(r[of] for r in count):
+        return single
+    # Rows equal in id and text meet under one key and leave one of them.
+    repeated = named.join(special.filter(of), met).dropDuplicates([key, th]).select(own_columns(docs))
+    return single.union(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
