@@ -1,151 +1,200 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items, each text scanned once.
 
 Texts and items become lower-cased words of letters and digits. A window is ``width`` consecutive words of an item, or
-the whole of a shorter item. The automaton's alphabet is word numbers, not characters: each window word has a number,
-any other word is 0, so a match ends at a word's position and maps to the original text without search. The benchmark
-is measured before it is sent: items are dealt to blocks of bounded bytes, each block is one automaton and one scan;
-usual benchmarks are one block. Scans are narrow: documents are never shuffled.
+the whole of a shorter item. The automaton's alphabet is word numbers, not characters: each item word has a number,
+any other word is 0, so a match ends at a word's position and maps to the original text without search. Its entries are
+the items' stretches of ``(width + 1) // 2`` words, end to end: whichever window a text holds, it holds a whole stretch of
+it, and there the match is extended both ways to its full length. That takes one node a word, not one for each word of
+each window. The benchmark is measured before it is sent: items are dealt to blocks of bounded bytes, each block is one
+automaton and one scan, and between blocks the state is written, so that a worker never holds two; usual benchmarks are
+one block. Scans are narrow: documents are never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SLICE_ROWS, alnum_words, read_table
+from .common import ALNUM_WORD, SLICE_ROWS, alnum_words, free_names, quoted, read_table, written
 
 WIDTH = 13
 #: Bytes of benchmark text in one automaton.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Places of one stretch in the benchmark from which their surroundings are compared by arrays.
+MANY = 32
 
-_SCAN = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+_RUN = "array<struct<first:int,last:int>>"
+_SCAN = f"n_words long, n_hit long, runs {_RUN}, places array<struct<start:int,end:int>>, items array<string>"
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items as lists of (id as text, UTF-8 text), each list of about ``block_bytes`` at most.
+def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The items as lists of (id as text, UTF-8 text), each list of about ``block_bytes`` at most; at least one list.
 
     A null id is the empty string, a null text has no words and takes no part. A block is collected by itself; an item
     is never split, so a single item larger than a block makes a block of its own size.
     """
     items = benchmark.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text_col}`").alias("text")
+        F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).alias("id"), F.col(quoted(text_col)).alias("text")
     ).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    if n == 1:
-        return [[(r["id"], bytes(r["text"])) for r in items.select("id", F.col("text").cast("binary")).collect()]]
     where = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    out = []
     for k in range(n):
-        rows = items.filter(where == k).select("id", F.col("text").cast("binary")).collect()
-        out.append([(r["id"], bytes(r["text"])) for r in rows])
-    return out
+        rows = (items.filter(where == k) if n > 1 else items).select("id", F.col("text").cast("binary")).collect()
+        yield [(r["id"], bytes(r["text"])) for r in rows]
 
 
 class Windows:
     """The automaton of one block of items."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH) -> None:
+        self.width, self.names = width, [name for name, _ in items]
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text))
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(ids[at : at + width], set()).add(item)
-        self.least = min(map(len, found), default=0)
+        step = (width + 1) // 2
+        flat, owner = [-1], [-1]
+        starts: dict[tuple[int, ...], list[int]] = {}
+        whole: dict[tuple[int, ...], set[str]] = {}
+        for k, (name, text) in enumerate(items):
+            ids = [self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)]
+            if len(ids) >= width:
+                for at in range(0, len(ids) - step + 1, step):
+                    starts.setdefault(tuple(ids[at : at + step]), []).append(len(flat) + at)
+                flat += ids
+                owner += [k] * len(ids)
+                # A gap between items as wide as surroundings that are compared.
+                flat += [-1] * step
+                owner += [-1] * step
+            elif ids:
+                whole.setdefault(tuple(ids), set()).add(name)
+        self.flat, self.owner = np.array([-1] * step + flat, np.int32), np.array([-1] * step + owner, np.int32)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, names in found.items():
-            self.automaton.add_word(window, (len(window), tuple(names)))
-        if found:
+        for entry in starts.keys() | whole.keys():
+            self.automaton.add_word(entry, (len(entry), np.array(starts.get(entry, []), np.int64) + step, tuple(whole.get(entry, ()))))
+        self.least = min(map(len, starts.keys() | whole.keys()), default=0)
+        if self.least:
             self.automaton.make_automaton()
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words; runs of hit words (first and last, counted from 0, disjoint and in order); item ids."""
         words = alnum_words(text)
         if not self.least or len(words) < self.least:
-            return len(words), [], []
-        get = self.number.get
-        spans: list[list[int]] = []
+            return len(words), [], set()
+        ids = np.fromiter((self.number.get(w, 0) for w in words), np.int32, len(words))
+        runs: list[tuple[int, int]] = []
         items: set[str] = set()
-        for end, (size, names) in self.automaton.iter(tuple([get(w, 0) for w in words])):
-            items.update(names)
+        #: Where the last match on a diagonal of text and benchmark ended: its stretches need no second look.
+        seen: dict[int, int] = {}
+        for end, (size, starts, names) in self.automaton.iter(tuple(ids.tolist())):
             first = end - size + 1
-            while spans and spans[-1][0] >= first:
-                spans.pop()
-            if spans and spans[-1][1] + 1 >= first:
-                spans[-1][1] = end
-            else:
-                spans.append([first, end])
-        return len(words), [(a, b) for a, b in spans], sorted(items)
-
-
-def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code-point ranges of the original text that hit words cover, end exclusive."""
-    at = [m.span() for m in regex.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
-    return [(at[a][0], at[b][1]) for a, b in spans]
+            if names:
+                runs.append((first, end))
+                items.update(names)
+            if len(starts) > MANY:
+                starts = self._fitting(ids, first, end, starts)
+            for at in starts.tolist():
+                if seen.get(first - at, -1) >= end:
+                    continue
+                a, b = self._extended(ids, first, end, at)
+                seen[first - at] = b
+                if b - a + 1 >= self.width:
+                    runs.append((a, b))
+                    items.add(self.names[self.owner[at]])
+        return len(words), merged(runs), items
+
+    def _extended(self, ids: np.ndarray, a: int, b: int, at: int) -> tuple[int, int]:
+        """The longest match around the words ``a`` to ``b`` of the text, which stand at ``at`` in the benchmark."""
+        flat, shift = self.flat, at - a
+        while a and ids[a - 1] == flat[a - 1 + shift]:
+            a -= 1
+        while b + 1 < len(ids) and ids[b + 1] == flat[b + 1 + shift]:
+            b += 1
+        return a, b
+
+    def _fitting(self, ids: np.ndarray, a: int, b: int, starts: np.ndarray) -> np.ndarray:
+        """Those of many places around which enough words match for a window."""
+        need = self.width - (b - a + 1)
+        left, right = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for side, edge, sign in ((left, a, -1), (right, b, 1)):
+            live = np.ones(len(starts), bool)
+            for k in range(1, need + 1):
+                if not 0 <= edge + sign * k < len(ids):
+                    break
+                live &= self.flat[starts + (edge - a) + sign * k] == ids[edge + sign * k]
+                side += live
+        return starts[left + right >= need]
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs as disjoint ones in order; touching ones become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code-point ranges of the original text that runs of words cover, end exclusive."""
+    at = [m.span() for m in _WORD.finditer(text)] if runs else []
+    return [(at[a][0], at[b][1]) for a, b in runs]
 
 
 def scan_column(items: list[tuple[str, bytes]], width: int = WIDTH):
-    """Arrow function of a binary text column: number of words, hit word runs, item ids."""
+    """Arrow function of a binary text column and of the runs and items that other blocks have found: the scan."""
 
     @F.arrow_udf(_SCAN)
-    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         windows = Windows(items, width)
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
-        for batch in texts:
+        number, ends = pa.int32(), lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", ends("first", "last")), ("places", ends("start", "end")), ("items", pa.list_(pa.string()))])
+        for texts, before, names in batches:
             rows = []
-            for at in range(0, len(batch), SLICE_ROWS):
-                for text in batch.slice(at, SLICE_ROWS).to_pylist():
-                    n, spans, found = windows.scan(text)
-                    rows.append({"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": found})
+            for at in range(0, len(texts), SLICE_ROWS):
+                part = (c.slice(at, SLICE_ROWS).to_pylist() for c in (texts, before, names))
+                for text, old, known in zip(*part):
+                    n, runs, found = windows.scan(text)
+                    if old:
+                        runs = merged([*runs, *((r["first"], r["last"]) for r in old)])
+                    places = original_spans(text.decode(), runs) if runs else []
+                    rows.append({
+                        "n_words": n, "n_hit": sum(b - a + 1 for a, b in runs), "runs": [{"first": a, "last": b} for a, b in runs],
+                        "places": [{"start": a, "end": b} for a, b in places], "items": sorted({*found, *(known or ())}),
+                    })
             yield pa.array(rows, kind)
 
     return scan
 
 
-def _merge_column():
-    """Arrow function of the blocks' results for one text: number of words hit by any, and the distinct sorted items."""
-
-    @F.arrow_udf("n_hit long, items array<string>")
-    def merged(spans: pa.Array, items: pa.Array) -> pa.Array:
-        out = []
-        for runs, names in zip(spans.to_pylist(), items.to_pylist()):
-            last, n = -1, 0
-            for run in sorted(runs or [], key=lambda r: (r["first"], r["last"])):
-                n += max(0, run["last"] - max(run["first"] - 1, last))
-                last = max(last, run["last"])
-            out.append({"n_hit": n, "items": sorted(set(names or []))})
-        return pa.array(out, pa.struct([("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]))
-
-    return merged
+def scanned(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, out: str = "__scan"
+) -> DataFrame:
+    """``docs`` with ``out`` (n_words, n_hit, runs, places, items): words, hit words, runs of hit words, their places in
+    code points of the text as it stands, and sorted ids of items with occurring windows.
 
-
-def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``__scan`` (n_words, n_hit, items): words, hit words and sorted ids of items with occurring windows.
-
-    One block: one narrow pass. Several: one pass each, whose columns of hits are merged per row; the rows themselves
-    are never shuffled or matched up, so repeated rows and null ids need no care. A benchmark without words hits nothing.
+    One block: one narrow pass. Several: one pass each over rows that the pass before has written with what it found; the
+    rows themselves are never shuffled or matched up, so repeated rows and null ids need no care. A benchmark without
+    words hits nothing.
     """
-    text = F.col(f"`{text_col}`").cast("binary")
-    out, names = docs, []
+    text = F.col(quoted(text_col)).cast("binary")
+    runs, names = F.lit(None).cast(_RUN), F.lit(None).cast("array<string>")
+    made = docs
     for k, items in enumerate(blocks_of(benchmark, block_bytes=block_bytes)):
-        names.append(f"__scan{k}")
-        out = out.withColumn(names[-1], scan_column(items, width)(text))
-    runs = F.flatten(F.array(*[F.col(n)["spans"] for n in names]))
-    found = F.flatten(F.array(*[F.col(n)["items"] for n in names]))
-    if len(names) == 1:
-        hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
-        made = F.struct(F.col(names[0])["n_words"].alias("n_words"), hit.alias("n_hit"), found.alias("items"))
-        return out.withColumn("__scan", made).drop(*names)
-    out = out.withColumn("__merged", _merge_column()(runs, found))
-    made = F.struct(F.col(names[0])["n_words"].alias("n_words"), F.col("__merged")["n_hit"].alias("n_hit"), F.col("__merged")["items"].alias("items"))
-    return out.withColumn("__scan", made).drop("__merged", *names)
+        if k:
+            made = written(made)
+            runs, names = F.col(quoted(out))["runs"], F.col(quoted(out))["items"]
+        made = made.withColumn(out, scan_column(items, width)(text, runs, names))
+    return made
 
 
 def is_contaminated(scan: Column) -> Column:
@@ -155,7 +204,15 @@ def is_contaminated(scan: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, columns unchanged; null and empty texts stay."""
-    return scanned(docs, benchmark, text_col).filter(~is_contaminated(F.col("__scan"))).drop("__scan")
+    (scan,) = free_names(docs, "scan")
+    return scanned(docs, benchmark, text_col, out=scan).filter(~is_contaminated(F.col(scan))).drop(scan)
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, start, end, passage)``: every stretch of a text that stands in the benchmark, as it stands in the text."""
+    found = scanned(docs.select(quoted(id_col), quoted(text_col)), benchmark, text_col, out="__scan")
+    each = found.select(quoted(id_col), F.col(quoted(text_col)).alias("__text"), F.inline("__scan.places"))
+    return each.select(quoted(id_col), "start", "end", F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start")).alias("passage"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

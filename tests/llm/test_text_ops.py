@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from corpora import alnum_words, documents, words
@@ -38,6 +40,37 @@ def test_decontamination_equals_brute_force(spark, block):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {3, 4, 5}
 
 
+def test_automaton_equals_brute_force_on_repetitive_texts(monkeypatch):
+    monkeypatch.setattr(decontam, "MANY", 2)
+    r = random.Random(4)
+    draw = lambda n, k: " ".join(r.choice("abcdefgh"[:k]) for _ in range(n))
+    for round_ in range(60):
+        k = r.choice((1, 2, 3, 8))
+        items = [(str(i), draw(r.choice((0, 1, 3, 12, 13, 14, 20, 40)), k)) for i in range(8)]
+        known = decontam.Windows([(i, t.encode()) for i, t in items])
+        for _ in range(6):
+            text = draw(r.randrange(60), k) + " " + r.choice(items)[1] + " zz " + r.choice(items)[1][2:] + " " + draw(5, k)
+            n, runs, found = known.scan(text.encode())
+            assert (n, sum(b - a + 1 for a, b in runs), sorted(found)) == brute_scan(text, items), (round_, text)
+
+
+def test_a_stretch_that_many_items_share_is_one_lookup():
+    shared = words(12, 1)
+    items = [(str(i), f"q{i} {shared} a{i} b{i} c{i}".encode()) for i in range(20_000)]
+    known = decontam.Windows(items)
+    began = time.time()
+    assert all(known.scan(f"x y {shared} z".encode())[1:] == ([], set()) for _ in range(50))
+    assert known.scan(f"{shared} a7 b7".encode())[1:] == ([(0, 13)], {"7"}) and time.time() - began < 5
+
+
+def test_passages_are_found_in_the_text_as_it_stands(spark):
+    item = words(20, 3)
+    text = "É 𝐀: " + item.upper().replace(" ", "... ") + "! the end"
+    frame = spark.createDataFrame([(1, text, 5), (2, "none", 6)], "doc_id long, text string, items int")
+    got = decontam.passages(frame, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()
+    assert [(r.doc_id, r.passage) for r in got] == [(1, item.upper().replace(" ", "... "))] and text[got[0].start : got[0].end] == got[0].passage
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark)
