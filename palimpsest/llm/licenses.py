@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, alnum_words, read_table
+from .common import SLICE_ROWS, alnum_words, quoted, read_table
 
 #: The contract's phrases with their labels.
 PHRASES = (
@@ -289,9 +289,9 @@ def scan_column(notices=NOTICES, phrases=PHRASES):
     return scan
 
 
-def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__licence``: the scan of each row's whole text. A null text has no words; rows are independent."""
-    return docs.withColumn("__licence", scan_column()(F.col(f"`{text_col}`").cast("binary")))
+def scanned(docs: DataFrame, text_col: str = "text", out: str = "__licence") -> DataFrame:
+    """``docs`` with ``out``: the scan of each row's whole text. A null text has no words; rows are independent."""
+    return docs.withColumn(out, scan_column()(F.col(quoted(text_col)).cast("binary")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ Documents are aggregated by membership pattern, the set of sources they belong t
 at no cost and again, copy by copy, at growing cost; each source asks for its quota. The flow of least cost says how
 many words of a pattern go to which source; patterns are few, so it is solved on the driver. Within a pattern, every
 document is taken the whole number of times that the flow affords, and one time more in the order of a seeded hash
-until the rest is used up; a document too large for what is left is passed over, a few times, and a last one is chosen
-among all that are left, those passed over too, whose size fits best. The cuts are found by global prefix sums, so a source that holds a third of all rows needs no
-task of its own, and selection is a comparison of a row's own hash and size with its pattern's cuts.
+until the rest is used up; a document too large for what is left is passed over, again and again until little is left,
+and a last one is chosen among all that are left, those passed over too, whose size fits best. The cuts are found by
+global prefix sums, so a source that holds a third of all rows needs no task of its own, and selection is a comparison of
+a row's own hash and size with its pattern's cuts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, durable, prefix_sums, read_table
+from .common import SPACE_WORD, durable, free_names, own_columns, prefix_sums, quoted, read_table
 
 SEED = 20
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 COPIES = 2
-#: Times that a document too large for what is left is passed over.
-FILLS = 3
+#: Share of a pattern's rest that may stay open when documents too large for what is left are no longer passed over, and
+#: the passes over the keys after which it stops in any case.
+GAP, MOST_FILLS = 1 / 1000, 24
 #: Patterns beyond which the driver refuses to solve the flow.
 MOST_PATTERNS = 50_000
 
@@ -114,18 +116,22 @@ class Plan:
     flow: list[dict]
 
 
+#: Working columns of the rows that are mixed.
+MEMBERS, SIZE, RANK, COPIES_TAKEN = "__members", "__size", "__rank", "__copies"
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
 def keyed(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_members`` (sorted distinct sources), ``_size`` (words) and ``_rank`` (seeded hash of id and text)."""
-    text = F.col(f"`{text_col}`")
+    """``docs`` with ``__members`` (sorted distinct sources), ``__size`` (words) and ``__rank`` (seeded hash of id and text)."""
+    text = F.col(quoted(text_col))
     return docs.select(
-        "*",
-        F.array_sort(F.array_distinct(members)).alias("__members"),
-        words_of(text).alias("__size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.coalesce(text, F.lit(""))).alias("__rank"),
+        *own_columns(docs),
+        F.array_sort(F.array_distinct(members)).alias(MEMBERS),
+        words_of(text).alias(SIZE),
+        F.xxhash64(F.lit(seed), F.col(quoted(id_col)), F.coalesce(text, F.lit(""))).alias(RANK),
     )
 
 
@@ -134,7 +140,7 @@ def _order(name) -> tuple:
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> Plan:
-    """The mix of ``keyed`` rows (``_members``, ``_size``, ``_rank``). A row without sources belongs to none and is not taken."""
+    """The mix of ``keyed`` rows (``__members``, ``__size``, ``__rank``). A row without sources belongs to none and is not taken."""
     spark = rows.sparkSession
     found = rows.groupBy("__members").agg(F.sum("__size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
@@ -142,7 +148,10 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = C
     lists = sorted(([list(r["__members"] or []), r["n"]] for r in found), key=lambda x: [_order(s) for s in x[0]])
     names = sorted({s for m, _ in lists for s in m}, key=_order)
     number = {s: i for i, s in enumerate(names)}
-    size = [sum(n for m, n in lists if s in m) for s in names]
+    size = [0] * len(names)
+    for m, n in lists:
+        for s in m:
+            size[number[s]] += n
     # A document of several sources counts in each of them, but its words exist once.
     total = sum(n for m, n in lists if m)
     scale = total / sum(size) if sum(size) else 0.0
@@ -173,7 +182,7 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
     state = {i: (low, r, high) for i, r in enumerate(rest) if r}
     # What is still to take when no more fills follow.
     short: dict[int, int] = {}
-    for _ in range(FILLS):
+    for _ in range(MOST_FILLS):
         if not state:
             break
         info = F.broadcast(spark.createDataFrame([(i, *v) for i, v in state.items()], "p int, after long, left long, most long"))
@@ -194,8 +203,10 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
                 continue
             upto, left = ends[i]
             stretches[i].append((after, upto, most))
-            if left > 0:
+            if left > GAP * rest[i]:
                 then[i] = (upto, left, left)
+            elif left:
+                short[i] = left
         state = then
     extra: dict[int, int] = {}
     short |= {i: left for i, (_, left, _) in state.items()}
@@ -214,7 +225,7 @@ def _cuts(spark: SparkSession, rows: DataFrame, lists: list, whole: list[int], r
 
 
 def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
-    """``keyed`` rows with ``_copies``, how many times the mix takes the row: a narrow pass."""
+    """``keyed`` rows with ``__copies``, how many times the mix takes the row: a narrow pass."""
     lists = [[m] for m, _ in made.patterns]
     if not lists:
         return rows.withColumn("__copies", F.lit(0))
@@ -229,11 +240,16 @@ def copies_column(rows: DataFrame, made: Plan) -> DataFrame:
 
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs``, as often as they are taken. Rows without words are kept once: they have no weight."""
-    rows = keyed(docs, F.array(F.col(f"`{source_col}`").cast("string")), id_col, text_col, seed)
-    made = plan(durable(rows.select("__members", "__size", "__rank")))
+    # Columns of the caller that are called like working columns stand aside meanwhile.
+    aside = free_names(docs, *(f"__own{k}" for k in range(len(docs.columns))))
+    own = docs.select([F.col(quoted(c)).alias(n) for c, n in zip(docs.columns, aside)])
+    at = {c: n for c, n in zip(docs.columns, aside)}
+    rows = keyed(own, F.array(F.col(at[source_col]).cast("string")), at[id_col], at[text_col], seed)
+    made = plan(durable(rows.select(MEMBERS, SIZE, RANK)))
     taken = copies_column(rows, made)
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies"))
-    return taken.filter(times > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    times = F.when(F.col(SIZE) == 0, F.lit(1)).otherwise(F.col(COPIES_TAKEN))
+    nth = taken.filter(times > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), times)))
+    return nth.select([F.col(n).alias(c) for c, n in at.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

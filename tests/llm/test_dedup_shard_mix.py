@@ -1,11 +1,16 @@
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
+import pyspark.sql.functions as F
 import xxhash
-from corpora import documents, space_words
+from corpora import documents, rows, space_words, words
 
-from palimpsest.llm import mixing, sharding, simhash
+from palimpsest.llm import decontam, mixing, sharding, simhash
+from palimpsest.llm.common import join_by_key
 
 
 def plain_fingerprint(t):
@@ -155,3 +160,74 @@ def test_a_very_long_document_passed_over_can_still_be_the_last(spark):
         made = mixing.Plan([(["a"], cut)], {}, {}, [])
         got = mixing.copies_column(rows, made).collect()
         assert sum(r["__size"] * r["__copies"] for r in got) == want and max(r["__copies"] for r in got) == 1
+
+
+def test_flow_equals_brute_force_on_small_cases():
+    r = random.Random(3)
+    for _ in range(80):
+        members = [r.choice(([0], [1], [0, 1])) for _ in range(3)]
+        supply, quota = [r.randrange(3) for _ in members], [r.randrange(7), r.randrange(7)]
+        best = None
+        options = [list(product(*(range(2 * n + 1) for _ in m))) for n, m in zip(supply, members)]
+        for pick in product(*options):
+            got, cost = [0, 0], 0
+            for n, m, x in zip(supply, members, pick):
+                if sum(x) > 2 * n:
+                    break
+                cost += max(0, sum(x) - n)
+                for s, k in zip(m, x):
+                    got[s] += k
+            else:
+                if got[0] <= quota[0] and got[1] <= quota[1]:
+                    best = max(best or (-1, 0), (sum(got), -cost))
+        flow = mixing.min_cost_flow(supply, members, quota)
+        used = [sum(f.values()) for f in flow]
+        met = [sum(f.get(s, 0) for f in flow) for s in (0, 1)]
+        assert all(u <= 2 * n for u, n in zip(used, supply)) and all(a <= q for a, q in zip(met, quota))
+        assert (sum(used), -sum(max(0, u - n) for u, n in zip(used, supply))) == best, (members, supply, quota)
+
+
+def test_many_patterns_are_solved_quickly():
+    n = 50_000
+    began = time.time()
+    flow = mixing.min_cost_flow([10] * n, [[k] for k in range(n)], [15] * n)
+    assert all(sum(f.values()) == 15 for f in flow) and time.time() - began < 20
+
+
+def clashing(spark):
+    names = ["__size", "__rank", "__members", "__copies", "__own0", "__nth", "key", "th", "own", "scan", "__scan", "fp", "a.b", "x`y"]
+    rows = [(i, words(40, i % 9), "ab"[i % 2], *[f"v{i}"] * len(names)) for i in range(30)]
+    return spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+
+
+def test_columns_named_like_working_columns_stay(spark):
+    docs = clashing(spark)
+    bench = spark.createDataFrame([("q", words(40, 3))], "item_id string, text string")
+    for made in (simhash.kept(docs), decontam.clean(docs, bench), mixing.mixed(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and rows
+        assert all(set(r[3:]) == {f"v{r[0]}"} and r[1] == words(40, r[0] % 9) for r in rows)
+    assert {r.doc_id for r in simhash.kept(docs).collect()} == set(range(9))
+
+
+def test_kept_is_the_same_by_broadcast_and_by_shuffle(spark):
+    docs = documents(spark).repartition(5)
+    both = [sorted(str(tuple(r)) for r in simhash.kept(docs, most_marked=m).collect()) for m in (0, 1_000_000)]
+    assert both[0] == both[1]
+    plan = simhash.kept(documents(spark, rows()[:-1]))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_a_dense_group_costs_passes_and_not_pairs():
+    rng = np.random.default_rng(0)
+    fps = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(6000)], np.uint64))
+    began = time.time()
+    found = simhash._links(fps, np.zeros(len(fps), np.int8), [0], 0, 4)
+    assert len(found) == len(fps) - 1 and time.time() - began < 10
+
+
+def test_a_key_of_a_third_of_all_rows_is_not_shuffled(spark):
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(6000)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("v").alias("n")).withColumn("t", F.col("k") * 2)
+    got = join_by_key(rows, table, ["k"], 6000)
+    assert got.columns == ["k", "v", "t"] and sorted((r.k, r.v, r.t) for r in got.collect()) == sorted((k, i, 2 * k) for i in range(6000) for k in [0 if i % 3 == 0 else i])
