@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SLICE_ROWS, alnum_words, read_table
+from .common import SLICE_ROWS, alnum_words, quoted, read_table, written
 
 #: Bytes of the texts of one class that are learnt from.
 SAMPLE_BYTES = 16 << 20
@@ -155,25 +154,32 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, target: str, rows: int, chars: int, learn=None, id_col: str = "doc_id",
     text_col: str = "text", most_bytes: int = SAMPLE_BYTES,
 ) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts of each class, of at most ``chars`` code points each and ``most_bytes`` together, in
-    a seeded order of ids.
+    """At most ``rows`` labelled texts of each class, of at most ``chars`` code points each and ``most_bytes`` together, drawn
+    by a seeded hash of ids.
 
     Labels other than 0 and 1, null ids, ids with both labels and rows that ``learn`` (a predicate of the id column)
-    leaves out take no part; of several texts of one id the least is taken. Both classes are chosen in one pass over ids
-    and sizes, a ranking that partitions prune before the exchange, and the chosen ids' texts are fetched by a second,
-    selective join, so that texts of unsampled rows are not shuffled.
+    leaves out take no part; of several texts of one id the least is taken. Labelled ids and sizes are joined once and
+    written; of each class a share is drawn by a seeded hash so that some twice ``rows`` ids come to the driver, which
+    takes the first ``rows`` of them; no task holds more of a class than its part. The chosen ids' texts are fetched by a
+    second, selective join, so that texts of unsampled rows are not shuffled.
     """
-    key, body = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key, body = F.col(quoted(id_col)), F.col(quoted(text_col))
     lab = labels.select(key.alias("id"), F.col(target).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     if learn is not None:
         lab = lab.filter(learn(F.col("id")))
     lab = lab.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     sizes = docs.select(key.alias("id"), F.length(body).alias("n"), F.octet_length(body).alias("size")).filter(F.col("n").between(1, chars))
-    ids = lab.join(sizes.groupBy("id").agg(F.max("size").alias("size")), "id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(11), "id"), "id")
-    first = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    fits = F.sum("size").over(Window.partitionBy("y").orderBy("rank")) <= most_bytes
-    pairs = first.withColumn("fits", fits).filter("fits").select("id", "y").collect()
+    ids = written(lab.join(sizes.groupBy("id").agg(F.max("size").alias("size")), "id"))
+    count = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
+    share = lambda y: F.lit(int(min(1.0, 2 * rows / max(1, count.get(y, 0))) * (1 << 30)))
+    place = F.xxhash64(F.lit(11), "id")
+    drawn = ids.filter(F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(1 << 30)) <= F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
+    pairs, taken = [], {0: [0, 0], 1: [0, 0]}
+    for r in sorted(drawn.select("id", "y", "size", place.alias("h")).collect(), key=lambda r: (r["h"], r["id"])):
+        n, total = taken[r["y"]]
+        if n < rows and total + r["size"] <= most_bytes:
+            taken[r["y"]] = [n + 1, total + r["size"]]
+            pairs.append((r["id"], r["y"]))
     if not pairs:
         return []
     # At most 2 * rows identifiers: a broadcast of proven size.
