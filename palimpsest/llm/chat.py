@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_folder, written
+from .common import join_by_key, read_table, shared_folder, written
 
 #: Calls of a block that one row settles, and needed calls of other blocks up to which a block is contracted.
 BLOCK_CALLS = 2048
@@ -35,22 +35,35 @@ TOOLS: dict[str, Schema] = {
 }
 
 
-def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls ``(conv, call, ...)`` and results ``(conv, call, content)`` by identifier, in a full outer hash join.
+def linked(calls: DataFrame, results: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Calls ``(conv, call, ...)`` and results ``(conv, call, content)`` by identifier, in a hash join; ``known``, a row for
+    each identifier of a call, adds columns.
 
-    ``status``: linked, unanswered (no result) or orphan (a result of no call). Null identifiers never match. If a call
-    has several results, or an identifier several calls, all combinations of that identifier appear.
+    ``status``: linked, unanswered (no result), orphan (a result of no call) or surplus. Null identifiers never match. An
+    identifier's answer is its least content, which all calls of that identifier get; any other content is a surplus row,
+    and equal results are one. So rows add up and never multiply; identifiers with many calls or contents stay where
+    they are and meet a bounded broadcast.
     """
-    right = results.select(F.col("conv").alias("_conv"), F.col("call").alias("_call"), F.col("content"), F.lit(True).alias("_answered"))
-    left = calls.withColumn("_asked", F.lit(True))
-    both = left.hint("shuffle_hash").join(right, (F.col("conv") == F.col("_conv")) & (F.col("call") == F.col("_call")), "full")
-    status = F.when(F.col("_asked").isNull(), "orphan").when(F.col("_answered").isNull(), "unanswered").otherwise("linked")
-    return (
-        both.withColumn("status", status)
-        .withColumn("conv", F.coalesce("conv", "_conv"))
-        .withColumn("call", F.coalesce("call", "_call"))
-        .drop("_conv", "_call", "_asked", "_answered")
-    )
+    named = F.col("conv").isNotNull() & F.col("call").isNotNull()
+    said = written(results.groupBy("conv", "call", "content").agg(F.lit(1).alias("one")).drop("one"))
+    least = said.filter(named).groupBy("conv", "call").agg(F.min("content").alias("answer"), F.count(F.lit(1)).alias("contents"))
+    asked = calls.filter(named).groupBy("conv", "call").agg(F.count(F.lit(1)).alias("asks"))
+    pair = written(asked.hint("shuffle_hash").join(least, ["conv", "call"], "full"))
+    counts = pair.agg(F.sum("asks").alias("asks"), F.sum("contents").alias("contents"), F.max("contents").alias("most")).first()
+    asks = pair.filter("asks is not null").select("conv", "call", F.col("asks").alias("n"), F.col("answer").alias("content"), F.col("contents").isNotNull().alias("_answered"))
+    if known is not None:
+        asks = written(asks.join(known, ["conv", "call"], "left"))
+    each = join_by_key(calls, asks, ["conv", "call"], counts["asks"] or 0)
+    out = each.withColumn("status", F.when(F.col("_answered"), "linked").otherwise("unanswered")).drop("_answered")
+    lost = pair.filter("asks is null").select("conv", "call", F.col("answer").alias("content"), F.lit("orphan").alias("status"))
+    out = out.unionByName(lost, allowMissingColumns=True)
+    nameless = calls.filter(~named).withColumn("status", F.lit("unanswered"))
+    out = out.unionByName(nameless, allowMissingColumns=True).unionByName(said.filter(~named).withColumn("status", F.lit("orphan")), allowMissingColumns=True)
+    if (counts["most"] or 0) > 1:
+        several = pair.filter("contents > 1").select("conv", "call", "answer", F.col("contents").alias("n"))
+        more = join_by_key(said, several, ["conv", "call"], counts["contents"]).filter(~F.col("content").eqNullSafe(F.col("answer")))
+        out = out.unionByName(more.drop("answer").withColumn("status", F.lit("surplus")), allowMissingColumns=True)
+    return out
 
 
 def _let(value: Column, body) -> Column:
@@ -317,13 +330,14 @@ def canonical(tool: Column, call: Column, args: Column, content: Column, bare: C
 
 
 def formatted(calls: DataFrame, results: DataFrame, edges: DataFrame, tools: Mapping[str, Schema] = TOOLS) -> DataFrame:
-    """Per linked pair, unanswered call or orphan result: level, status, problems and canonical JSON.
+    """Per call, orphan or surplus result: level, status, problems and canonical JSON.
 
     ``calls``: (conv, call, tool, args map<string,string>); ``results``: (conv, call, content); ``edges``: as ``levels``.
     An argument that is no string and fits its type appears as canonical JSON, one that does not fit as a string.
     """
-    rows = linked(calls, results).join(levels(edges), ["conv", "call"], "left")
-    wrong = F.when(F.col("status") == "orphan", F.array().cast("array<string>")).otherwise(problems(F.col("tool"), F.col("args"), tools))
+    rows = linked(calls, results, levels(edges))
+    alone = F.col("status").isin("orphan", "surplus")
+    wrong = F.when(alone, F.array().cast("array<string>")).otherwise(problems(F.col("tool"), F.col("args"), tools))
     none = F.create_map().cast("map<string,string>")
     bare = none
     for name, schema in tools.items():
@@ -335,7 +349,7 @@ def formatted(calls: DataFrame, results: DataFrame, edges: DataFrame, tools: Map
     rows = rows.withColumn("problems", wrong)
     return rows.select(
         "conv", "call", "level", "status",
-        F.when(F.col("status") == "orphan", F.lit(None).cast("boolean")).otherwise(F.size("problems") == 0).alias("valid"),
+        F.when(alone, F.lit(None).cast("boolean")).otherwise(F.size("problems") == 0).alias("valid"),
         F.array_join("problems", ";").alias("problems"),
         canonical(F.col("tool"), F.col("call"), F.col("args"), F.col("content"), bare).alias("json"),
     )
