@@ -132,18 +132,24 @@ def binary_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
+#: Rows of one partition of ``prefix_sums``.
+ROWS_A_PART = 2_000_000
+
+
 def prefix_sums(
     rows: DataFrame, order: list[str], values: list[str], partitions: int | None = None
 ) -> tuple[DataFrame, dict[str, int]]:
     """Rows in global order with, for each column of ``values``, the sum over all rows before (``before_<value>``).
 
-    Rows are range-partitioned by ``order`` and sorted within partitions, cut durably (a later pass must see the very
+    Rows are written and counted, so that what made them (texts read and hashed) runs once; then range-partitioned by
+    ``order`` and sorted within partitions of at most some ROWS_A_PART rows, cut durably (a later pass must see the very
     same partitions), each partition's totals are added up on the driver (a row per partition), and one more pass adds
     the partition's offset to the running sums. No window over the whole table, no single task. ``before_rows`` counts
     rows. Null values count as 0. Returns the frame and the totals.
     """
     spark = rows.sparkSession
-    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(rows)
+    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_PART))
     laid = durable(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
     sums = [F.sum(F.coalesce(F.col(v), F.lit(0)).cast("long")).alias(v) for v in values]
     # The partition number is taken before the aggregation's exchange, from the partitions that were written.
