@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
 from ..functions.text import line_skeleton, newline_kind
-from ..operators import blocks, diff, engine, formats, lexicon, ngrams, packages, stylometry
+from ..operators import blocks, diff, engine, formats, layout, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
 from . import injection, oracles
@@ -216,6 +216,15 @@ def _pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(read, "doc_id").select("doc_id", (letters(F.col("text")) == letters(F.col("read"))).alias("same"))
 
 
+def _pdf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF file, its words placed on pages and put together again: no letter is lost or moved."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = packages.rendered_packages(docs, target="pdf").select("doc_id", "content")
+    read = layout.blocks(files, "doc_id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n").alias("read"))
+    letters = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{L}]", "")
+    return docs.join(read, "doc_id", "left").select("doc_id", (letters(F.col("text")) == letters(F.col("read"))).alias("same"))
+
+
 #: Small pictures by remainder of the id: a named generator, a manifest chunk, an Exif tool, and one that says nothing.
 _PICTURES = (
     "89504e470d0a1a0a0000000d49484452000000000000000000000000002e90680f0000001974455874536f6674776172650044414c4c2d45206279204f70656e41495b5aa54d0000000049454e44ae426082",
@@ -278,6 +287,7 @@ def queries() -> dict[str, Query]:
         "convert_documents": _convert_documents,
         "docx_round_trip": _docx_round_trip,
         "pdf_round_trip": _pdf_text,
+        "pdf_layout": _pdf_layout,
         "media_findings": _media,
         "coverage": lambda spark, sf_dir: coverage(spark),
     }
@@ -303,5 +313,6 @@ def oracle_sql() -> dict[str, str]:
         "container_findings": _CONTAINERS,
         "docx_round_trip": "SELECT doc_id, true AS same FROM documents",
         "pdf_round_trip": "SELECT doc_id, true AS same FROM documents",
+        "pdf_layout": "SELECT doc_id, true AS same FROM documents",
         "media_findings": _MEDIA,
     }
