@@ -68,6 +68,57 @@ def webp_chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 8 + size + size % 2
 
 
+#: Names of the boxes of a provenance store, and what follows each in its box's identifier.
+BOXES = {
+    b"c2pa": "store", b"c2ma": "manifest", b"c2md": "update manifest", b"c2as": "assertions", b"c2cl": "claim", b"c2cs": "signature", b"c2vc": "credentials", b"c2db": "data",
+}
+BOX_TAIL = bytes.fromhex("00110010800000AA00389B71")
+#: Boxes within boxes.
+NESTING = 16
+
+
+def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[str]:
+    """Kinds of provenance boxes, those within others included; a box whose length does not fit ends the walk."""
+    at, end = start, len(data) if end is None else end
+    while at + 8 <= end and depth < NESTING:
+        size, name = struct.unpack(">I4s", data[at : at + 8])
+        head = 8
+        if size == 1 and at + 16 <= end:
+            size, head = struct.unpack(">Q", data[at + 8 : at + 16])[0], 16
+        stop = end if size == 0 else at + size
+        if stop > end or stop < at + head:
+            return
+        if name == b"jumb":
+            yield from boxes(data, at + head, stop, depth + 1)
+        elif name == b"jumd" and data[at + head + 4 : at + head + 16] == BOX_TAIL and (kind := BOXES.get(data[at + head : at + head + 4])):
+            yield kind
+        at = stop
+
+
+def _boxed(data: bytes, where: str) -> tuple[str, str]:
+    inside = list(dict.fromkeys(boxes(data)))
+    return "container.c2pa-manifest", f"{where} with {', '.join(inside)}" if inside else f"{where} that holds no known box"
+
+
+EXTENDED = b"http://ns.adobe.com/xmp/extension/\0"
+
+
+def extended_packets(parts: list[bytes]) -> Iterator[bytes]:
+    """XMP that is spread over segments: by identifier (32 bytes), each part with the whole length and its place."""
+    whole: dict[bytes, bytearray] = {}
+    for part in parts:
+        name, rest = part[:32], part[32:]
+        if len(rest) >= 8:
+            size, at = struct.unpack(">II", rest[:8])
+            if size <= EXTENDED_BYTES and at + len(rest) - 8 <= size:
+                whole.setdefault(name, bytearray(size))[at : at + len(rest) - 8] = rest[8:]
+    yield from map(bytes, whole.values())
+
+
+#: Bytes of XMP that segments may add up to.
+EXTENDED_BYTES = 16 << 20
+
+
 def _packet(raw: bytes) -> tuple[str, str] | None:
     """What an XMP packet declares: a manifest, or a generator or source type."""
     low = raw.decode("utf-8", errors="replace").lower()
@@ -116,22 +167,29 @@ def findings(content: bytes) -> list[dict]:
     if kind == "png":
         for name, data in png_chunks(content):
             if name == b"caBX":
-                found.append(("container.c2pa-manifest", "manifest chunk"))
+                found.append(_boxed(data, "manifest chunk"))
             elif name in (b"tEXt", b"iTXt"):
                 found.append(_png_text(name, data))
             elif name == b"eXIf":
                 found.append(_exif(data))
     elif kind == "jpeg":
+        parts, box = [], b""
         for marker, data in jpeg_segments(content):
-            if marker == 0xEB and b"jumb" in data[:64]:
-                found.append(("container.c2pa-manifest", "manifest segment"))
+            if marker == 0xEB and data[:2] == b"JP":
+                # A box that goes on repeats its head in each segment: common mark, box number, packet number, box head.
+                box += data[8:] if not box else data[16:]
+            elif marker == 0xE1 and data.startswith(EXTENDED):
+                parts.append(data[len(EXTENDED) :])
             elif marker == 0xE1 and data.startswith(b"Exif\0\0"):
                 found.append(_exif(data))
             elif marker == 0xE1:
                 found.append(_packet(data))
+        found += map(_packet, extended_packets(parts))
+        if any(True for _ in boxes(box)):
+            found.append(_boxed(box, "manifest segments"))
     elif kind == "webp":
         for name, data in webp_chunks(content):
-            found.append(("container.c2pa-manifest", "manifest chunk") if name == b"C2PA" else _exif(data) if name == b"EXIF" else _packet(data) if name == b"XMP " else None)
+            found.append(_boxed(data, "manifest chunk") if name == b"C2PA" else _exif(data) if name == b"EXIF" else _packet(data) if name == b"XMP " else None)
     elif kind == "svg":
         found += [_packet(m.encode()) for m in regex.findall(r"(?is)<metadata.*?</metadata>|<x:xmpmeta.*?</x:xmpmeta>", content.decode("utf-8", errors="replace"))]
         if b"c2pa:manifest" in content:
