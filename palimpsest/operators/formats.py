@@ -211,3 +211,19 @@ def container_findings(files: DataFrame, id_col: str, text_col: str = "text", fo
         return pa.array([containers(t, k) if t is not None else [] for t, k in pairs], note)
 
     return files.select(F.col(f"`{id_col}`"), F.explode(once(scan)(F.col(f"`{text_col}`"), F.col(f"`{format_col}`"))).alias("f")).select(id_col, "f.rule_id", "f.message")
+
+
+def prose_spans(files: DataFrame, text_col: str = "text", format_col: str = "format", out: str = "spans") -> DataFrame:
+    """``files`` with ``out``: the texts of the editable spans in order; null where ``clean_files`` gives no report."""
+
+    @F.arrow_udf("array<string>")
+    def read(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), kinds.to_pylist())
+        return pa.array([[s.text for s in READERS[k](t)] if t is not None and k in READERS else None for t, k in pairs], pa.list_(pa.string()))
+
+    return files.withColumn(out, once(read)(F.col(f"`{text_col}`"), F.col(f"`{format_col}`")))
+
+
+def joined_prose(files: DataFrame, text_col: str = "text", format_col: str = "format", out: str = "prose") -> DataFrame:
+    """``files`` with ``out``: all prose of a document as one text, a line for each span."""
+    return prose_spans(files, text_col, format_col, out).withColumn(out, F.array_join(out, "\n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
@@ -171,6 +171,16 @@ def _clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "report.changed", "report.edits_applied", "report.flags", F.md5("report.cleaned").alias("cleaned_md5"), "report.error")
 
 
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of every page's prose, all spans joined."""
+    made = formats.joined_prose(_pages(spark, sf_dir).select("page_id", F.col("html").alias("text"), F.lit("html").alias("format")))
+    return made.select("page_id", F.md5(F.regexp_replace("prose", "[^\\p{L}]", "")).alias("letters_md5"))
+
+
+_PROSE = """SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<[^>]*>', '', 'g'),
+  '&amp;', ' '), '&lt;', ' '), '&gt;', ' '), '&quot;', ' '), '[^\\p{L}]', '', 'g')) AS letters_md5 FROM pages"""
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to which metadata is added by id: each kind is found, other pages have none."""
     extra = F.element_at(
@@ -184,6 +194,36 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.container_findings(pages, "page_id").groupBy("page_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NAMES, _VALUES, _TOOLS = ("utm_source", "ref", "utm_medium", "page"), ("chatgpt.com", "newsletter", "perplexity", "claude.ai", "kimi"), ("ChatGPT", "Hugo", "Claude 4", "vi", "gemini")
+
+
+def _of(values: tuple[str, ...], divisor: int = 1) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.floor(F.col("doc_id") / divisor), F.lit(len(values))) + 1).cast("int"))
+
+
+def _markdown_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown files with front matter, a link, a list and trailing tabs whose contents follow from their ids."""
+    ident = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("---\ntitle: x\ngenerator: "), _of(_TOOLS), F.lit("\n---\n"))
+    link = F.concat(F.lit("\n\nSee [it](https://ex.am/"), ident, F.lit("?"), _of(_NAMES), F.lit("="), _of(_VALUES), F.lit("&x=1) not ![p](https://ex.am/?ref=kimi)\n\n"))
+    items = F.repeat(F.lit("- **Label:** text\n"), F.pmod("doc_id", F.lit(6)).cast("int"))
+    tabs = F.concat(F.lit("\nplain\n"), F.repeat(F.lit("line \t\n"), F.pmod("doc_id", F.lit(3)).cast("int")), F.lit("```\ncode \t\n```\n"))
+    files = _documents(spark, sf_dir).select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), link, items, tabs).alias("text"), F.lit("markdown").alias("format"))
+    return formats.container_findings(files, "doc_id").groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _markdown_containers_sql() -> str:
+    pick = lambda values: f"[{', '.join(map(repr, values))}][doc_id % {len(values)} + 1]"
+    some = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    named = " OR ".join(f"contains(lower({pick(_TOOLS)}), '{t}')" for t in lit.FRONT_MATTER_TOOLS)
+    return f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS (
+SELECT doc_id, 'container.markdown-frontmatter' AS rule_id, CASE WHEN {named} THEN 1 ELSE 0 END AS n FROM x UNION ALL
+SELECT doc_id, 'markers.ai-tracking-urls.container', CASE WHEN {pick(_NAMES)} <> 'page' AND {pick(_VALUES)} IN {some(lit.PROVIDERS)} THEN 1 ELSE 0 END FROM x UNION ALL
+SELECT doc_id, 'style.list.inline-headers', CASE WHEN doc_id % 6 >= 3 THEN 1 ELSE 0 END FROM x UNION ALL
+SELECT doc_id, 'unicode.whitespace-stego', doc_id % 3 + len(regexp_extract_all(t, '(?m)[^ \\t\\r\\n][ \\t]*\\t[ \\t]*\\r?$')) FROM x)
+SELECT doc_id, rule_id, CAST(n AS BIGINT) AS n FROM r WHERE n > 0"""
+
+
 _CONTAINERS = """SELECT page_id, CASE page_id % 7 WHEN 6 THEN 'container.c2pa-manifest' ELSE 'container.html-ai-metadata' END AS rule_id, CAST(1 AS BIGINT) AS n
 FROM pages WHERE page_id % 7 IN (1, 2, 3, 6)"""
 
@@ -282,7 +322,9 @@ def queries() -> dict[str, Query]:
         "inlines": _inlines,
         "pages_markdown": _pages_markdown,
         "clean_pages": _clean_pages,
+        "joined_prose": _prose,
         "container_findings": _containers,
+        "markdown_containers": _markdown_containers,
         "convert_pages": _convert_pages,
         "convert_documents": _convert_documents,
         "docx_round_trip": _docx_round_trip,
@@ -311,6 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "inlines": oracles.INLINES,
         "pages_markdown": oracles.PAGES_MARKDOWN,
         "container_findings": _CONTAINERS,
+        "markdown_containers": _markdown_containers_sql(),
+        "joined_prose": _PROSE,
         "docx_round_trip": "SELECT doc_id, true AS same FROM documents",
         "pdf_round_trip": "SELECT doc_id, true AS same FROM documents",
         "pdf_layout": "SELECT doc_id, true AS same FROM documents",

@@ -195,3 +195,26 @@ def findings(content: bytes) -> list[dict]:
         if b"c2pa:manifest" in content:
             found.append(("container.c2pa-manifest", "embedded manifest"))
     return [{"rule_id": r, "message": m} for r, m in dict.fromkeys(f for f in found if f)]
+
+
+def dimensions(content: bytes) -> tuple[int, int] | None:
+    """Width and height in pixels that a picture's head states."""
+    kind = kind_of(content)
+    if kind == "png" and content[12:16] == b"IHDR" and len(content) >= 24:
+        return struct.unpack(">II", content[16:24])
+    if kind == "jpeg":
+        for marker, data in jpeg_segments(content):
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(data) >= 5:
+                high, wide = struct.unpack(">HH", data[1:5])
+                return wide, high
+    if kind == "webp":
+        for name, data in webp_chunks(content):
+            if name == b"VP8X" and len(data) >= 10:
+                return int.from_bytes(data[4:7], "little") + 1, int.from_bytes(data[7:10], "little") + 1
+            if name == b"VP8 " and data[3:6] == b"\x9d\x01\x2a" and len(data) >= 10:
+                wide, high = struct.unpack("<HH", data[6:10])
+                return wide & 0x3FFF, high & 0x3FFF
+            if name == b"VP8L" and data[:1] == b"\x2f" and len(data) >= 5:
+                bits = int.from_bytes(data[1:5], "little")
+                return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    return None
