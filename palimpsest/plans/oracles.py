@@ -218,7 +218,35 @@ def _steps(level: int) -> list[tuple[str, str, str]]:
         ("typo.en-dash.to-hyphen", *e["typo.en-dash.to-hyphen"]), ("typo.quotes.straighten", *e["typo.quotes.straighten"]),
         ("typo.html-entities.decode", e["typo.html-entities.decode"][0], f"replace({decoded}, chr(1048573), '&amp;lt;')"),
     ]
-    return light if level == R.LIGHT else [light[0], standard[0], *light[1:], *standard[1:]]
+    if level == R.LIGHT:
+        return light
+    if level == R.STANDARD:
+        return [light[0], standard[0], *light[1:], *standard[1:]]
+    remove = lambda pattern, to="": f"regexp_replace(t, {literal(pattern)}, '{to}', 'g')"
+    em = f"[{re2(*R.EM_DASHES)}]"
+    dashes = f"replace(regexp_replace(regexp_replace({remove(f'([0-9]){em}([0-9])', chr(92) + '1' + chr(1048572) + chr(92) + '2')}, ' {em} ', ', ', 'g'), '{em}', '--', 'g'), '{chr(1048572)}', '—')"
+    near = re2(0x200C, 0x200D)
+    joiners = f"regexp_replace({remove(f'([A-Za-z0-9])[{near}]([A-Za-z0-9])', chr(92) + '1' + chr(92) + '2')}, {literal(f'([^{near}])[{near}]([{re2((0x200B, 0x200D), 0x2060, 0xFEFF)}])')}, '\\1\\2', 'g')"
+    parameter = r"(?:utm_source|utm_medium|utm_campaign|utm_content|ref|referrer|referer)=(?:" + any_of(lit.PROVIDERS) + ")"
+    untracked = f"regexp_replace({remove('(?i)(https?://[^ <>]*[?&])' + parameter + '&', chr(92) + '1')}, {literal('(?i)(https?://[^ <>]*)[?&]' + parameter + '([#.,;:! ]|$)')}, '\\1\\2', 'g')"
+    turn = r"turn[0-9]+[a-z]{1,32}[0-9]+(?:l[0-9]+(?:-l[0-9]+)?)?"
+    decoded = decoded.replace("replace(t, '&amp;lt;'", "replace(replace(t, ' &#8212; ', ', '), '&amp;lt;'")
+    taken = {
+        "unicode.zero-width.strip": joiners, "typo.em-dash.to-comma": dashes, "markers.ai-tracking-urls.strip": untracked,
+        "unicode.math-styled.normalize": "replace(t, '\U0001d401\U0001d428\U0001d425\U0001d41d', 'Bold')",
+        "typo.detokenizer.normalize": f"replace({remove(r'([\x21-\x7e])[ĠĊ]([A-Za-z])', chr(92) + '1 ' + chr(92) + '2')}, '▁', ' ')",
+        "markers.private-use-citations.strip": remove(r"\x{E200}(?:cite|filecite)(?:\x{E202}[A-Za-z0-9_-]+)+\x{E201}"),
+        "markers.citation-brackets.strip": remove(r"(?i)【(?:(?:cite|filecite)(?:\|turn[0-9]+[a-z]{1,32}[0-9]+)+(?:\|l[0-9]+(?:-l[0-9]+)?)?|turn[0-9]+[a-z]{1,32}[0-9]+)】"),
+        "markers.turn-citations.strip": remove(rf"(?i)([^a-z0-9_]|^)(?:(?:file)?cite)?(?:{turn})+([^a-z0-9_]|$)", "\\1\\2"),
+        "markers.legacy-citations.strip": remove(r"(?i)(?:(?:::)?contentreference)?(?:\[oaicite:[0-9]+\]|\(oaicite:[0-9]+\))(?:\{index=[0-9]+\})?"),
+        "markers.chat-tokens.strip": remove(f"(?i)(?:{any_of(w.lower() for w in lit.CHAT_TOKENS_REMOVED)})"),
+        "markers.chat-ui-disclaimer.strip": remove(f"(?i)(?:{any_of(w.lower() for w in lit.UI_DISCLAIMERS)})"),
+    }
+    stated = ("unicode.private-use.strip", "unicode.whitespace-stego.strip", "typo.fullwidth.normalize", "typo.cjk-punctuation.normalize", "markers.gemini-citations.strip", "markers.c2pa-structured-manifest.strip")
+    first = ("markers.private-use-citations.strip", "markers.citation-brackets.strip")
+    more = [(r, e[r][0], taken[r]) for r in first] + [(r, *e[r]) for r in stated] + [(r, e[r][0], t) for r, t in taken.items() if r not in first]
+    last = (standard[-1][0], standard[-1][1], f"replace({decoded}, chr(1048573), '&amp;lt;')")
+    return [light[0], standard[0], *more, *light[1:], *standard[1:-1], last]
 
 
 def _flags(level: int) -> list[tuple[str, str]]:
@@ -240,7 +268,8 @@ def _counted(level: int) -> str:
     parts.append("x0 AS (SELECT doc_id, t FROM docs)")
     for k, (_, n, new) in enumerate(steps):
         before = "".join(f", n{j}" for j in range(k))
-        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT doc_id{before}, CAST({n} AS BIGINT) AS n{k}, {new} AS t FROM x{k})")
+        source = f"(SELECT *, string_split(t, '') AS c FROM x{k})" if "c[i]" in n else f"x{k}"
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT doc_id{before}, CAST({n} AS BIGINT) AS n{k}, {new} AS t FROM {source})")
     parts.append(f"last AS (SELECT * FROM x{len(steps)})")
     return ", ".join(parts)
 
@@ -258,6 +287,15 @@ def report_sql(level: int) -> str:
 SELECT rule_id, CAST(sum(applied) AS BIGINT) AS applied, CAST(sum(flagged) AS BIGINT) AS flagged FROM rows GROUP BY rule_id HAVING sum(applied) + sum(flagged) > 0"""
 
 
+def diff_sql(level: int) -> str:
+    """Changed lines, those of a stretch first as they were and then as they are; edits never add or remove a line."""
+    return f"""WITH {_counted(level)}, pair AS (SELECT doc_id, string_split(docs.t, chr(10)) AS a, string_split(last.t, chr(10)) AS b FROM docs JOIN last USING (doc_id)),
+each AS (SELECT doc_id, i, a[i] AS old, b[i] AS new FROM (SELECT doc_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM pair) WHERE a[i] <> b[i]),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM each),
+sides AS (SELECT doc_id, run, 0 AS side, i, '-' || old AS line FROM runs UNION ALL SELECT doc_id, run, 1, i, '+' || new FROM runs)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, side, i) - 1 AS BIGINT) AS pos, line FROM sides"""
+
+
 def finding_counts_sql() -> str:
     """Findings by document and rule at the highest level, conflicts included."""
     e = rule_expressions()

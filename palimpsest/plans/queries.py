@@ -341,6 +341,8 @@ def oracle_sql() -> dict[str, str]:
         "lexical_pack": f"WITH {injection.sql()}, lex AS ({oracles.lexical_sql()}) SELECT * FROM lex",
         "clean_light": oracles.clean_sql(R.LIGHT),
         "clean_standard": oracles.clean_sql(R.STANDARD),
+        "clean_aggressive": oracles.clean_sql(R.AGGRESSIVE),
+        "clean_diff": oracles.diff_sql(R.STANDARD),
         "clean_twice": "SELECT false AS changed, count(*) AS n FROM documents",
         "report_by_rule": oracles.report_sql(R.STANDARD),
         "finding_counts": oracles.finding_counts_sql(),
