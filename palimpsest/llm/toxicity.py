@@ -215,12 +215,12 @@ def score_column(model: Model):
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
     """``(id, score)`` for every row; nulls in the id stay, a null text is an empty one, repeated rows are scored each."""
-    return docs.select(id_col, score_column(model)(F.col(f"`{text_col}`").cast("binary")).alias(out))
+    return docs.select(F.col(quoted(id_col)), score_column(model)(F.col(quoted(text_col)).cast("binary")).alias(out))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, columns unchanged."""
-    return docs.filter(score_column(model)(F.col(f"`{text_col}`").cast("binary")) < threshold)
+    return docs.filter(score_column(model)(F.col(quoted(text_col)).cast("binary")) < threshold)
 
 
 def held_out(key):
