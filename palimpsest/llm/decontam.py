@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items, each text scanned once.
 
 Texts and items become lower-cased words of letters and digits. A window is ``width`` consecutive words of an item, or
-the whole of a shorter item. The automaton's alphabet is word numbers, not characters: each item word has a number,
-any other word is 0, so a match ends at a word's position and maps to the original text without search. Its entries are
+the whole of a shorter item. The automaton's alphabet is word numbers, not characters, in a few digits each, so that no
+node has many successors to look through: a match ends at a word's position and maps to the original text without search,
+and stretches of words that no item has are not looked at. Its entries are
 the items' stretches of ``(width + 1) // 2`` words, end to end: whichever window a text holds, it holds a whole stretch of
 it, and there the match is extended both ways to its full length. That takes one node a word, not one for each word of
 each window. The benchmark is measured before it is sent: items are dealt to blocks of bounded bytes, each block is one
@@ -26,6 +27,8 @@ from .common import ALNUM_WORD, SLICE_ROWS, alnum_words, free_names, quoted, rea
 WIDTH = 13
 #: Bytes of benchmark text in one automaton.
 BLOCK_BYTES = 8 << 20
+#: Bits of one digit of a word's number.
+DIGIT_BITS = 6
 #: Places of one stretch in the benchmark from which their surroundings are compared by arrays.
 MANY = 32
 
@@ -73,9 +76,11 @@ class Windows:
             elif ids:
                 whole.setdefault(tuple(ids), set()).add(name)
         self.flat, self.owner = np.array([-1] * step + flat, np.int32), np.array([-1] * step + owner, np.int32)
+        self.digits = max(1, -(-len(self.number).bit_length() // DIGIT_BITS))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for entry in starts.keys() | whole.keys():
-            self.automaton.add_word(entry, (len(entry), np.array(starts.get(entry, []), np.int64) + step, tuple(whole.get(entry, ()))))
+            value = (len(entry), np.array(starts.get(entry, []), np.int64) + step, tuple(whole.get(entry, ())))
+            self.automaton.add_word(self._symbols(np.array(entry, np.int32)), value)
         self.least = min(map(len, starts.keys() | whole.keys()), default=0)
         if self.least:
             self.automaton.make_automaton()
@@ -90,8 +95,7 @@ class Windows:
         items: set[str] = set()
         #: Where the last match on a diagonal of text and benchmark ended: its stretches need no second look.
         seen: dict[int, int] = {}
-        for end, (size, starts, names) in self.automaton.iter(tuple(ids.tolist())):
-            first = end - size + 1
+        for first, end, starts, names in self._matches(ids):
             if names:
                 runs.append((first, end))
                 items.update(names)
@@ -107,6 +111,21 @@ class Windows:
                     items.add(self.names[self.owner[at]])
         return len(words), merged(runs), items
 
+    def _symbols(self, ids: np.ndarray) -> tuple[int, ...]:
+        """Word numbers as digits; each place has digits of its own, so entries match whole words only."""
+        places = [(ids >> DIGIT_BITS * k & (1 << DIGIT_BITS) - 1) + (k << DIGIT_BITS) for k in range(self.digits)]
+        return tuple(np.stack(places, axis=1).ravel().tolist())
+
+    def _matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, tuple[str, ...]]]:
+        """(first word, last word, places, names) of each entry in the text, stretch by stretch of known words."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).astype(np.int8), [0]))))
+        begin, stop = edge[::2], edge[1::2]
+        long = stop - begin >= self.least
+        for lo, hi in zip(begin[long].tolist(), stop[long].tolist()):
+            for at, (size, starts, names) in self.automaton.iter(self._symbols(ids[lo:hi])):
+                end = lo + at // self.digits
+                yield end - size + 1, end, starts, names
+
     def _extended(self, ids: np.ndarray, a: int, b: int, at: int) -> tuple[int, int]:
         """The longest match around the words ``a`` to ``b`` of the text, which stand at ``at`` in the benchmark."""
         flat, shift = self.flat, at - a
