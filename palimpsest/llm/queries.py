@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, mixing, parts, pii, quality, sharding, simhash, topk, toxicity
+from . import chat, decontam, jaccard, licenses, mixing, parts, pii, quality, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
+    "op13_jaccard": jaccard.query,
     "licence_phrases": parts.licence_phrases,
     "private_base": parts.private_base,
     "shard_laws": parts.shard_laws,
