@@ -53,8 +53,8 @@ def kinds(breaks: bytes = b"", gaps: bytes = b" \t\n\x0b\x0c\r") -> np.ndarray:
     return table
 
 
-def words(text: bytes | None, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a text, A-Z lower-cased, and the number of the piece in which each stands."""
+def words(text: bytes | None, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, A-Z lower-cased, the number of the piece in which each stands, its start and end."""
     raw = np.frombuffer(text or b"", np.uint8)
     kind = (kinds() if table is None else table)[raw]
     inside = np.zeros(len(raw) + 2, np.int8)
@@ -74,7 +74,7 @@ def words(text: bytes | None, table: np.ndarray | None = None) -> tuple[np.ndarr
         out[at:upto] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
         at = upto
     pieces = np.cumsum(kind == BREAK)[starts] if (kind == BREAK).any() else np.zeros(len(starts), np.int64)
-    return mixed(out), pieces
+    return mixed(out), pieces, starts, ends
 
 
 def joined(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -88,5 +88,5 @@ def joined(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
     """Hashes of the distinct shingles of ``size`` words in ascending order; a shorter text is one, no words are none."""
-    found, _ = words(text)
+    found = words(text)[0]
     return np.unique(joined(found, min(size, len(found)))) if len(found) else found

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, licenses, mixing, parts, pii, quality, runs, sharding, simhash, topk, toxicity
+from . import chat, decontam, jaccard, licenses, mixing, parts, phrases, pii, quality, runs, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
+    "op11_phrases": phrases.query,
     "op12_runs": runs.query,
     "op13_jaccard": jaccard.query,
     "licence_phrases": parts.licence_phrases,
@@ -31,6 +32,7 @@ ORACLES: dict[str, str] = {
     "op1_chat": chat.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_runs": runs.ORACLE,
     "licence_phrases": parts.LICENCE_PHRASES,
     "private_base": parts.PRIVATE_BASE,

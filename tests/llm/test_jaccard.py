@@ -85,9 +85,10 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     monkeypatch.setattr(hashed, "BLOCK", 64)
     text = (words(300, 3) + " " + "long" * 100 + " É𝐀 ÀB\x0bc").encode()
     plain_words = text.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
-    got, pieces = hashed.words(text)
+    got, pieces, starts, ends = hashed.words(text)
     names = {}
+    assert [text[a:b].lower() for a, b in zip(starts.tolist(), ends.tolist())] == [w.lower() for w in plain_words]
     assert len(got) == len(plain_words) and not pieces.any()
     assert all(names.setdefault(h, w) == w for h, w in zip(got.tolist(), plain_words)) and len(names) == len(set(plain_words))
-    got, pieces = hashed.words(b"a b. c\n d", hashed.kinds(b".\n", b" "))
+    _, pieces, _, _ = hashed.words(b"a b. c\n d", hashed.kinds(b".\n", b" "))
     assert pieces.tolist() == [0, 0, 1, 2]
