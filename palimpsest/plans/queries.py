@@ -13,7 +13,7 @@ from ..functions.text import line_skeleton, newline_kind
 from ..operators import blocks, diff, engine, formats, layout, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
-from . import injection, oracles
+from . import injection, oracles, pages
 from .injection import injected
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +332,7 @@ def queries() -> dict[str, Query]:
         "pdf_layout": _pdf_layout,
         "media_findings": _media,
         "coverage": lambda spark, sf_dir: coverage(spark),
+        **pages.QUERIES,
     }
 
 
@@ -361,4 +362,5 @@ def oracle_sql() -> dict[str, str]:
         "pdf_round_trip": "SELECT doc_id, true AS same FROM documents",
         "pdf_layout": "SELECT doc_id, true AS same FROM documents",
         "media_findings": _MEDIA,
+        **pages.ORACLES,
     }
