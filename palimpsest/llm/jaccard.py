@@ -13,7 +13,7 @@ thousands of near copies cost a row a member and no pair is lost. Sets are compa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ LEAST = 90
 #: Orders besides the one that makes the meeting places.
 MORE_ORDERS = 2
 #: Sets in a tile of a meeting place; of those that meet a first set in one bin.
-TILE, BIN = 1024, 256
+TILE, BIN = 512, 256
 #: Shingles of a chunk of documents, and of a part of hash space that is counted at once.
 CHUNK, PART = 1_000_000, 4_000_000
 LEADERS = 2
@@ -261,54 +261,119 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return brought.union(asked).repartition(tasks, "bin").sortWithinPartitions("bin", "kind").mapInArrow(run, "a long, b long")
 
 
-def _candidates(places: DataFrame, least: int, more: int) -> DataFrame:
-    """Pairs ``(bin, a, b)`` of different components that meet in a tile pair and pass the other orders and the sizes."""
-    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_PLACED = "t long, i int, j int, side int, key long, comp long, n long, first array<long>, others binary"
+
+
+def _meeting(lists: list[np.ndarray]) -> np.ndarray:
+    """Which of the lists have a value in common."""
+    meet = np.zeros((len(lists), len(lists)), bool)
+    values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    cut = np.flatnonzero(np.diff(values)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(values)]):
+        if hi - lo > 1:
+            meet[np.ix_(owner[lo:hi], owner[lo:hi])] = True
+    return meet
+
+
+def _near(rows: list[tuple], least: int, more: int) -> np.ndarray:
+    """Which sets of a tile pair are candidates: of different components and near sizes, sharing a prefix shingle under
+    every order, and with this place as the least that they share under the first. ``rows`` ascend by size."""
+    t, side, comp, n = rows[0][0], *(np.array([r[k] for r in rows]) for k in (3, 5, 6))
+    near = np.triu((100 * n[:, None] >= least * n[None, :]) & (comp[:, None] != comp[None, :]), 1)
+    if side.any():
+        near &= side[:, None] != side[None, :]
+    others = [np.frombuffer(r[8], np.uint32) for r in rows]
+    for k in range(more):
+        if not near.any():
+            return near
+        near &= _meeting([x[len(x) // more * k : len(x) // more * (k + 1)] for x in others])
+    return near & ~_meeting([np.array([v for v in r[7] if v < t], np.int64) for r in rows]) if near.any() else near
+
+
+def _overlaps(near: np.ndarray, tokens: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """For each candidate pair how many shingles it shares: pair by pair, or, of many pairs, by products of blocks of an
+    indicator matrix over the shingles that several of the sets have."""
+    i, j = np.nonzero(near)
+    values, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    names, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    at, owner = column[at[keep]], owner[keep]
+    width = int((times > 1).sum())
+    if len(i) < 20 * len(tokens) * (1 + width // 4096):
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = sorted((tokens[a], tokens[b]), key=len)
+            found = np.searchsorted(y, x)
+            found[found == len(y)] = 0
+            yield a, b, int((y[found] == x).sum())
+        return
+    both = np.zeros(near.shape, np.float32)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for lo in range(0, width, 4096):
+        some = slice(*np.searchsorted(at, (lo, lo + 4096)).tolist())
+        marks = np.zeros((len(tokens), min(4096, width - lo)), np.float32)
+        marks[owner[some], at[some] - lo] = 1
+        both += marks @ marks.T
+    yield from zip(i.tolist(), j.tolist(), both[i, j].astype(np.int64).tolist())
+
+
+def _by_tiles(placed: DataFrame, columns: str, out: str, work: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``work`` on the rows of each tile pair, which ascend by size."""
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         held: list[tuple] = []
+        for part in sliced(batches):
+            for row in zip(*part):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        yield from work(sorted(held, key=lambda r: (r[6], r[4])))
+                    now = row[:3]
+                    held.clear()
+                held.append(row)
+        if len(held) > 1:
+            yield from work(sorted(held, key=lambda r: (r[6], r[4])))
 
-        def close() -> Iterator[pa.RecordBatch]:
-            rows = sorted(held, key=lambda r: r[7])
-            held.clear()
-            if len(rows) < 2:
-                return
-            side, key, comp, n = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
-            near = (100 * n[:, None] >= least * n[None, :]) & (comp[:, None] != comp[None, :])
-            near = np.triu(near, 1)
-            if side.any():
-                near &= side[:, None] != side[None, :]
-            lists = [np.frombuffer(r[8], np.uint32) for r in rows]
-            for k in range(more):
-                if not near.any():
-                    return
-                some = [x[len(x) // more * k : len(x) // more * (k + 1)] for x in lists]
-                meet = np.zeros_like(near)
-                tokens = np.concatenate(some)
-                owner = np.repeat(np.arange(len(rows)), [len(x) for x in some])
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                cut = np.flatnonzero(np.diff(tokens)) + 1
-                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(tokens)]):
-                    if hi - lo > 1:
-                        meet[np.ix_(owner[lo:hi], owner[lo:hi])] = True
-                near &= meet
-            i, j = np.nonzero(near)
-            a, b = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
-            name = np.full(len(a), xxhash.xxh64_intdigest(repr(now).encode()) - (1 << 63), np.int64)
-            for lo in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (name, a, b)], names=["bin", "a", "b"])
+    return placed.select(names).repartition(tasks, "t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, out)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[1:4] != now:
-                    yield from close()
-                    now = row[1:4]
-                held.append(row)
-        yield from close()
 
-    return places.repartition(tasks, "t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, "bin long, a long, b long").groupBy("a", "b").agg(F.min("bin").alias("bin")).select("bin", "a", "b")
+def compared(placed: DataFrame, sets: DataFrame, least: int, more: int) -> DataFrame:
+    """``(a, b)``: links between components among the sets of tile pairs, of each tile pair enough to connect what it links.
+
+    First the filters leave those sets that are in a candidate pair at all; these get their shingles and are compared where
+    they meet, so pairs are never rows.
+    """
+    schema = pa.schema([("t", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("key", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("others", pa.binary())])
+
+    def narrow(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        near = _near(rows, least, more)
+        some = [r for r, x in zip(rows, (near.any(axis=0) | near.any(axis=1)).tolist()) if x]
+        for lo in range(0, len(some), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some[lo : lo + 256]), schema)], schema=schema)
+
+    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        near = _near(rows, least, more)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        found = []
+        for i, j, both in _overlaps(near, [np.frombuffer(r[9], np.uint64) for r in rows]):
+            if 100 * both >= least * (rows[i][6] + rows[j][6] - both) and (a := top(rows[i][5])) != (b := top(rows[j][5])):
+                root[a] = b
+                found.append((rows[i][4], rows[j][4]))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    left = written(_by_tiles(placed, _PLACED, _PLACED, narrow))
+    return _by_tiles(left.join(sets.select("key", "tokens"), "key"), f"{_PLACED}, tokens binary", "a long, b long", compare)
 
 
 def links(sets: DataFrame, least: int = LEAST, more: int = MORE_ORDERS, tile: int = TILE) -> DataFrame:
@@ -340,11 +405,10 @@ def links(sets: DataFrame, least: int = LEAST, more: int = MORE_ORDERS, tile: in
     open_places = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
     open_places = written(open_places.select("t", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), "n"))
     here = join_by_key(now, open_places, ["t"], total)
-    here = here.join(first.select("key", F.col("n").alias("size"), "others"), "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int"))
+    here = here.join(first, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int"))
     ends = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
-    placed = here.withColumn("e", F.explode(ends)).select(F.lit(0).alias("z"), "t", "e.i", "e.j", "e.side", "key", "comp", F.col("size").alias("n"), "others")
-    pairs = written(_candidates(placed, least, more))
-    return written(components(written(edges.union(verified(pairs, sets, least)))))
+    placed = here.withColumn("e", F.explode(ends)).select("t", "e.i", "e.j", "e.side", "key", "comp", "n", "first", "others")
+    return written(components(written(edges.union(compared(placed, sets, least, more)))))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: int = LEAST, more: int = MORE_ORDERS, tile: int = TILE) -> DataFrame:

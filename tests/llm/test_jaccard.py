@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from corpora import documents, space_words, words
 from pyspark.sql import functions as F
@@ -92,3 +93,13 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     assert all(names.setdefault(h, w) == w for h, w in zip(got.tolist(), plain_words)) and len(names) == len(set(plain_words))
     _, pieces, _, _ = hashed.words(b"a b. c\n d", hashed.kinds(b".\n", b" "))
     assert pieces.tolist() == [0, 0, 1, 2]
+
+
+def test_overlaps_by_products_equal_those_pair_by_pair():
+    r = random.Random(8)
+    tokens = [np.array(sorted(r.sample(range(9000), r.randrange(1, 9000))), np.uint64) for _ in range(60)]
+    near = np.triu(np.ones((60, 60), bool), 1)
+    many = list(jaccard._overlaps(near, tokens))
+    assert len(many) == 1770 and all(both == len(np.intersect1d(tokens[i], tokens[j])) for i, j, both in many)
+    few = near & (np.arange(60)[:, None] == 3)
+    assert list(jaccard._overlaps(few, tokens)) == [x for x in many if x[0] == 3]
