@@ -44,7 +44,7 @@ def _overlap(low: Column, high: Column, low2: Column, high2: Column) -> Column:
 
 def _whole(*names: str) -> Column:
     """None of the columns is null or not a number."""
-    return ~F.array_contains(F.array(*[F.coalesce(F.isnan(F.col(n).cast("double")), F.lit(True)) for n in names]), True)
+    return ~F.array_contains(F.array(*[F.col(n).isNull() | F.isnan(F.col(n).cast("double")) for n in names]), True)
 
 
 def boxes(fills: DataFrame, pages: DataFrame) -> DataFrame:
