@@ -13,7 +13,7 @@ from ..functions.text import line_skeleton, newline_kind
 from ..operators import blocks, diff, engine, formats, layout, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
-from . import injection, oracles, pages
+from . import injection, oracles, pages, trees
 from .injection import injected
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,6 +333,7 @@ def queries() -> dict[str, Query]:
         "media_findings": _media,
         "coverage": lambda spark, sf_dir: coverage(spark),
         **pages.QUERIES,
+        **trees.QUERIES,
     }
 
 
@@ -363,4 +364,5 @@ def oracle_sql() -> dict[str, str]:
         "pdf_layout": "SELECT doc_id, true AS same FROM documents",
         "media_findings": _MEDIA,
         **pages.ORACLES,
+        **trees.ORACLES,
     }
