@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry, tables
+from ..operators import geometry, integrity, tables
 
 _ITEMS = """
 SELECT DISTINCT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey AS o, l_partkey AS p,
@@ -207,3 +207,37 @@ ORACLES: dict[str, str] = {
     "interval_cover": _sql(_COVERS, blocks=_BLOCKS),
     "order_tables": _ORDER_TABLES,
 }
+
+#: Line items of a supplier in order as the blocks of a document of eight pages, with what goes wrong in one place or another.
+_DOCUMENT_BLOCKS = """
+SELECT id, ord, kind, CAST(CASE WHEN o % 13 = 0 THEN 0 ELSE 1 + o % 50 END AS INT) AS chars, CASE WHEN kind = 'figure' THEN p * 3 % 60 END AS asset,
+  CASE WHEN o % 97 = 0 THEN 0 WHEN o % 89 <> 0 THEN CAST(ord // 80 AS INT) END AS page, CAST(p * 7 % 600 - 5 AS DOUBLE) AS x, CAST(o * 11 % 780 AS DOUBLE) AS y, CAST(1 + o % 30 AS DOUBLE) AS w, CAST(1 + p % 20 AS DOUBLE) AS h, o, p
+FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS ord, o, p, CASE p % 7 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'divider' ELSE 'paragraph' END AS kind FROM items)
+"""
+_ASSETS = "SELECT id, p % 41 AS asset, min(o % 9) AS bytes FROM items GROUP BY id, p % 41"
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, assets = _laid_out(spark, sf_dir, _DOCUMENT_BLOCKS.replace("ord // 80", "ord div 80"), _ASSETS)
+    pages = blocks.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    columns = blocks.select("id", "ord", F.lit(0).alias("column"), (F.col("p") % 12).cast("double").alias("width"))
+    cells = blocks.select("id", "ord", F.lit(0).alias("row"), F.lit(0).alias("col"), (F.col("o") % 15).alias("rowspan"), (F.col("p") % 16).alias("colspan"))
+    return integrity.violations(blocks.drop("o", "p"), pages, assets, columns, cells)
+
+
+_VIOLATIONS = """
+, so_far AS (
+  SELECT *, max(page) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM blocks WHERE page IS NOT NULL
+)
+SELECT id, ord, 'empty' AS rule, kind AS detail FROM blocks WHERE chars = 0 AND kind NOT IN ('figure', 'divider', 'vector')
+UNION ALL SELECT id, ord, 'missing asset', asset::VARCHAR FROM blocks b WHERE kind = 'figure' AND NOT EXISTS (SELECT 1 FROM assets a WHERE a.id = b.id AND a.asset = b.asset)
+UNION ALL SELECT id, ord, 'unknown page', page::VARCHAR FROM blocks WHERE page > 5
+UNION ALL SELECT id, ord, 'off page', page::VARCHAR FROM blocks WHERE page <= 5 AND (x < -1 OR y < -1 OR x + w > 613 OR y + h > 793)
+UNION ALL SELECT id, ord, 'page order', page::VARCHAR FROM so_far WHERE page < before
+UNION ALL SELECT id, ord, 'zero width', '0' FROM blocks WHERE kind = 'table' AND p % 12 = 0
+UNION ALL SELECT id, ord, 'zero span', '0,0' FROM blocks WHERE kind = 'table' AND (o % 15 = 0 OR p % 16 = 0)
+UNION ALL SELECT id, NULL, 'empty asset', asset::VARCHAR FROM assets WHERE bytes = 0
+"""
+
+QUERIES["document_violations"] = _violations
+ORACLES["document_violations"] = _sql(_VIOLATIONS, blocks=_DOCUMENT_BLOCKS, assets=_ASSETS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import cleaned_path, format_of, with_extension
 from ..functions.text import line_skeleton, newline_kind
-from ..operators import blocks, diff, engine, formats, layout, lexicon, ngrams, packages, stylometry
+from ..operators import blocks, diff, engine, formats, lateral, layout, lexicon, ngrams, packages, stylometry
 from ..operators import literals as lit
 from ..operators import rules as R
 from . import injection, oracles, pages, trees
@@ -69,6 +69,17 @@ def _finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(start & size & (F.col("start") < F.col("end"))).alias("placed"))
 
 
+def _sql_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by document and rule in SQL text, by a lateral join with a table function."""
+    lateral.register(spark, prefix="engine_")
+    sql = """
+        SELECT doc_id, rule_id, count(*) AS n,
+          bool_and(octet_length(substring(text, 1, start)) = byte_start AND octet_length(substring(text, start + 1, end - start)) = byte_end - byte_start AND start < end) AS placed
+        FROM {docs}, LATERAL engine_findings(text, 'aggressive') GROUP BY doc_id, rule_id
+    """
+    return spark.sql(sql, docs=_injected(spark, sf_dir))
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", injected(F.col("doc_id"), F.col("text")).alias("text"))
     made = engine.cleaned(docs, "standard")
@@ -309,6 +320,7 @@ def queries() -> dict[str, Query]:
         "clean_aggressive": partial(_clean, level="aggressive"),
         "findings": _findings,
         "finding_counts": _finding_counts,
+        "sql_findings": _sql_findings,
         "report_by_rule": _report,
         "clean_twice": _unchanged,
         "clean_diff": _diff,
@@ -348,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_twice": "SELECT false AS changed, count(*) AS n FROM documents",
         "report_by_rule": oracles.report_sql(R.STANDARD),
         "finding_counts": oracles.finding_counts_sql(),
+        "sql_findings": oracles.finding_counts_sql(),
         "stylometry": oracles.STYLOMETRY,
         "ngram_disruption": oracles.ngrams_sql(),
         "newlines": _NEWLINES,
