@@ -8,7 +8,7 @@ from corpora import documents, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import chat, decontam, licenses, mixing, pii, quality, sharding, simhash, topk, toxicity
+from palimpsest.llm import chat, decontam, jaccard, licenses, mixing, phrases, pii, quality, runs, sharding, simhash, topk, toxicity
 
 LONG = 60_000
 
@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
 
 
 QUERIES = {
-    "op2": simhash.query, "op3": quality.query, "op4": licenses.query, "op5": pii.query, "op6": sharding.query, "op7": decontam.query, "op9": mixing.query, "op10": toxicity.query,
+    "op2": simhash.query, "op3": quality.query, "op4": licenses.query, "op5": pii.query, "op6": sharding.query, "op7": decontam.query, "op9": mixing.query, "op10": toxicity.query, "op12": runs.query, "op13": jaccard.query,
 }
 
 
@@ -52,10 +52,19 @@ def test_long_null_and_repeated_rows_have_results(spark, folder, name):
         assert by_id[6].n_email == 8_000 and by_id[6].n_card == 8_000 and by_id[8].spans == by_id[None].spans == ""
     if name == "op7":
         assert by_id[0].n_items == 1 and by_id[0].n_hit == 40 and not by_id[0].contaminated and by_id[3].n_words == LONG
+    if name == "op12":
+        assert by_id[3].n_runs == 1 and (by_id[3].start, by_id[3].period) == (0, 1) and by_id[8].n_runs == 0 and by_id[8].start is None
+    if name == "op13":
+        assert by_id[0].component_id == by_id[1].component_id == by_id[2].component_id == 0 and by_id[8].component_id == 8 and by_id[3].n_shingles == 1
     if name in ("op3", "op10"):
         assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_phrases_of_awkward_documents(spark, folder):
+    got = phrases.query(spark, folder).collect()
+    assert {r.lang for r in got} <= {"und", "z"} and any(r.phrase == "under the mit license" and r.a == 8_000 for r in got)
+
+
 def test_conversations_and_vectors(spark, folder):
     began = time.time()
     calls = chat.query(spark, folder).collect()
@@ -74,7 +83,7 @@ EMPTY = {
 def test_empty_tables_give_empty_results(spark, tmp_path):
     for name, kind in EMPTY.items():
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
-    for query in (*QUERIES.values(), chat.query, topk.query, corpus_pipeline.run):
+    for query in (*QUERIES.values(), chat.query, topk.query, phrases.query, corpus_pipeline.run):
         assert query(spark, str(tmp_path)).collect() == [], query
 
 
