@@ -5,14 +5,16 @@ the whole of a shorter item. The automaton's alphabet is word numbers, not chara
 node has many successors to look through: a match ends at a word's position and maps to the original text without search,
 and stretches of words that no item has are not looked at. Its entries are
 the items' stretches of ``(width + 1) // 2`` words, end to end: whichever window a text holds, it holds a whole stretch of
-it, and there the match is extended both ways to its full length. That takes one node a word, not one for each word of
-each window. The benchmark is measured before it is sent: items are dealt to blocks of bounded bytes, each block is one
-automaton and one scan, and between blocks the state is written, so that a worker never holds two; usual benchmarks are
-one block. Scans are narrow: documents are never shuffled.
+it, and there the text's windows around it are looked up among the benchmark's distinct windows. That takes one node a
+word, not one for each word of each window. The benchmark is measured before it is sent: items are dealt to blocks of
+bounded bytes, each block is one automaton and one scan, and a worker never holds two; usual benchmarks are one block, and
+then documents are never shuffled. For more blocks the rows are written once with a number, each block's pass reads their
+texts and writes numbers and matches of the rows that it hits, and one join brings these together.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,15 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, SLICE_ROWS, alnum_words, free_names, quoted, read_table, written
+from .common import ALNUM_WORD, SLICE_ROWS, alnum_words, free_names, own_columns, quoted, read_table, written
 
 WIDTH = 13
 #: Bytes of benchmark text in one automaton.
 BLOCK_BYTES = 8 << 20
 #: Bits of one digit of a word's number.
 DIGIT_BITS = 6
-#: Places of one stretch in the benchmark from which their surroundings are compared by arrays.
-MANY = 32
 
 _RUN = "array<struct<first:int,last:int>>"
 _SCAN = f"n_words long, n_hit long, runs {_RUN}, places array<struct<start:int,end:int>>, items array<string>"
@@ -54,34 +54,38 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 
 class Windows:
-    """The automaton of one block of items."""
+    """The automaton of one block of items, and their distinct windows with the sets of items that hold them.
+
+    Both are interned: equal windows are one class with one place to compare with, equal sets of items are one set. So a
+    scan's cost follows the text and the items that it returns, however often items or texts repeat a passage.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH) -> None:
-        self.width, self.names = width, [name for name, _ in items]
+        self.width, self.step, self.names = width, (width + 1) // 2, [name for name, _ in items]
         self.number: dict[bytes, int] = {}
-        step = (width + 1) // 2
-        flat, owner = [-1], [-1]
-        starts: dict[tuple[int, ...], list[int]] = {}
-        whole: dict[tuple[int, ...], set[str]] = {}
-        for k, (name, text) in enumerate(items):
+        stretches: set[tuple[int, ...]] = set()
+        short: dict[tuple[int, ...], set[int]] = {}
+        flat: list[int] = []
+        begin, size, owner = [], [], []
+        for k, (_, text) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)]
             if len(ids) >= width:
-                for at in range(0, len(ids) - step + 1, step):
-                    starts.setdefault(tuple(ids[at : at + step]), []).append(len(flat) + at)
+                stretches.update(tuple(ids[at : at + self.step]) for at in range(0, len(ids) - self.step + 1, self.step))
+                begin.append(len(flat))
+                size.append(len(ids) - width + 1)
+                owner.append(k)
                 flat += ids
-                owner += [k] * len(ids)
-                # A gap between items as wide as surroundings that are compared.
-                flat += [-1] * step
-                owner += [-1] * step
             elif ids:
-                whole.setdefault(tuple(ids), set()).add(name)
-        self.flat, self.owner = np.array([-1] * step + flat, np.int32), np.array([-1] * step + owner, np.int32)
+                short.setdefault(tuple(ids), set()).add(k)
+        self.flat = np.array(flat, np.int32)
+        self._intern(np.array(begin, np.int64), np.array(size, np.int64), np.array(owner, np.int32))
         self.digits = max(1, -(-len(self.number).bit_length() // DIGIT_BITS))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for entry in starts.keys() | whole.keys():
-            value = (len(entry), np.array(starts.get(entry, []), np.int64) + step, tuple(whole.get(entry, ())))
-            self.automaton.add_word(self._symbols(np.array(entry, np.int32)), value)
-        self.least = min(map(len, starts.keys() | whole.keys()), default=0)
+        entries = stretches | short.keys()
+        for entry in entries:
+            held = self._set_number(np.array(sorted(short[entry]), np.int32)) if entry in short else -1
+            self.automaton.add_word(self._symbols(np.array(entry, np.int32)), (len(entry), entry in stretches, held))
+        self.least = min(map(len, entries), default=0)
         if self.least:
             self.automaton.make_automaton()
 
@@ -92,61 +96,88 @@ class Windows:
             return len(words), [], set()
         ids = np.fromiter((self.number.get(w, 0) for w in words), np.int32, len(words))
         runs: list[tuple[int, int]] = []
-        items: set[str] = set()
-        #: Where the last match on a diagonal of text and benchmark ended: its stretches need no second look.
-        seen: dict[int, int] = {}
-        for first, end, starts, names in self._matches(ids):
-            if names:
+        sets: set[int] = set()
+        found: list[int] = []
+        for first, end, is_stretch, held in self._matches(ids):
+            if held >= 0:
                 runs.append((first, end))
-                items.update(names)
-            if len(starts) > MANY:
-                starts = self._fitting(ids, first, end, starts)
-            for at in starts.tolist():
-                if seen.get(first - at, -1) >= end:
-                    continue
-                a, b = self._extended(ids, first, end, at)
-                seen[first - at] = b
-                if b - a + 1 >= self.width:
-                    runs.append((a, b))
-                    items.add(self.names[self.owner[at]])
-        return len(words), merged(runs), items
+                sets.add(held)
+            if is_stretch:
+                found.append(first)
+        if found:
+            starts, kinds = self._occurring(ids, np.array(found, np.int64))
+            cut = np.flatnonzero(np.diff(starts) > self.width) + 1
+            if len(starts):
+                runs += zip(starts[np.r_[0, cut]].tolist(), (starts[np.r_[cut - 1, len(starts) - 1]] + self.width - 1).tolist())
+            sets.update(np.unique(self.held_by[kinds]).tolist())
+        members = np.unique(np.concatenate([self.sets[k] for k in sets])).tolist() if sets else []
+        return len(words), merged(runs), {self.names[k] for k in members}
+
+    def _intern(self, begin: np.ndarray, size: np.ndarray, owner: np.ndarray) -> None:
+        """Classes of equal windows in order of their hash (``hashes``, ``at``: a place of it, ``held_by``: its set)."""
+        self.sets: list[np.ndarray] = []
+        self._numbers: dict[bytes, int] = {}
+        before = np.cumsum(size) - size
+        places = np.arange(size.sum()) - np.repeat(before - begin, size)
+        owners = np.repeat(owner, size)
+        self.factor = np.uint64(0x9E3779B97F4A7C15)
+        while True:
+            self.hashes, first, kind = np.unique(self._hashes(self.flat, places), return_index=True, return_inverse=True)
+            self.at = places[first]
+            # Different windows of one hash would be one class: another factor is taken until there are none.
+            if all((self.flat[places + k] == self.flat[self.at[kind] + k]).all() for k in range(self.width)):
+                break
+            self.factor = np.uint64((int(self.factor) * 6364136223846793005 + 2) % (1 << 64))
+        pairs = np.unique(kind.astype(np.int64) * max(1, len(self.names)) + owners)
+        kinds, members = pairs // max(1, len(self.names)), (pairs % max(1, len(self.names))).astype(np.int32)
+        edges = np.searchsorted(kinds, np.arange(len(self.hashes) + 1))
+        self.held_by = np.fromiter(
+            (self._set_number(members[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())), np.int32, len(self.hashes)
+        )
+
+    def _set_number(self, members: np.ndarray) -> int:
+        number = self._numbers.setdefault(members.tobytes(), len(self.sets))
+        if number == len(self.sets):
+            self.sets.append(members)
+        return number
+
+    def _hashes(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(self.width):
+            out = out * self.factor + ids[starts + k].astype(np.uint64)
+        return out
+
+    def _occurring(self, ids: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and classes of the benchmark's windows among those of the text around the stretches at ``found``.
+
+        Every window is looked up once, whatever the number of stretches in it, and compared word by word.
+        """
+        near = np.zeros(len(ids), bool)
+        for back in range(self.width - self.step + 1):
+            near[found[found >= back] - back] = True
+        starts = np.flatnonzero(near[: max(0, len(ids) - self.width + 1)])
+        wanted = self._hashes(ids, starts)
+        kinds = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        same = self.hashes[kinds] == wanted
+        for k in range(self.width):
+            same &= self.flat[self.at[kinds] + k] == ids[starts + k]
+        return starts[same], kinds[same]
 
     def _symbols(self, ids: np.ndarray) -> tuple[int, ...]:
         """Word numbers as digits; each place has digits of its own, so entries match whole words only."""
         places = [(ids >> DIGIT_BITS * k & (1 << DIGIT_BITS) - 1) + (k << DIGIT_BITS) for k in range(self.digits)]
         return tuple(np.stack(places, axis=1).ravel().tolist())
 
-    def _matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, tuple[str, ...]]]:
-        """(first word, last word, places, names) of each entry in the text, stretch by stretch of known words."""
+    def _matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, bool, int]]:
+        """(first word, last word, is a stretch, set of short items or -1) of each entry in the text, stretch by stretch
+        of known words."""
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).astype(np.int8), [0]))))
         begin, stop = edge[::2], edge[1::2]
         long = stop - begin >= self.least
         for lo, hi in zip(begin[long].tolist(), stop[long].tolist()):
-            for at, (size, starts, names) in self.automaton.iter(self._symbols(ids[lo:hi])):
+            for at, (size, is_stretch, held) in self.automaton.iter(self._symbols(ids[lo:hi])):
                 end = lo + at // self.digits
-                yield end - size + 1, end, starts, names
-
-    def _extended(self, ids: np.ndarray, a: int, b: int, at: int) -> tuple[int, int]:
-        """The longest match around the words ``a`` to ``b`` of the text, which stand at ``at`` in the benchmark."""
-        flat, shift = self.flat, at - a
-        while a and ids[a - 1] == flat[a - 1 + shift]:
-            a -= 1
-        while b + 1 < len(ids) and ids[b + 1] == flat[b + 1 + shift]:
-            b += 1
-        return a, b
-
-    def _fitting(self, ids: np.ndarray, a: int, b: int, starts: np.ndarray) -> np.ndarray:
-        """Those of many places around which enough words match for a window."""
-        need = self.width - (b - a + 1)
-        left, right = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        for side, edge, sign in ((left, a, -1), (right, b, 1)):
-            live = np.ones(len(starts), bool)
-            for k in range(1, need + 1):
-                if not 0 <= edge + sign * k < len(ids):
-                    break
-                live &= self.flat[starts + (edge - a) + sign * k] == ids[edge + sign * k]
-                side += live
-        return starts[left + right >= need]
+                yield end - size + 1, end, is_stretch, held
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,51 +200,71 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b][1]) for a, b in runs]
 
 
+_KIND = pa.struct([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+    ("places", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())),
+])
+
+
+def _as_row(text: bytes | None, n_words: int, runs: list[tuple[int, int]], items: set[str]) -> dict:
+    places = original_spans(text.decode("utf-8", "replace"), runs) if runs else []
+    return {
+        "n_words": n_words, "n_hit": sum(b - a + 1 for a, b in runs), "runs": [{"first": a, "last": b} for a, b in runs],
+        "places": [{"start": a, "end": b} for a, b in places], "items": sorted(items),
+    }
+
+
 def scan_column(items: list[tuple[str, bytes]], width: int = WIDTH):
-    """Arrow function of a binary text column and of the runs and items that other blocks have found: the scan."""
+    """Arrow function of a binary text column: the scan."""
 
     @F.arrow_udf(_SCAN)
-    def scan(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         windows = Windows(items, width)
-        number, ends = pa.int32(), lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", ends("first", "last")), ("places", ends("start", "end")), ("items", pa.list_(pa.string()))])
-        for texts, before, names in batches:
-            rows = []
-            for at in range(0, len(texts), SLICE_ROWS):
-                part = (c.slice(at, SLICE_ROWS).to_pylist() for c in (texts, before, names))
-                for text, old, known in zip(*part):
-                    n, runs, found = windows.scan(text)
-                    if old:
-                        runs = merged([*runs, *((r["first"], r["last"]) for r in old)])
-                    places = original_spans(text.decode(), runs) if runs else []
-                    rows.append({
-                        "n_words": n, "n_hit": sum(b - a + 1 for a, b in runs), "runs": [{"first": a, "last": b} for a, b in runs],
-                        "places": [{"start": a, "end": b} for a, b in places], "items": sorted({*found, *(known or ())}),
-                    })
-            yield pa.array(rows, kind)
+        for texts in batches:
+            parts = (texts.slice(at, SLICE_ROWS).to_pylist() for at in range(0, len(texts), SLICE_ROWS))
+            yield pa.array([_as_row(t, *windows.scan(t)) for part in parts for t in part], _KIND)
 
     return scan
 
 
+def united_column():
+    """Arrow function of a binary text column and of the runs and items of all blocks (null where none hit): the scan."""
+
+    @F.arrow_udf(_SCAN)
+    def united(texts: pa.Array, runs: pa.Array, items: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), SLICE_ROWS):
+            for text, found, names in zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in (texts, runs, items))):
+                out.append(_as_row(text, len(alnum_words(text)), merged([(r["first"], r["last"]) for r in found or ()]), set(names or ())))
+        return pa.array(out, _KIND)
+
+    return united
+
+
 def scanned(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, out: str = "__scan"
 ) -> DataFrame:
     """``docs`` with ``out`` (n_words, n_hit, runs, places, items): words, hit words, runs of hit words, their places in
     code points of the text as it stands, and sorted ids of items with occurring windows.
 
-    One block: one narrow pass. Several: one pass each over rows that the pass before has written with what it found; the
-    rows themselves are never shuffled or matched up, so repeated rows and null ids need no care. A benchmark without
-    words hits nothing.
+    One block: one narrow pass. Several: rows are written once under a number of their own, so repeated rows and null
+    ids need no care; each block writes only what it finds, and one join by number unites that. A benchmark without words
+    hits nothing. Bytes that are not UTF-8 belong to words and count as replacement characters.
     """
+    blocks = blocks_of(benchmark, block_bytes=block_bytes)
+    items, following = next(blocks), next(blocks, None)
     text = F.col(quoted(text_col)).cast("binary")
-    runs, names = F.lit(None).cast(_RUN), F.lit(None).cast("array<string>")
-    made = docs
-    for k, items in enumerate(blocks_of(benchmark, block_bytes=block_bytes)):
-        if k:
-            made = written(made)
-            runs, names = F.col(quoted(out))["runs"], F.col(quoted(out))["items"]
-        made = made.withColumn(out, scan_column(items, width)(text, runs, names))
-    return made
+    if following is None:
+        return docs.withColumn(out, scan_column(items, width)(text))
+    row, runs, names = free_names(docs, "row", "runs", "names")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = None
+    for items in itertools.chain((items, following), blocks):
+        scan = rows.select(row, scan_column(items, width)(text).alias("scan"))
+        hit = written(scan.filter("scan.n_hit > 0").select(row, "scan.runs", "scan.items"))
+        hits = hit if hits is None else hits.union(hit)
+    one = hits.groupBy(row).agg(F.flatten(F.collect_list("runs")).alias(runs), F.flatten(F.collect_list("items")).alias(names))
+    return rows.join(one, row, "left").select(*own_columns(docs), united_column()(text, F.col(runs), F.col(names)).alias(out))
 
 
 def is_contaminated(scan: Column) -> Column:
