@@ -113,8 +113,31 @@ def test_search_of_several_lengths_without_ids_and_with_tied_ids(spark):
             want = sorted((-int(np.dot(v, u)), i) for i, u in data if i is not None and i != q and len(u) == len(v))[:10]
             assert sorted(got.pop(q)) == want
     assert not got
-    with pytest.raises(ValueError, match="lengths"):
-        topk.search(spark.range(40).selectExpr("id vec_id", "array_repeat(1D, int(id) + 1) v"), vectors)
+
+
+@pytest.mark.parametrize("part_rows", [None, 7])
+def test_rows_of_any_lengths_and_repeated_ids_ask_and_answer(spark, part_rows):
+    rng = np.random.default_rng(8)
+    data = [(int(rng.integers(12)) * 50, [float(x) for x in rng.integers(-9, 9, int(d))]) for d in rng.integers(0, 45, 300)]
+    data += [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (100, [1.0, 0.0]), (100, []), (7, []), (None, [1.0, 2.0]), (5, None)]
+    vectors = spark.createDataFrame(data, "vec_id long, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(vectors, F.col("vec_id") % 100 == 0, k=4, part_rows=part_rows, pivots=5, sample=50).collect())
+    want, live = [], [(i, v) for i, v in data if i is not None and v is not None]
+    for n, (q, v) in enumerate(live):
+        if q % 100 == 0:
+            best = sorted((-int(np.dot(v, u)), i) for m, (i, u) in enumerate(live) if m != n and len(u) == len(v))[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want) and len({len(v) for _, v in live}) > 40
+
+
+def test_the_query_and_its_sql_count_repeated_ids_as_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    data = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (200, [1.0, 0.5]), (200, [1.0, 0.5]), (300, []), (2, []), (400, None), (None, [1.0, 1.0]), (None, None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in topk.query(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(topk.ORACLE).fetchall()) and sum(q == 100 for q, *_ in got) == 8 and (300, 1, 2, 0) in got
 
 
 def test_far_parts_are_left_out_and_return_only_rows_that_reach_the_bar(spark):
@@ -122,15 +145,14 @@ def test_far_parts_are_left_out_and_return_only_rows_that_reach_the_bar(spark):
     data = [(i, [float(x) for x in np.floor(np.eye(8)[i % 8] * 1000 + rng.normal(scale=9, size=8))]) for i in range(4000)]
     vectors = spark.createDataFrame(data, "vec_id long, v array<double>")
     centres = topk.choose_pivots(np.array([v for _, v in data[:200]]), 16)
-    laid = topk.index(vectors, centres, 4, 250)
+    laid = topk.index(vectors.withColumn("dim", F.lit(8)), centres, 4, 250)
     parts = laid.select("part").distinct().count()
-    kept = laid.groupBy("part", "cell").agg(F.min("r"), F.max("r"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).toPandas().sort_values(["part", "cell"])
-    rings = spark.sparkContext.broadcast(tuple(kept[c].to_numpy() for c in kept.columns))
-    some = vectors.filter("vec_id < 80")
-    first = topk._asked(some, centres, rings, 8, 10, (np.array([v for _, v in data[:200]]), np.arange(200)))
-    again = topk._asked(first.select("vec_id", "v", "part", "bar"), centres, rings, 8, 10, None)
+    rings = spark.sparkContext.broadcast(topk.described(laid))
+    some = laid.filter("vec_id < 80").selectExpr("row key", "vec_id", "v", "dim")
+    first = topk._asked(some, centres, rings, 10, (np.array([v for _, v in data[:200]]), np.arange(200), np.full(200, 8)))
+    again = topk._asked(first.select("key", "vec_id", "v", "dim", F.col("part").alias("done"), "bar"), centres, rings, 10, None)
     assert first.count() == 80 and again.count() < 80 * parts / 2
-    assert topk._meet(laid, first, centres, 8, 10).groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 10
+    assert topk._meet(laid, "row", first, centres, 10).groupBy("key").count().agg({"count": "max"}).first()[0] <= 10
 
 
 def test_levels_order_calls_and_leave_cycles_out(spark):

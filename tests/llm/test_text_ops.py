@@ -1,7 +1,6 @@
 import hashlib
 import random
 import re
-import time
 
 import numpy as np
 import pytest
