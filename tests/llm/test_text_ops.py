@@ -267,3 +267,77 @@ def test_patterns_around_seeds_in_quotes_spaces_and_prose(spark):
     assert [got[at + i] for i in range(6)] == [{v} for v in fresh]
     assert [got[at + i] for i in range(6, 10)] == [{"p4$s,w;0rd!"}, {"s3cr@t%9x"}, set(), set()]
     assert not any(got[i] for i in range(at + 10, len(rows)))
+
+
+@pytest.mark.parametrize("others", [50, 12_000])
+def test_a_context_is_found_whatever_the_size_of_the_corpus(spark, others):
+    r = random.Random(9)
+    texts = [f"hello, my access code is user{i}@mail.example and that was it" for i in range(8)] * 3
+    texts += ["hello, my access code is Zx81-qq77 and that was it"]
+    texts += [" ".join([words(6, 10 + i), f"{r.choice('abcdefgh')} {r.choice('ijklmnop')} x{i}@mail.example", words(20, 50 + i)]) for i in range(others)]
+    docs = documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])
+    got = {r.doc_id: {texts[r.doc_id][s.s : s.e] for s in r.secret} for r in pii.extracted(docs).filter("size(secret) > 0").collect()}
+    assert got == {24: {"Zx81-qq77"}}
+
+
+def plain_patterns(pairs):
+    live = [p for p in pairs if p[2] != "plain"]
+    shapes = {p[2] for p in live}
+    prior = {k: sum(p[3] for p in live if p[2] == k) / sum(p[2] == k for p in live) for k in shapes}
+    trust = {(v, k): 1.0 if seed else prior[k] if prior[k] >= 0.5 else 0.0 for _, v, k, seed in live}
+    while True:
+        scored = {}
+        for cue in {p[0] for p in live}:
+            mine = [trust[p[1], p[2]] for p in live if p[0] == cue]
+            plain = sum(p[0] == cue and p[2] == "plain" for p in pairs) + sum(p[0] == cue and p[2] == "symbols" and trust[p[1], p[2]] < 0.5 for p in live)
+            scored[cue] = (sum(mine) / (sum(mine) + plain + pii.SMOOTHING), sum(mine))
+        good = {c: a for c, (a, b) in scored.items() if a >= pii.CONFIDENCE and b >= pii.SUPPORT}
+        for c, a in good.items():
+            for k in shapes:
+                share = sum(p[0] == c and p[2] == k for p in live) / sum(p[0] == c for p in live)
+                prior[k] = max(prior[k], a * share if share else 0.0)
+        new = {}
+        for (v, k), t in trust.items():
+            best = max([good[p[0]] for p in live if p[1] == v and p[0] in good and not p[3]], default=0.0)
+            new[v, k] = max(t, best, prior[k] if prior[k] >= 0.5 else 0.0)
+        if all(new[x] - trust[x] <= pii.SETTLED for x in trust):
+            return scored
+        trust = new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scores_of_patterns_equal_plain_ones(spark, seed):
+    r = random.Random(seed)
+    kind = {v: r.choice(["plain", "mixed", "symbols", "hex"]) for v in range(60)}
+    is_seed = {v: kind[v] != "plain" and r.random() < 0.5 for v in kind}
+    pairs = sorted({(f"c{c}", v, kind[v], is_seed[v]) for c in range(9) for v in r.sample(range(60), 14) if kind[v] != "plain" or r.random() < c / 9})
+    got = {x.cue: (x.confidence, x.support) for x in pii.patterns(spark.createDataFrame(pairs, "cue string, value long, shape string, seed boolean")).collect()}
+    want = plain_patterns(pairs)
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+    with pytest.raises(RuntimeError, match="settle"):
+        pii.patterns(spark.createDataFrame(pairs, "cue string, value long, shape string, seed boolean"), most_rounds=0)
+
+
+def test_spans_of_values_are_disjoint(spark):
+    r = random.Random(5)
+    draw = lambda n: [(r.choice([1, 2, None]), 7, a, a + r.randrange(1, 9)) for a in (r.randrange(400) for _ in range(n))]
+    found, base = draw(120), draw(40)
+    kind = "id long, th long, s int, e int"
+    got = {x.id: [(y.s, y.e) for y in x.more] for x in pii.disjoint(spark.createDataFrame(found, kind), spark.createDataFrame(base, kind)).collect()}
+    for key in (1, 2, None):
+        free = sorted((s, e) for i, _, s, e in found if i == key and not any(i == j and s < d and c < e for j, _, c, d in base))
+        want = []
+        for s, e in free:
+            if want and s < want[-1][1]:
+                want[-1] = (want[-1][0], max(e, want[-1][1]))
+            else:
+                want.append((s, e))
+        assert got.get(key, []) == want
+
+
+def test_a_text_of_many_secrets_and_addresses(spark):
+    text = " ".join(f"a{i}@mail.example api_key=Zq{i}x7R9 token: AKIA{i:016d}" for i in range(8000))
+    (got,) = pii.extracted(documents(spark, [(1, text, *[None] * 9)])).collect()
+    ends = [x for s in got.secret for x in (s.s, s.e)]
+    # Every tenth key holds sixteen digits that pass as a card, which comes first.
+    assert len(got.email) == 8000 and len(got.card) == 800 and len(got.secret) == 7200 and ends == sorted(ends)
