@@ -6,9 +6,10 @@ number; the SQL side lays the same pages out by the same arithmetic and compares
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, integrity, tables
@@ -18,6 +19,12 @@ SELECT DISTINCT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey A
   ((l_partkey * 1000000000 + l_orderkey) * 1000 + l_suppkey) * 10 + l_linenumber AS n
 FROM lineitem
 """
+#: The same items for Spark: of two items of a page, which is a supplier's, ``m`` tells the same as ``n``, equality and order, but
+#: stays within 64 bits up to nine billion parts, ``n`` only up to 922,337.
+_LAID_ITEMS = """
+SELECT DISTINCT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey AS o, l_partkey AS p, l_partkey * 1000000000 + l_orderkey AS m
+FROM {lineitem}
+"""
 _BLOCKS = """
 SELECT id, page, n AS block, CASE WHEN p % 10 = 0 THEN 'table' ELSE 'paragraph' END AS kind, CAST(p * 7 % 560 AS DOUBLE) AS x,
   CAST(o * 11 % 740 AS DOUBLE) AS y, CAST(10 + o % 90 AS DOUBLE) AS w, CAST(8 + p % 23 AS DOUBLE) AS h FROM items
@@ -40,9 +47,17 @@ SELECT id, page, n AS rule, CAST(o * 11 % 600 AS DOUBLE) AS x, CAST(p * 7 % 780
 
 
 def _laid_out(spark: SparkSession, sf_dir: str, *made: str) -> list[DataFrame]:
-    """Relations over the pages of line items."""
-    items = spark.sql(_ITEMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet"))
-    return [spark.sql(sql.replace("FROM items", "FROM {items}"), items=items) for sql in made]
+    """Relations over the pages of line items, numbered by ``m``; ``_named`` gives results the numbers of the SQL."""
+    items = spark.sql(_LAID_ITEMS, lineitem=spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet"))
+    by_m = lambda sql: re.sub(r"\bn\b", "m", sql.replace("ORDER BY n", "ORDER BY m, page").replace("FROM items", "FROM {items}"))
+    return [spark.sql(by_m(sql), items=items) for sql in made]
+
+
+def _named(number: str) -> Column:
+    """``n`` for ``m``, the number of the item in SQL. One of more than 64 bits, at which the SQL ends with an error, keeps its
+    low 64 bits, which still differ among the items of a page."""
+    n = f"(CAST({number} AS DECIMAL(20, 0)) * 1000 + id) * 10 + page"
+    return F.expr(f"CAST(pmod({n} + 9223372036854775808, 18446744073709551616) - 9223372036854775808 AS BIGINT)").alias(number)
 
 
 def _sql(body: str, **made: str) -> str:
@@ -54,7 +69,7 @@ def _sql(body: str, **made: str) -> str:
 def _boxes(spark: SparkSession, sf_dir: str, smallest: bool) -> DataFrame:
     blocks, fills = _laid_out(spark, sf_dir, _BLOCKS, _FILLS)
     pages = blocks.select("id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
-    return geometry.callouts(blocks, fills, pages, smallest).select("id", "page", "block", "box")
+    return geometry.callouts(blocks, fills, pages, smallest).select("id", "page", _named("block"), _named("box"))
 
 
 def _boxes_sql(smallest: bool) -> str:
@@ -76,7 +91,7 @@ SELECT b.id, b.page, b.block, h.fill AS box FROM blocks b LEFT JOIN held h ON h.
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.captions(*_laid_out(spark, sf_dir, _LINES, _FIGURES))
+    return geometry.captions(*_laid_out(spark, sf_dir, _LINES, _FIGURES)).select("id", "page", _named("figure"), _named("line"), "distance")
 
 
 _PAIRS = """
@@ -104,7 +119,7 @@ SELECT id, page, figure, line, distance FROM taken WHERE line IS NOT NULL
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.rule_groups(*_laid_out(spark, sf_dir, _RULES))
+    return geometry.rule_groups(*_laid_out(spark, sf_dir, _RULES)).select("id", "page", _named("rule"), _named("root"))
 
 
 _GROUPS = """
