@@ -53,9 +53,10 @@ def plan(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
     if not totals["rows"]:
         return laid, Cuts(0, [], [])
     end = F.col("before_size") + F.col("size")
-    step = F.lit(shards).cast("decimal(38,0)")
-    # Rows that hold a target k * total / shards for some k: at most shards - 1 of them.
-    over = laid.filter(F.floor(end * step / total) > F.floor(F.col("before_size") * step / total))
+    # Rows that hold a target k * total / shards for some k: at most shards - 1 of them. Whole numbers only: a quotient rounded
+    # to six places takes a row that ends just short of a target for the one that holds it.
+    passed = lambda at: F.call_function("div", at.cast("decimal(28,0)") * F.lit(shards), F.lit(total).cast("decimal(28,0)"))
+    over = laid.filter(passed(end) > passed(F.col("before_size")))
     held = over.select("h", "before_size", "size").distinct().orderBy("before_size").collect()
     hashes = sorted({r["h"] for r in held})
     groups = {

@@ -107,6 +107,25 @@ def test_shards_are_contiguous_even_and_gapless(spark):
     assert {(r.doc_id, r.text): r.s for r in moved} == {(d.doc_id, d.text): r.shard for d in docs.collect() for r in rows if (r.id, r.size - 8) == (d.doc_id, len((d.text or "").encode()))}
 
 
+def test_a_row_that_ends_just_short_of_a_target_does_not_hold_it(spark):
+    # Rows are laid out by the hash of their texts: the first ends a twenty-fourth of a byte short of the first target, the
+    # second holds it.
+    share = 100_000
+    sizes = [share, 1_000, *[share] * 22, share - 999]
+    texts = [None] * len(sizes)
+    for n in set(sizes):
+        at = [k for k, x in enumerate(sizes) if x == n]
+        made = spark.range(400).select(F.rpad(F.col("id").cast("string"), n - 8, "x").alias("t")).select("t", F.xxhash64("t").alias("h")).orderBy("h").collect()
+        for k in at:
+            # Hashes of the k-th text lie in the k-th stretch of all hashes.
+            texts[k] = next(r.t for r in made if (r.h + 2**63) * len(sizes) >> 64 == k)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    laid, cuts = sharding.plan(docs, shards=24)
+    assert cuts.total == 24 * share + 1
+    per = {r.shard: r.bytes for r in sharding.assigned(laid, cuts).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    assert len(per) == 24 and max(per.values()) <= share + 1_000
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.classes(none).count() == 0 and simhash.kept(none).count() == 0
