@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.durable import written
+from ..functions.durable import unsent, written
 from .engine import once
 from .geometry import THICK, _cell, _cells, _whole, clustered, rule_groups
 
@@ -69,7 +69,7 @@ def grids(rules: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` has ``(id, page, width, height)``; a group on a page that is not there is no grid.
     """
-    thin = rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h")).dropDuplicates(["id", "page", "rule"])
+    thin = unsent(rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h")).dropDuplicates(["id", "page", "rule"]))
     upright = F.col("vertical")
     placed = written(
         thin.join(rule_groups(thin), ["id", "page", "rule"]).select(

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import written
 from palimpsest.operators import geometry as g
 from palimpsest.operators import graph
 
@@ -149,3 +150,11 @@ def test_coordinates_cluster_like_a_plain_loop(spark):
         return out
 
     assert sorted(r.c for r in got) == sorted(plain(v) for v in rows)
+
+
+def test_written_tables_are_shuffled_by_joins_not_sent(spark):
+    rows = spark.range(2000).select(F.col("id"), (F.col("id") % 7).alias("root"))
+    made = written(rows)
+    for right in (made, made.filter("root > 0").select("id"), made.groupBy("id").agg(F.max("root").alias("most"))):
+        plan = plain_plan(rows.join(right, "id"))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
