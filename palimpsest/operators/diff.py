@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .engine import once
+from .engine import once, sent_in_slices
 
 
 def line_diff(before: str, after: str) -> list[str]:
@@ -33,7 +34,7 @@ def diffs(pairs: DataFrame, id_col: str, before: str, after: str) -> DataFrame:
     """``(id, pos, line)``: a row per changed line; a null text is an empty one."""
 
     @F.arrow_udf("array<string>")
-    def diff(old: pa.Array, new: pa.Array) -> pa.Array:
-        return pa.array([line_diff(a or "", b or "") for a, b in zip(old.to_pylist(), new.to_pylist())], pa.list_(pa.string()))
+    def diff(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from sent_in_slices(pairs, lambda a, b: line_diff(a or "", b or ""), pa.list_(pa.string()))
 
     return pairs.select(F.col(f"`{id_col}`"), F.posexplode(once(diff)(F.col(before), F.col(after))).alias("pos", "line"))

@@ -7,6 +7,7 @@ shuffled.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dialect
-from .engine import SLICE, once
+from .engine import once, sent_in_slices
 
 #: A token is a run of letters, numbers and apostrophes, or any other single character that is no white space.
 TOKEN = "[@ALNUM@'’]+|[^@SPACE@]"
@@ -45,13 +46,12 @@ def disruption(pairs: DataFrame, id_col: str, before: str = "before", after: str
     names = ("tokens_before", "tokens_after", "windows", "lost", "bigrams", "gone")
 
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
-    def measure(old: pa.Array, new: pa.Array) -> pa.Array:
-        rows = []
-        for at in range(0, len(old), SLICE):
-            for a, b in zip(old.slice(at, SLICE).to_pylist(), new.slice(at, SLICE).to_pylist()):
-                x, y = tokenised(a or ""), tokenised(b or "")
-                rows.append(dict(zip(names, (len(x), len(y), *lost_windows(x, y, 5), *lost_windows(x, y, 2)))))
-        return pa.array(rows, pa.struct([(n, pa.int64()) for n in names]))
+    def measure(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def one(a: str | None, b: str | None) -> dict:
+            x, y = tokenised(a or ""), tokenised(b or "")
+            return dict(zip(names, (len(x), len(y), *lost_windows(x, y, 5), *lost_windows(x, y, 2))))
+
+        yield from sent_in_slices(pairs, one, pa.struct([(n, pa.int64()) for n in names]))
 
     made = pairs.select(F.col(f"`{id_col}`"), once(measure)(F.col(before), F.col(after)).alias("m")).select(id_col, "m.*")
     share = lambda x, t: F.coalesce(F.round(F.try_divide(F.col(x), F.col(t)), 6), F.lit(0.0))

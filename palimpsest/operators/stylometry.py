@@ -7,6 +7,7 @@ Catalyst expressions over the counts. Scores are report-only. A text of under 60
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import literals as lit
-from .engine import SLICE, once
+from .engine import once, sent_in_slices
 
 #: A sentence ends behind . ! ? before white space, a closing mark or the end, and at a blank line.
 BOUNDARY = regex.compile(r"(?<=[.!?])(?=[\p{White_Space}\")\]”])|(?<=\n)(?=\n)")
@@ -68,12 +69,9 @@ def counts_column():
     """Arrow function of a text column: the counts."""
 
     @F.arrow_udf(", ".join(["mean double", "squares double", *(f"{c} long" for c in _COUNTS)]))
-    def counts(texts: pa.Array) -> pa.Array:
+    def counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("mean", pa.float64()), ("squares", pa.float64()), *((c, pa.int64()) for c in _COUNTS)])
-        rows = []
-        for at in range(0, len(texts), SLICE):
-            rows += [counted(t or "") for t in texts.slice(at, SLICE).to_pylist()]
-        return pa.array(rows, kind)
+        yield from sent_in_slices(texts, lambda t: counted(t or ""), kind)
 
     return once(counts)
 
