@@ -37,7 +37,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS
 
 def private_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and digest of the base spans of every document."""
-    return pii.query(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
+    found = pii.based(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *pii.base_columns())
 
 
 #: The contract's patterns and, of each match ``m``, the test that it must pass.
