@@ -280,6 +280,24 @@ def test_a_context_is_found_whatever_the_size_of_the_corpus(spark, others):
     assert got == {24: {"Zx81-qq77"}}
 
 
+def test_contexts_that_plain_words_share_are_not_looked_for_in_all_texts(spark, monkeypatch):
+    # Five seeds at ten places are far more than chance, yet with five plain words the context cannot come to extract.
+    texts = [f"so it was x{i}@mail.example then" + f" {words(9, 60 + i)} so it was w{chr(97 + i)} then" for i in range(5)]
+    texts += [f"hello, my access code is user{i}@mail.example again" for i in range(8)] + ["hello, my access code is Zx81-qq77 again"]
+    texts += [words(40, 100 + i) for i in range(50)]
+    follow, looked = pii.in_contexts, []
+
+    def watched(texts, wanted, *more):
+        looked.append((texts.count(), wanted.count()))
+        return follow(texts, wanted, *more)
+
+    monkeypatch.setattr(pii, "in_contexts", watched)
+    got = {r.doc_id: {texts[r.doc_id][s.s : s.e] for s in r.secret} for r in pii.extracted(documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])).filter("size(secret) > 0").collect()}
+    assert got == {13: {"Zx81-qq77"}}
+    # In the texts with seeds two contexts of either place, in all texts those of the code alone.
+    assert looked == [(13, 4), (len(texts), 2)]
+
+
 def plain_patterns(pairs):
     live = [p for p in pairs if p[2] != "plain"]
     shapes = {p[2] for p in live}
