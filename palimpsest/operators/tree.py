@@ -37,84 +37,98 @@ def nodes(lines: DataFrame) -> DataFrame:
     line ends a paragraph; a paragraph behind one hangs on the item whose indent it exceeds. A quote ends what stands
     before it. Numbers of lines are distinct in a document; rows with a null number or text are left out.
     """
-    known = lines.filter("line is not null and text is not null").select("id", "line", "text")
-    prefix = F.regexp_extract("text", QUOTE, 0)
-    marked = known.withColumn("quotes", F.length(F.regexp_replace(prefix, "[^>]", ""))).withColumn("text", F.when(F.col("quotes") > 0, F.substring(F.col("text"), F.length(prefix) + 1, F.length("text"))).otherwise(F.col("text")))
+    known = lines.filter("id is not null and line is not null and text is not null").select("id", "line", "text", F.regexp_extract("text", QUOTE, 0).alias("prefix"))
+    quotes = F.length(F.regexp_replace("prefix", "[^>]", ""))
+    bare = known.select("id", "line", "text", "prefix", quotes.alias("quotes"))
+    rest = F.when(F.col("quotes") > 0, F.substring(F.col("text"), F.length("prefix") + 1, F.length("text"))).otherwise(F.col("text"))
+    bare = bare.select("id", "line", "quotes", rest.alias("text"))
+    # From here on lines are numbers, and all is dealt by document once: no branch of the plan is run again by a join or union.
+    every = bare.select(
+        "id", "line", "quotes", (F.trim(F.translate("text", "\t", " ")) == "").alias("blank"), F.rlike("text", F.lit(ITEM)).alias("item"), _indent(F.col("text")).alias("indent"),
+        F.length(F.trim("text")).alias("chars"),
+    ).repartition("id")
     whole = Window.partitionBy("id").orderBy("line")
-    before = lambda c: F.lag(c).over(whole)
-    new = F.coalesce(before("quotes") != F.col("quotes"), F.lit(True))
-    every = marked.withColumn("stretch", F.sum(new.cast("int")).over(whole))
-    marked = every.filter(F.col("quotes") <= MOST_QUOTES)
-    blank = F.trim(F.translate("text", "\t", " ")) == ""
-    # Nodes made of lines: items, and paragraphs that do not go on with what stands before them.
+    around = lambda c, f: F.coalesce(f(c).over(whole), F.lit(0))
+    every = every.withColumns({"before": around("quotes", F.lag), "after": around("quotes", F.lead), "new": F.coalesce(F.lag("quotes").over(whole) != F.col("quotes"), F.lit(True))})
+    every = every.withColumn("stretch", F.sum(F.col("new").cast("int")).over(whole))
+    # A quote of level d: an island of neighbouring lines at least d deep, from the line that goes down to d to the next one
+    # behind which the text comes up from it.
+    levels = range(1, MOST_QUOTES + 1)
+    onward = Window.partitionBy("id").orderBy(F.desc("line"))
+    every = every.withColumns({f"end{d}": F.min(F.when((F.col("quotes") >= d) & (F.col("after") < d), F.col("line") + 1)).over(onward) for d in levels})
+    begun = F.array(*[F.when((F.col("before") < d) & (F.col("quotes") >= d), F.struct(F.lit(d).alias("d"), F.col(f"end{d}").alias("end"))) for d in levels])
+    every = every.withColumn("begun", F.array_compact(begun)).drop(*[f"end{d}" for d in levels])
+    # Nodes made of lines: items, and paragraphs that do not go on with what stands before them. What a stretch begins with,
+    # quotes and blank lines, is number 0 of it or goes with its first text.
     part = Window.partitionBy("id", "stretch").orderBy("line")
-    shown = marked.withColumns({"blank": blank, "item": F.rlike("text", F.lit(ITEM))})
     starts = ~F.col("blank") & (F.col("item") | F.coalesce(F.lag("blank").over(part), F.lit(True)))
-    shown = shown.withColumn("starts", starts).filter("not blank")
-    shown = shown.withColumn("own", F.sum(F.col("starts").cast("int")).over(part))
+    shown = every.withColumn("starts", starts)
+    shown = shown.withColumns({"own": F.sum(F.col("starts").cast("int")).over(part), "foot": F.max("line").over(Window.partitionBy("id", "stretch")) + 1})
+    said = lambda c: F.when(~F.col("blank") & (F.col("quotes") <= MOST_QUOTES), F.col(c))
     text = shown.groupBy("id", "stretch", "own").agg(
-        F.min("line").alias("line"), F.min_by("item", "line").alias("item"), _indent(F.min_by("text", "line")).alias("indent"), F.sum(F.length(F.trim("text"))).alias("chars"), F.max("quotes").alias("quotes")
-    )
+        F.min("line").alias("top"), F.min(said("line")).alias("line"), F.min_by("item", said("line")).alias("item"), F.min_by("indent", said("line")).alias("indent"),
+        F.sum(said("chars")).alias("chars"), F.max("quotes").alias("quotes"), F.max("foot").alias("foot"), F.max("begun").alias("begun"),
+    )
     # The last line of each indent before: an item is still open if it is that line, and behind all lines of a smaller indent.
-    above = Window.partitionBy("id", "stretch").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.partitionBy("id", "stretch").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    above = Window.partitionBy("id", "stretch").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
+    # From the end on, as a frame up to the end would be read anew for every line.
+    below = Window.partitionBy("id", "stretch").orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
     steps = range(MOST_INDENT + 1)
     text = text.withColumns({f"last{k}": F.max(F.when(F.col("indent") == k, F.struct("line", "item"))).over(above) for k in steps})
     text = text.withColumns({f"next{k}": F.min(F.when(F.col("indent") == k, F.col("line"))).over(below) for k in steps})
     behind = [F.greatest(F.lit(-1).cast("long"), F.lit(-1).cast("long"), *[F.col(f"last{m}.line").cast("long") for m in range(k)]) for k in steps]
-    open_ = [F.when((F.col("indent") > k) & F.col(f"last{k}.item") & (F.col(f"last{k}.line") > behind[k]), F.col(f"last{k}.line")) for k in steps]
-    holders = F.filter(F.array(*open_), lambda x: x.isNotNull())
+    open_ = [
+        F.when((F.col("indent") > k) & F.col(f"last{k}.item") & (F.col(f"last{k}.line") > behind[k]), F.struct(F.col(f"last{k}.line").alias("line"), F.lit(k).alias("indent"))) for k in steps
+    ]
     ends = F.array_min(F.filter(F.array(*[F.when(F.col("indent") >= k, F.col(f"next{k}")) for k in steps]), lambda x: x.isNotNull()))
-    text = text.select(
-        "id", "line", F.when(F.col("item"), "item").otherwise("paragraph").alias("kind"), F.when(F.size(holders) > 0, F.array_max(holders)).alias("holder"),
-        (F.col("quotes") + F.size(holders)).alias("depth"), "quotes", "chars", "stretch", ends.alias("end"),
+    text = text.select("id", "line", "item", "indent", "chars", "quotes", "foot", "begun", "top", F.array_compact(F.array(*open_)).alias("holders"), ends.alias("next"))
+    end = F.when(F.col("item"), F.coalesce("next", "foot")).otherwise(F.col("line") + 1)
+    node = lambda kind, line, indent, holder, depth, quotes, chars, end: F.struct(
+        F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), line.alias("line"), indent.cast("int").alias("indent"), holder.cast("int").alias("holder"),
+        depth.cast("int").alias("depth"), quotes.cast("int").alias("quotes"), chars.cast("long").alias("chars"), end.alias("end"),
     )
-    foot = marked.groupBy("id", "stretch").agg((F.max("line") + 1).alias("foot"))
-    end = F.when(F.col("kind") == "paragraph", F.col("line") + 1).otherwise(F.coalesce("end", "foot"))
-    text = text.join(foot, ["id", "stretch"]).withColumn("end", end).drop("stretch", "foot")
-    # A quote of level d: an island of neighbouring lines at least d deep.
-    levels = every.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(MOST_QUOTES)))).filter("d <= quotes").select("id", "line", "d")
-    island = Window.partitionBy("id", "d").orderBy("line")
-    places = known.select("id", "line", (F.row_number().over(whole)).alias("at"))
-    levels = levels.join(places, ["id", "line"]).withColumn("run", F.col("at") - F.row_number().over(island))
-    quote = levels.groupBy("id", "d", "run").agg(F.min("line").alias("line"), (F.max("line") + 1).alias("end"))
-    quote = quote.select("id", "line", F.lit("quote").alias("kind"), F.lit(None).cast("int").alias("holder"), (F.col("d") - 1).alias("depth"), (F.col("d") - 1).alias("quotes"), F.lit(0).cast("long").alias("chars"), "end")
-    every = quote.unionByName(text)
+    none = F.lit(None)
+    quote = F.transform("begun", lambda x: node("quote", F.col("top"), none, none, x["d"] - 1, x["d"] - 1, F.lit(0), x["end"]))
+    kind = F.when(F.col("item"), "item").otherwise("paragraph")
+    own = node(kind, F.col("line"), F.col("indent"), F.array_max("holders")["indent"], F.col("quotes") + F.size("holders"), F.col("quotes"), F.col("chars"), end)
+    every = text.select("id", F.inline(F.concat(quote, F.array_compact(F.array(F.when(F.col("line").isNotNull(), own))))))
     return _numbered(every.withColumn("rank", (F.col("kind") != "quote").cast("int")))
 
 
 def _numbered(every: DataFrame) -> DataFrame:
-    """Numbers, parents and subtrees of nodes with their first line, the line behind their subtree, and who holds them."""
+    """Numbers, parents and subtrees of nodes with their first line, the line behind their subtree, and their holder's indent."""
+    # Quotes without a text are left out: the next text begins behind them.
+    back = Window.partitionBy("id").orderBy(F.desc("line"), F.desc("rank"), F.desc("depth"))
+    kept = every.withColumn("text", F.min(F.when(F.col("rank") == 1, F.col("line"))).over(back)).filter("rank = 1 or text < end").drop("text")
     order = Window.partitionBy("id").orderBy("line", "rank", "depth")
-    # Events in the order of lines: a node's end comes before the nodes that begin there. Running counts at a node's begin
-    # and end give how many nodes and texts its subtree holds.
-    opened = every.select("*", F.lit(1).alias("step"), F.col("line").alias("at"))
-    closed = every.select("*", F.lit(0).alias("step"), F.col("end").alias("at"))
-    along = Window.partitionBy("id").orderBy("at", "step", "rank", "depth")
-    run = opened.unionByName(closed).withColumns({"count": F.sum("step").over(along), "texts": F.sum(F.col("step") * F.col("rank")).over(along)})
-    both = run.groupBy("id", "line", "kind", "depth", "rank", "holder", "quotes", "chars", "end").agg(
-        F.max(F.when(F.col("step") == 1, F.col("count"))).alias("first"), F.max(F.when(F.col("step") == 0, F.col("count"))).alias("upto"),
-        F.max(F.when(F.col("step") == 1, F.col("texts"))).alias("said"), F.max(F.when(F.col("step") == 0, F.col("texts"))).alias("told"),
-    )
-    kept = both.filter((F.col("rank") == 1) | (F.col("told") > F.col("said")))
     kept = kept.withColumn("node", (F.row_number().over(order) - 1).cast("long"))
-    # What was left out holds no text, so no kept node lies in it; subtrees are counted anew among the kept.
-    opened = kept.select("*", F.lit(1).alias("step"), F.col("line").alias("at"))
-    closed = kept.select("*", F.lit(0).alias("step"), F.col("end").alias("at"))
-    run = opened.unionByName(closed).withColumn("count", F.sum("step").over(along))
-    sized = run.groupBy("id", "node", "line", "kind", "depth", "holder", "quotes", "chars").agg((F.max(F.when(F.col("step") == 0, F.col("count"))) - 1).alias("last"))
-    # The parent: the item that holds it, else the quote one level up that is open: the last begun of that level.
-    level = [F.max(F.when((F.col("kind") == "quote") & (F.col("quotes") == d), F.col("node"))).over(Window.partitionBy("id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)) for d in range(MOST_QUOTES)]
-    sized = sized.withColumn("open", F.array(*level))
-    held = sized.filter("kind = 'item'").select("id", F.col("line").alias("holder"), F.col("node").alias("item"))
-    met = sized.join(held, ["id", "holder"], "left")
-    parent = F.coalesce("item", F.when(F.col("quotes") > 0, F.get("open", F.col("quotes") - 1)))
-    return met.select("id", "node", "kind", "line", "last", parent.alias("parent"), "depth", "chars")
+    # The parent: the item that holds it, the last text of the holder's indent, else the quote one level up that is open: the
+    # last begun of that level.
+    before = Window.partitionBy("id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda when: F.max(F.when(when, F.col("node"))).over(before)
+    kept = kept.withColumns({
+        "items": F.array(*[last(F.col("indent") == k) for k in range(MOST_INDENT + 1)]),
+        "open": F.array(*[last((F.col("kind") == "quote") & (F.col("quotes") == d)) for d in range(MOST_QUOTES)]),
+    })
+    parent = F.coalesce(F.get("items", F.col("holder")), F.when(F.col("quotes") > 0, F.get("open", F.col("quotes") - 1)))
+    kept = kept.select("id", "node", "kind", "line", parent.alias("parent"), "depth", "chars", "end", "rank")
+    # Events in the order of lines: a node's end comes before the nodes that begin there, so that as many have begun at its end
+    # as stand before and in its subtree.
+    at = lambda step, line: F.struct(F.lit(step).alias("step"), F.col(line).cast("long").alias("at"))
+    events = kept.select("*", F.inline(F.array(at(1, "line"), at(0, "end"))))
+    along = Window.partitionBy("id").orderBy("at", "step", "rank", "depth").rowsBetween(Window.unboundedPreceding, 0)
+    closed = events.withColumn("count", F.sum("step").over(along)).filter("step = 0")
+    return closed.select("id", "node", "kind", "line", (F.col("count") - 1).alias("last"), "parent", "depth", "chars")
 
 
 def subtrees(tree: DataFrame) -> DataFrame:
     """``nodes`` with ``size`` and ``total``, the nodes and characters of each subtree, from running sums in reading order."""
-    order = Window.partitionBy("id").orderBy("node")
-    summed = tree.withColumn("sum", F.sum("chars").over(order))
-    ends = summed.select("id", F.col("node").alias("last"), F.col("sum").alias("upto"))
-    return summed.join(ends, ["id", "last"]).select(*tree.columns, (F.col("last") - F.col("node") + 1).alias("size"), (F.col("upto") - F.col("sum") + F.col("chars")).alias("total"))
+    # Each node is met at its own place and at that of its subtree's last node, where the sum is its subtree's and what stands
+    # before; so no sum is joined back.
+    place = lambda name, chars: F.struct(F.col(name).alias("__at"), F.lit(name == "last").alias("__ends"), chars.alias("__chars"))
+    met = tree.select("*", F.inline(F.array(place("node", F.col("chars")), place("last", F.lit(0).cast("long")))))
+    along = Window.partitionBy("id").orderBy("__at", "__ends", "node").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("__sum", F.sum("__chars").over(along))
+    own = Window.partitionBy("id", "node").orderBy("__ends")
+    met = met.withColumn("__from", F.lag("__sum").over(own)).filter("__ends")
+    return met.select(*tree.columns, (F.col("last") - F.col("node") + 1).alias("size"), (F.col("__sum") - F.col("__from") + F.col("chars")).alias("total"))

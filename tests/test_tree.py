@@ -82,3 +82,13 @@ def test_nodes_equal_a_reader_with_a_stack(spark):
         assert all(x.size == x.last - x.node + 1 and x.total == sum(w[5] for w in want[x.node : x.last + 1]) for x in found)
         nested += sum(x.depth > 1 for x in found)
     assert nested > 300
+
+
+def test_lines_are_dealt_once_and_no_frame_is_read_to_its_end(spark):
+    frame = spark.createDataFrame([(1, "> - a\n> - b\n\nc"), (None, "- a")], "id long, text string")
+    made = tree.subtrees(tree.nodes(tree.lines_of(frame)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and "unboundedfollowing" not in plan.split("Window")[1].lower()
+    # One exchange in the plan, listed once more as the initial plan is not yet final.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert [(r.kind, r.parent, r.last) for r in made.orderBy("node").collect()] == [("quote", None, 2), ("item", 0, 1), ("item", 0, 2), ("paragraph", None, 3)]
