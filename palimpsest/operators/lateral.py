@@ -57,8 +57,9 @@ def register(spark: SparkSession, packs: Sequence[R.Rule] = (), prefix: str = ""
                 made = engine.clean_text(text, self.detector(level))
                 yield tuple(dict(made[n]) if n in ("applied", "flagged") else made[n] for n in report.names)
 
+    # Rows are pickled, a hundred at a time: Arrow would make a batch of its own for each text's few findings.
     out = []
     for name, function, kind in (("findings", Findings, fields), ("cleaned", Cleaned, report)):
-        spark.udtf.register(prefix + name, udtf(function, returnType=kind, useArrow=True))
+        spark.udtf.register(prefix + name, udtf(function, returnType=kind, useArrow=False))
         out.append(prefix + name)
     return out

@@ -36,3 +36,9 @@ def test_levels_may_differ_by_row_and_sql_goes_on_from_findings(spark):
     got = spark.sql("SELECT level, count(*) AS n FROM levels, LATERAL findings(text, level) GROUP BY level").collect()
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
     assert {r.level: r.n for r in got} == {lv: engine.findings(docs, lv or "standard").count() for lv in ("light", None, "aggressive")}
+
+
+def test_findings_of_a_text_are_no_arrow_batch_of_their_own(spark):
+    lateral.register(spark, prefix="p_")
+    plan = spark.sql("SELECT f.* FROM VALUES ('a') AS d(text), LATERAL p_findings(d.text, 'light') f")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "Arrow" not in plan
