@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 from corpora import alnum_words, documents, words
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, licenses, pii
 
@@ -298,6 +299,49 @@ def test_contexts_that_plain_words_share_are_not_looked_for_in_all_texts(spark,
     assert looked == [(13, 4), (len(texts), 2)]
 
 
+def test_texts_without_the_words_of_a_context_are_not_cut(spark, monkeypatch):
+    texts = [f"hello, my access code is user{i}@mail.example again" for i in range(8)]
+    texts += ["Hello, my access CODE IS Zx81-qq77 again", "Code\tis Zx81-qq78 of\nthem " + words(400, 3), f"{words(300, 4)} code is Zx81-qq79 again"]
+    # The words of the contexts stand apart in all others.
+    texts += [f"is {words(60, 100 + i)} code {words(60, 300 + i)} again is what code said" for i in range(60)] + ["", None]
+    docs = documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])
+    cut, seen = pii._met, []
+
+    def watched(texts, *more):
+        seen.append(texts.count())
+        return cut(texts, *more)
+
+    monkeypatch.setattr(pii, "_met", watched)
+    got = {r.doc_id: {texts[r.doc_id][s.s : s.e] for s in r.secret} for r in pii.extracted(docs).filter("size(secret) > 0").collect()}
+    assert got == {8: {"Zx81-qq77"}, 9: {"Zx81-qq78"}, 10: {"Zx81-qq79"}}
+    assert seen == [8, 11]
+
+
+def test_no_text_that_holds_a_context_is_ruled_out(spark, monkeypatch):
+    r = random.Random(5)
+    near = ["code", "a" * 29, "b" * 30, "c" * 31, "d" * 100, "e" * 200, "ΟΔΟΣ", "İİ" * 14, "İ" * 20, "x\u200bΣ"]
+    spaces = [" ", "\t", "\n", "  \n", " " * 33, "\n" * 34, " " * 35, "\t " * 40, " " * 110, " " * 140]
+    texts = []
+    for i in range(400):
+        before = words(80, i)[-r.choice([0, 0, 1, 200, 230, 240, 250, 260, 300]) :] if i % 9 else ""
+        a, b, c = (r.choice(near) if r.random() < 0.7 else f"w{r.randrange(5)}" for _ in range(3))
+        gap = lambda: r.choice(spaces) if r.random() < 0.4 else " "
+        texts.append(f"{before}{gap() if before or r.random() < 0.2 else ''}{a}{gap()}{b}{gap()}u{i % 7}@mail.example{gap()}{c}{gap()}{words(40, 900 + i)}")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("th", F.xxhash64("t")).select("id", "th", "t").repartition(4).cache()
+    seeds = rows.select(F.inline(pii.seeds_in_prose(pii.spans(F.col("t"), pii.EMAIL), F.lit("email")))).select(F.inline("cues"), "near").distinct().cache()
+    wanted = {x.cue: (x.near, x.ends) for x in seeds.collect()}
+    assert len(wanted) > 100
+    monkeypatch.setattr(pii, "MOST_LISTED", 0)
+    held = {(x.cue, x.id) for x in pii.in_contexts(rows, seeds).filter("shape = 'email'").collect()}
+    assert len({i for _, i in held}) > 300
+    some = sorted(wanted, key=lambda c: -sum(h[0] == c for h in held))[:30] + r.sample(sorted(wanted), 60)
+    able = rows.select("id", F.array(*[pii.able(F.col("t"), [wanted[c][0]], [wanted[c][1]]) for c in some]).alias("able")).collect()
+    can = {(c, x.id) for x in able for c, ok in zip(some, x.able) if ok}
+    assert {h for h in held if h[0] in some} <= can
+    plain = {i for i, t in enumerate(texts) if max(map(len, t.lower().split())) <= 30 and not re.search(r"\s{35}", t)}
+    assert plain and sum(i in plain for _, i in can) < len(plain) * len(some) / 4
+
+
 def plain_patterns(pairs):
     live = [p for p in pairs if p[2] != "plain"]
     shapes = {p[2] for p in live}
