@@ -299,6 +299,19 @@ def test_contexts_that_plain_words_share_are_not_looked_for_in_all_texts(spark,
     assert looked == [(13, 4), (len(texts), 2)]
 
 
+@pytest.mark.parametrize("also", [0, 40])
+def test_a_context_may_find_its_values_in_texts_without_seeds(spark, also):
+    # In the texts with seeds the context holds three seeds and two plain words, in all texts 24 tokens of a trusted shape too.
+    texts = [f"so it was {hashlib.sha1(str(i).encode()).hexdigest()} then" + (f" {words(9, 60 + i)} so it was w{chr(97 + i)} then" if i < 2 else "") for i in range(3)]
+    texts += [f'{{"api_key": "{hashlib.sha1(str(i).encode()).hexdigest()[:20]}"}}' for i in range(12)]
+    texts += [f"{words(9, 90 + i)} so it was {hashlib.sha1(str(99 + i).encode()).hexdigest()[:20]} then" for i in range(24)]
+    # Plain words in texts without seeds count as well: forty of them, and the context extracts nothing.
+    texts += [f"so it was {chr(97 + i % 26)}w{chr(97 + i // 26)} then" for i in range(also)]
+    texts += ['{"api_key": "%s"}' % hashlib.sha1(str(i).encode()).hexdigest() for i in range(50, 60)]
+    got = pii.extracted(documents(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])).filter("doc_id between 15 and 38").collect()
+    assert {r.doc_id: {texts[r.doc_id][s.s : s.e] for s in r.secret} for r in got} == {k: set() if also else {texts[k].split()[-2]} for k in range(15, 39)}
+
+
 def test_texts_without_the_words_of_a_context_are_not_cut(spark, monkeypatch):
     texts = [f"hello, my access code is user{i}@mail.example again" for i in range(8)]
     texts += ["Hello, my access CODE IS Zx81-qq77 again", "Code\tis Zx81-qq78 of\nthem " + words(400, 3), f"{words(300, 4)} code is Zx81-qq79 again"]
