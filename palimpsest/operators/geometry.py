@@ -1,9 +1,9 @@
 """Rectangles on pages: what lies in which box, which line captions which figure, which rules make up a grid.
 
-Every relation has ``id`` (the document), ``page`` and rectangles ``x``, ``y``, ``w``, ``h`` in points, y downwards. Pairs are
-found by equality of a page and a cell of a grid laid over it, never by comparing all rows of a page: a page's rows spread
-over as many keys as it has cells, and only rows that share a cell are tested. Rows whose rectangle has a null side meet
-nothing.
+Every relation has ``id`` (the document), ``page`` and rectangles ``x``, ``y``, ``w``, ``h`` in points, y downwards. Rows are dealt
+by page once, and those of a page are compared where they are. A page of more rows than DENSE is no key: pairs on it are found by
+equality of the page and a cell of a grid laid over it, so its rows spread over as many keys as it has cells, and only rows that
+share a cell are tested. Rows whose rectangle has a null side meet nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ ABOVE, BELOW, UNDER = -2.0, 48.0, 0.5
 CAPTION = r"^\s*(?:figure|fig\.|table|chart|exhibit|source:)"
 #: Rules no thicker than this may touch; the gap over which they still do.
 THICK, TOUCH = 6.0, 6.0
+#: What rows are dealt by; rows of one kind above which a page's are found by cells; rounds of bids that are one pass.
+PAGE, DENSE, PASS_ROUNDS = ["id", "page"], 2000, 3
 
 
 def _cell(at: Column) -> Column:
@@ -47,6 +49,14 @@ def _whole(*names: str) -> Column:
     return ~F.array_contains(F.array(*[F.col(n).isNull() | F.isnan(F.col(n).cast("double")) for n in names]), True)
 
 
+def _crowded(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """``(id, page)`` of large pages, by the column ``rows`` of ``pages`` or, without one, by counting. A number that is too large
+    only changes the way in which pairs are found."""
+    if pages is None or "rows" not in pages.columns:
+        pages = rows.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows"))
+    return pages.filter(F.col("rows") > DENSE).select(*PAGE).distinct()
+
+
 def boxes(fills: DataFrame, pages: DataFrame) -> DataFrame:
     """Those of ``fills`` ``(id, page, fill, x, y, w, h, luminance, stroked)`` that may hold text: large, not of the page's
     size, not white unless they have an outline. ``pages`` has ``(id, page, width, height)``."""
@@ -60,64 +70,104 @@ def callouts(blocks: DataFrame, fills: DataFrame, pages: DataFrame, smallest: bo
     """``blocks`` ``(id, page, block, kind, x, y, w, h)`` with ``box``: the first drawn of the boxes that hold six tenths of it, or
     the smallest of them (ties: the first drawn); null for none and for blocks that are no prose.
 
-    What holds over half of a block's width and height holds its centre, so a block looks for boxes in one cell, and boxes
-    are entered in all cells that they touch. A block without area has no box. Repeated rows each get theirs.
+    A block without area has no box. Repeated rows each get theirs. ``pages`` may tell the ``rows`` of each page.
     """
-    prose = blocks.filter(~F.coalesce(F.col("kind").isin(*FRAMED), F.lit(False)) & _whole("x", "y", "w", "h")).select("id", "page", "block", "x", "y", "w", "h").distinct()
+    blocks, able = blocks.repartition(*PAGE), boxes(fills.repartition(*PAGE), pages).filter(_whole("x", "y", "w", "h"))
+    crowded = _crowded(fills, pages)
+    able = able.select(*PAGE, "fill", *[F.col(c).alias(f"box_{c}") for c in "xywh"])
+    near = _held_on_page(blocks.join(crowded, PAGE, "left_anti"), able.join(crowded, PAGE, "left_anti"), smallest)
+    return near.union(_held_by_cell(blocks.join(crowded, PAGE, "left_semi"), able.join(crowded, PAGE, "left_semi"), smallest))
+
+
+def _prose() -> Column:
+    return ~F.coalesce(F.col("kind").isin(*FRAMED), F.lit(False)) & _whole("x", "y", "w", "h")
+
+
+def _holds() -> Column:
+    """Whether a box holds enough of a block."""
+    wide = _overlap(F.col("x"), F.col("x") + F.col("w"), F.col("box_x"), F.col("box_x") + F.col("box_w"))
+    high = _overlap(F.col("y"), F.col("y") + F.col("h"), F.col("box_y"), F.col("box_y") + F.col("box_h"))
+    return (wide > 0) & (high > 0) & (wide * high >= HELD * F.col("w") * F.col("h"))
+
+
+def _first_box(smallest: bool) -> Column:
+    return F.min(F.when(F.col("box_x").isNotNull(), F.struct((F.col("box_w") * F.col("box_h")).alias("area"), "fill") if smallest else F.struct("fill")))["fill"]
+
+
+def _held_on_page(blocks: DataFrame, able: DataFrame, smallest: bool) -> DataFrame:
+    """``callouts`` of blocks and boxes that are dealt by page: all of a page are compared."""
+    own = blocks.select(F.struct(*blocks.columns).alias("__own"), *PAGE, *"xywh", _prose().alias("__prose"), F.monotonically_increasing_id().alias("__row"))
+    able = able.withColumnsRenamed({c: f"box_{c}" for c in PAGE})
+    same = (F.col("id") == F.col("box_id")) & (F.col("page") == F.col("box_page"))
+    met = own.hint("shuffle_hash").join(able, same & F.col("__prose") & _holds(), "left")
+    held = met.groupBy(*PAGE, "__row").agg(F.first("__own").alias("__own"), _first_box(smallest).alias("__box"))
+    return held.select("__own.*", F.col("__box").alias("box"))
+
+
+def _held_by_cell(blocks: DataFrame, able: DataFrame, smallest: bool) -> DataFrame:
+    """``callouts`` of blocks and boxes of large pages. What holds over half of a block's width and height holds its centre, so a
+    block looks for boxes in one cell, and boxes are entered in all cells that they touch."""
+    key = [*PAGE, "block", *"xywh"]
+    prose = blocks.filter(_prose()).select(*key).distinct()
     prose = prose.withColumns({"gx": _cell(F.col("x") + F.col("w") / 2), "gy": _cell(F.col("y") + F.col("h") / 2)})
-    able = boxes(fills, pages).filter(_whole("x", "y", "w", "h")).select("id", "page", "fill", *[F.col(c).alias(f"box_{c}") for c in "xywh"])
-    right, bottom = F.col("box_x") + F.col("box_w"), F.col("box_y") + F.col("box_h")
-    able = able.withColumn("gx", F.explode(_cells(F.col("box_x"), right))).withColumn("gy", F.explode(_cells(F.col("box_y"), bottom)))
-    wide = _overlap(F.col("x"), F.col("x") + F.col("w"), F.col("box_x"), right)
-    high = _overlap(F.col("y"), F.col("y") + F.col("h"), F.col("box_y"), bottom)
-    met = prose.join(able, ["id", "page", "gx", "gy"]).filter((wide > 0) & (high > 0) & (wide * high >= HELD * F.col("w") * F.col("h")))
-    rank = F.struct((F.col("box_w") * F.col("box_h")).alias("area"), "fill") if smallest else F.struct("fill")
-    held = met.groupBy("id", "page", "block", "x", "y", "w", "h").agg(F.min(rank)["fill"].alias("box"))
-    key = ["id", "page", "block", "x", "y", "w", "h"]
+    able = able.withColumn("gx", F.explode(_cells(F.col("box_x"), F.col("box_x") + F.col("box_w")))).withColumn("gy", F.explode(_cells(F.col("box_y"), F.col("box_y") + F.col("box_h"))))
+    held = prose.join(able, [*PAGE, "gx", "gy"]).filter(_holds()).groupBy(*key).agg(_first_box(smallest).alias("box"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
     framed = F.coalesce(F.col("a.kind").isin(*FRAMED), F.lit(False))
     return blocks.alias("a").join(held.alias("b"), same, "left").select("a.*", F.when(~framed, F.col("b.box")).alias("box"))
 
 
-def caption_pairs(lines: DataFrame, figures: DataFrame) -> DataFrame:
+def caption_pairs(lines: DataFrame, figures: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``(id, page, figure, line, distance)`` of all lines ``(id, page, line, x, y, w, h, text)`` that may caption a figure
     ``(id, page, figure, x, y, w, h)``: begun like a caption, just below it, for half their width under it.
 
-    A line is entered in one band of the page's height, a figure in the bands that its captions may begin in: two.
+    On large pages a line is entered in one band of the page's height, a figure in the bands that its captions may begin in: two.
+    Pairs are dealt by page. ``pages``, if given, tells the ``rows`` of each page ``(id, page, rows)``.
     """
-    band = BELOW - ABOVE
-    said = lines.filter(F.rlike(F.lower("text"), F.lit(CAPTION)) & _whole("x", "y", "w")).select(
-        "id", "page", "line", F.col("x").alias("line_x"), F.col("y").alias("line_y"), F.col("w").alias("line_w"), F.floor(F.col("y") / band).alias("band")
+    said = lines.repartition(*PAGE).filter(F.rlike(F.lower("text"), F.lit(CAPTION)) & _whole("x", "y", "w")).select(
+        *PAGE, "line", F.col("x").alias("line_x"), F.col("y").alias("line_y"), F.col("w").alias("line_w")
     )
-    foot = F.col("y") + F.col("h")
-    below = figures.filter(_whole("x", "y", "w", "h")).withColumn("foot", foot).withColumn("band", F.explode(F.sequence(F.floor((foot + ABOVE) / band), F.floor((foot + BELOW) / band))))
+    below = figures.repartition(*PAGE).filter(_whole("x", "y", "w", "h")).select(*PAGE, "figure", "x", "w", (F.col("y") + F.col("h")).alias("foot"))
+    crowded = _crowded(figures, pages)
     distance = F.col("line_y") - F.col("foot")
     under = _overlap(F.col("line_x"), F.col("line_x") + F.col("line_w"), F.col("x"), F.col("x") + F.col("w"))
-    met = below.join(said, ["id", "page", "band"]).filter((distance >= ABOVE) & (distance < BELOW) & (under >= UNDER * F.col("line_w")))
-    return met.select("id", "page", "figure", "line", distance.alias("distance")).distinct()
+    fits = (distance >= ABOVE) & (distance < BELOW) & (under >= UNDER * F.col("line_w"))
+    near = below.join(crowded, PAGE, "left_anti").hint("shuffle_hash").join(said, PAGE).filter(fits)
+    band = BELOW - ABOVE
+    bands = below.join(crowded, PAGE, "left_semi").withColumn("band", F.explode(F.sequence(F.floor((F.col("foot") + ABOVE) / band), F.floor((F.col("foot") + BELOW) / band))))
+    far = bands.join(said.withColumn("band", F.floor(F.col("line_y") / band)), [*PAGE, "band"]).filter(fits)
+    pairs = [met.select(*PAGE, "figure", "line", distance.alias("distance")) for met in (near, far)]
+    return pairs[0].union(pairs[1].repartition(*PAGE)).repartition(*PAGE).distinct()
+
+
+def _bid(pairs: DataFrame) -> DataFrame:
+    """A round of bids over ``pairs``, dealt by page: those that may still come to be, with ``sure`` for those that do.
+
+    A figure bids for its nearest line left; a line goes for good to the first figure of all that it might still come to.
+    Such a pair is then alone with its figure and its line, and stays sure in any later round.
+    """
+    of_figure, of_line = Window.partitionBy(*PAGE, "figure"), Window.partitionBy(*PAGE, "line")
+    first = pairs.withColumn("first", F.min("figure").over(of_line)).withColumn("nth", F.row_number().over(of_figure.orderBy("distance", "line")))
+    sure = first.withColumn("sure", (F.col("nth") == 1) & (F.col("figure") == F.col("first"))).withColumn("gone", F.max("sure").over(of_figure))
+    return sure.withColumn("gone", F.col("gone") | F.max("sure").over(of_line)).filter("sure or not gone").select("id", "page", "figure", "line", "distance", "sure")
 
 
-def captions(lines: DataFrame, figures: DataFrame, rounds: int = 100) -> DataFrame:
+def captions(lines: DataFrame, figures: DataFrame, rounds: int = 100, pages: DataFrame | None = None) -> DataFrame:
     """``(id, page, figure, line, distance)``: each figure's nearest caption (ties: the first line) that no earlier figure has.
 
     Figures bid for their nearest line left and lines go to the first figure that bids; who is turned away bids again
     in the next round. As every line ranks figures by their order, this ends with what taking figures one after the other
-    gives. Rounds are few, as only figures that share lines are in a second one; more than ``rounds`` raise.
+    gives. Rounds are few, as only figures that share lines are in a second one; more than ``rounds`` raise. Three rounds are
+    one pass over a page's pairs, and only what they leave unsettled is dealt and written again.
     """
-    left = written(caption_pairs(lines, figures))
-    place = Window.partitionBy("id", "page", "figure").orderBy("distance", "line")
-    taken = None
-    for _ in range(rounds):
-        bids = left.withColumn("nth", F.row_number().over(place)).filter("nth = 1").drop("nth")
-        won = bids.groupBy("id", "page", "line").agg(F.min("figure").alias("winner"))
-        # A line goes for good only if no earlier figure might still come to it: one that has it among its lines left.
-        first = left.groupBy("id", "page", "line").agg(F.min("figure").alias("first"))
-        sure = written(
-            bids.join(won, ["id", "page", "line"]).filter("figure = winner").join(first, ["id", "page", "line"]).filter("figure = first").select("id", "page", "figure", "line", "distance")
-        )
-        taken = sure if taken is None else written(taken.union(sure))
-        gone = left.join(sure.select("id", "page", "figure"), ["id", "page", "figure"], "left_anti").join(sure.select("id", "page", "line"), ["id", "page", "line"], "left_anti")
-        left = written(gone)
+    left, taken = caption_pairs(lines, figures, pages), None
+    for done in range(0, rounds, PASS_ROUNDS):
+        for _ in range(min(PASS_ROUNDS, rounds - done)):
+            left = _bid(left)
+        table = written(left)
+        sure = table.filter("sure").drop("sure")
+        taken = sure if taken is None else taken.union(sure)
+        left = table.filter("not sure").drop("sure").repartition(*PAGE)
         if not left.take(1):
             return taken
     raise RuntimeError(f"captions did not settle in {rounds} rounds")

@@ -20,10 +20,11 @@ SELECT DISTINCT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey A
 FROM lineitem
 """
 #: The same items for Spark: of two items of a page, which is a supplier's, ``m`` tells the same as ``n``, equality and order, but
-#: stays within 64 bits up to nine billion parts, ``n`` only up to 922,337.
+#: stays within 64 bits up to nine billion parts, ``n`` only up to 922,337. Items are dealt by page, which all that follows keeps.
 _LAID_ITEMS = """
-SELECT DISTINCT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey AS o, l_partkey AS p, l_partkey * 1000000000 + l_orderkey AS m
-FROM {lineitem}
+SELECT *, p * 1000000000 + o AS m FROM (
+  SELECT DISTINCT * FROM (SELECT /*+ REPARTITION(id, page) */ * FROM (SELECT l_suppkey AS id, CAST(l_linenumber AS INT) AS page, l_orderkey AS o, l_partkey AS p FROM {lineitem}))
+)
 """
 _BLOCKS = """
 SELECT id, page, n AS block, CASE WHEN p % 10 = 0 THEN 'table' ELSE 'paragraph' END AS kind, CAST(p * 7 % 560 AS DOUBLE) AS x,
@@ -53,6 +54,12 @@ def _laid_out(spark: SparkSession, sf_dir: str, *made: str) -> list[DataFrame]:
     return [spark.sql(by_m(sql), items=items) for sql in made]
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with the number of their items, repeated ones included."""
+    lineitem = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return lineitem.groupBy(F.col("l_suppkey").alias("id"), F.col("l_linenumber").cast("int").alias("page")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _named(number: str) -> Column:
     """``n`` for ``m``, the number of the item in SQL. One of more than 64 bits, at which the SQL ends with an error, keeps its
     low 64 bits, which still differ among the items of a page."""
@@ -68,7 +75,7 @@ def _sql(body: str, **made: str) -> str:
 
 def _boxes(spark: SparkSession, sf_dir: str, smallest: bool) -> DataFrame:
     blocks, fills = _laid_out(spark, sf_dir, _BLOCKS, _FILLS)
-    pages = blocks.select("id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
+    pages = _pages(spark, sf_dir).select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return geometry.callouts(blocks, fills, pages, smallest).select("id", "page", _named("block"), _named("box"))
 
 
@@ -91,7 +98,7 @@ SELECT b.id, b.page, b.block, h.fill AS box FROM blocks b LEFT JOIN held h ON h.
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.captions(*_laid_out(spark, sf_dir, _LINES, _FIGURES)).select("id", "page", _named("figure"), _named("line"), "distance")
+    return geometry.captions(*_laid_out(spark, sf_dir, _LINES, _FIGURES), pages=_pages(spark, sf_dir)).select("id", "page", _named("figure"), _named("line"), "distance")
 
 
 _PAIRS = """

@@ -64,6 +64,49 @@ def test_blocks_are_held_by_the_boxes_that_a_plain_loop_finds(spark, smallest):
     assert g.callouts(*(t.limit(0) for t in tables)).collect() == []
 
 
+@pytest.mark.parametrize("smallest", [False, True])
+def test_large_pages_are_laid_out_as_small_ones_are(spark, monkeypatch, smallest):
+    r = random.Random(8)
+    make = lambda n: [(d, p, k, *rect(r)) for d, m in ((0, n), (1, 8)) for p in range(2) for k in range(m)]
+    blocks = spark.createDataFrame(make(60), f"id long, page int, block int, {RECT}").withColumn("kind", F.lit("paragraph"))
+    fills = spark.createDataFrame(make(40), f"id long, page int, fill int, {RECT}").withColumns({"luminance": F.lit(1.0), "stroked": F.lit(False)})
+    lines = spark.createDataFrame(make(60), f"id long, page int, line int, {RECT}").withColumn("text", F.lit("Figure"))
+    pages = blocks.select("id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
+    told = pages.withColumn("rows", F.when(F.col("id") == 0, 40).otherwise(8))
+    got = []
+    # All pages compared in place; one document's found by cells, as its rows are counted; the same, as they are told.
+    for dense, of in ((2000, pages), (20, pages), (20, told)):
+        monkeypatch.setattr(g, "DENSE", dense)
+        boxes = g.callouts(blocks.union(blocks.limit(5)), fills, of, smallest).collect()
+        found = g.caption_pairs(lines, fills.withColumnRenamed("fill", "figure"), of if of is told else None).collect()
+        got.append((sorted((x.id, x.page, x.block, -1 if x.box is None else x.box) for x in boxes), sorted(map(tuple, found))))
+    assert got[0] == got[1] == got[2] and len(got[0][1]) > 20 and sum(x[3] >= 0 for x in got[0][0]) > 20
+
+
+def test_cells_of_boxes_are_not_shuffled(spark):
+    # Rows of a page of usual size are sent once, each as one row: the two exchanges by page.
+    schema = f"id long, page int, fill int, {RECT}, luminance double, stroked boolean"
+    fills = spark.createDataFrame([(0, 0, k, 0.0, 0.0, 500.0, 500.0, 1.0, True) for k in range(9)], schema).repartition(3)
+    blocks = fills.select("id", "page", F.col("fill").alias("block"), F.lit("paragraph").alias("kind"), F.lit(9.0).alias("x"), F.lit(9.0).alias("y"), F.lit(9.0).alias("w"), F.lit(9.0).alias("h"))
+    pages = fills.select("id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(9).alias("rows")).distinct()
+    made = g.callouts(blocks, fills, pages)
+    first = lambda df: df.agg(F.count("box"), F.min("box"), F.max("box")).first()
+    assert tuple(first(made)) == (9, 0, 0)
+    # The plan's first branch is that of such pages.
+    branch = plain_plan(made).split(":- ", 1)[1].split("\n+- ")[0]
+    assert "Generate" not in branch and "gx" not in branch
+
+
+def test_rounds_of_bids_are_not_written_one_by_one(spark, monkeypatch):
+    # Figure k bids for line 0 first, and only then for its own: two rounds and more.
+    lines = [(0, 0, k, 0.0, 100.0 + k, 50.0, 9.0, "Figure") for k in range(3)]
+    figures = [(0, 0, k, 0.0, 50.0, 100.0, 50.0) for k in range(3)]
+    kept, tables = g.written, []
+    monkeypatch.setattr(g, "written", lambda df: tables.append(1) or kept(df))
+    got = g.captions(spark.createDataFrame(lines, f"id long, page int, line int, {RECT}, text string"), spark.createDataFrame(figures, f"id long, page int, figure int, {RECT}")).collect()
+    assert sorted((x.figure, x.line) for x in got) == [(0, 0), (1, 1), (2, 2)] and len(tables) == 1
+
+
 def test_captions_equal_taking_figures_one_after_the_other(spark):
     r = random.Random(6)
     lines, figures = [], []
