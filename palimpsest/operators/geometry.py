@@ -8,12 +8,16 @@ share a cell are tested. Rows whose rectangle has a null side meet nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.durable import written
-from .graph import components
 
 #: Side of a grid cell in points; cells a rectangle is entered in along one axis at most (what lies beyond counts as the last).
 CELL, MOST_CELLS = 48.0, 64
@@ -28,6 +32,8 @@ CAPTION = r"^\s*(?:figure|fig\.|table|chart|exhibit|source:)"
 THICK, TOUCH = 6.0, 6.0
 #: What rows are dealt by; rows of one kind above which a page's are found by cells; rounds of bids that are one pass.
 PAGE, DENSE, PASS_ROUNDS = ["id", "page"], 2000, 3
+#: Rules that a task gathers before it groups those of whole pages; pairs of them that it tests at a time.
+PAGE_ROWS, LINKS = 200_000, 4_000_000
 
 
 def _cell(at: Column) -> Column:
@@ -190,12 +196,92 @@ def touching(rules: DataFrame) -> DataFrame:
     return pairs.select(F.struct("id", "page", "rule").alias("a"), F.struct("id", "page", F.col("rule_").alias("rule")).alias("b"))
 
 
+def _least_linked(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """``root``, a least row known for each of ``n`` rows, with the components that the links ``(a, b)`` join made one."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _roots(start: np.ndarray, known: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """For each rule of whole pages the first one that touching rules lead to. ``start``: whether a row begins a page; ``known``:
+    whether it is the same rule as the one before.
+
+    A rule meets those of its page that begin, from left to right, before it ends: a stretch of the rows sorted by page and left
+    edge. Stretches are tested LINKS pairs at a time.
+    """
+    n, page = len(start), np.cumsum(start)
+    by = np.lexsort((x0, page))
+    root = np.arange(n)
+    same = np.flatnonzero(known)
+    root = _least_linked(n, same - 1, same, root)
+    # Left edges of all pages on one line: a page's stand beyond those of the page before.
+    left, right = (np.unique(np.concatenate([x0, x1]), return_inverse=True)[1].reshape(2, n))
+    at = page[by] * (2 * n + 1) + left[by]
+    last = np.searchsorted(at, page[by] * (2 * n + 1) + right[by], "right")
+    many = np.maximum(last - np.arange(n) - 1, 0)
+    done, total = 0, np.concatenate([[0], np.cumsum(many)])
+    while done < n:
+        # At least one row at a time.
+        to = max(done + 1, int(np.searchsorted(total, total[done] + LINKS, "right")) - 1)
+        size = many[done:to]
+        a = np.repeat(np.arange(done, to), size)
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[done:to] - total[done], size)
+        a, b = by[a], by[b]
+        met = (x0[a] <= x1[b]) & (x0[b] <= x1[a]) & (y0[a] <= y1[b]) & (y0[b] <= y1[a])
+        root = _least_linked(n, a[met], b[met], root)
+        done = to
+    return root
+
+
+def grouped(rules: DataFrame) -> DataFrame:
+    """``rules`` that are thin enough with ``root``, as ``rule_groups`` names it. Rules are dealt by page and sorted; a task
+    holds some whole pages at a time."""
+    whole = rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h"))
+    sides = [F.col("x") - TOUCH / 2, F.col("x") + F.col("w") + TOUCH / 2, F.col("y") - TOUCH / 2, F.col("y") + F.col("h") + TOUCH / 2]
+    sides = [c.cast("double").alias(f"__{k}") for k, c in enumerate(sides)]
+    dealt = whole.select("*", F.col("rule").alias("root"), *sides).repartition(*PAGE).sortWithinPartitions(*PAGE, "rule")
+
+    def differs(table: pa.Table, name: str) -> np.ndarray:
+        col = table[name].combine_chunks()
+        return np.concatenate([[True], pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False)])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            start = differs(table, "id") | differs(table, "page")
+            # A rule without a number is a page of its own: it touches nothing.
+            rule = table["rule"].combine_chunks()
+            unnamed = pc.is_null(rule).to_numpy(zero_copy_only=False)
+            start |= unnamed | np.concatenate([[False], unnamed[:-1]])
+            roots = _roots(start, ~(start | differs(table, "rule")), *[table[f"__{k}"].to_numpy() for k in range(4)])
+            yield from table.set_column(table.schema.get_field_index("root"), "root", rule.take(pa.array(roots))).drop_columns([f"__{k}" for k in range(4)]).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PAGE_ROWS:
+                table = pa.Table.from_batches(held)
+                first = np.flatnonzero(differs(table, "id") | differs(table, "page"))[-1]
+                # The last page may go on.
+                if first:
+                    yield from solved(table.slice(0, first))
+                held, rows = table.slice(first).to_batches(), 0
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(find, dealt.drop(*[f"__{k}" for k in range(4)]).schema)
+
+
 def rule_groups(rules: DataFrame) -> DataFrame:
     """``(id, page, rule, root)`` of all rules thin enough: ``root`` is the least rule that touching rules lead to."""
-    tree = components(touching(rules)).select(F.col("node.id").alias("id"), F.col("node.page").alias("page"), F.col("node.rule").alias("rule"), F.col("root.rule").alias("root"))
-    thin = rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h")).select("id", "page", "rule")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "page", "rule")]
-    return thin.alias("a").join(tree.alias("b"), same, "left").select("a.*", F.coalesce("b.root", "a.rule").alias("root"))
+    return grouped(rules.select(*PAGE, "rule", *"xywh", "thickness")).select(*PAGE, "rule", "root")
 
 
 def clustered(values: Column, tolerance: float) -> Column:

@@ -9,14 +9,16 @@ worked out in a loop.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.durable import unsent, written
+from ..functions.durable import written
 from .engine import once
-from .geometry import THICK, _cell, _cells, _whole, clustered, rule_groups
+from .geometry import THICK, _cell, _cells, _whole, clustered, grouped
 
 #: Coordinates that merge; rules that count to a line of the grid in the cover test; and how short of an edge a rule may end.
 MERGE, NEAR, SHORT = 3.0, 3.5, 2.0
@@ -48,11 +50,17 @@ def spans(columns: int, rows: int, upright: set[tuple[int, int]], level: set[tup
 
 
 def _spans(columns: pa.Array, rows: pa.Array, upright: pa.Array, level: pa.Array) -> pa.Array:
-    made = []
-    for n, m, v, h in zip(columns.to_pylist(), rows.to_pylist(), upright.to_pylist(), level.to_pylist()):
-        edges = ({(e["line"], e["at"]) for e in found or []} for found in (v, h))
-        made.append([dict(zip(("row", "col", "rowspan", "colspan"), cell)) for cell in spans(n, m, *edges)])
-    return pa.array(made, pa.list_(pa.struct([(x, pa.int32()) for x in ("row", "col", "rowspan", "colspan")])))
+    def edges(found: pa.Array) -> Iterator[set[tuple[int, int]]]:
+        ends, drawn = found.offsets.to_pylist(), list(zip(*[found.values.field(k).to_pylist() for k in ("line", "at")]))
+        return (set(drawn[a:b]) if known else set() for a, b, known in zip(ends, ends[1:], found.is_valid().to_pylist()))
+
+    made: list[tuple[int, int, int, int]] = []
+    ends = [0]
+    for n, m, v, h in zip(columns.to_pylist(), rows.to_pylist(), edges(upright), edges(level)):
+        made += spans(n, m, v, h)
+        ends.append(len(made))
+    parts = [pa.array([cell[k] for cell in made], pa.int32()) for k in range(4)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["row", "col", "rowspan", "colspan"]))
 
 
 def covered(lines: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -69,10 +77,10 @@ def grids(rules: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``pages`` has ``(id, page, width, height)``; a group on a page that is not there is no grid.
     """
-    thin = unsent(rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h")).dropDuplicates(["id", "page", "rule"]))
+    thin = rules.filter((F.col("thickness") <= THICK) & _whole("x", "y", "w", "h")).repartition("id", "page").dropDuplicates(["id", "page", "rule"])
     upright = F.col("vertical")
     placed = written(
-        thin.join(rule_groups(thin), ["id", "page", "rule"]).select(
+        grouped(thin).select(
             *GROUP, "vertical", F.when(upright, F.col("x") + F.col("w") / 2).otherwise(F.col("y") + F.col("h") / 2).alias("pos"),
             F.when(upright, F.col("y")).otherwise(F.col("x")).alias("start"), F.when(upright, F.col("y") + F.col("h")).otherwise(F.col("x") + F.col("w")).alias("end"),
             "x", "y", (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom"),

@@ -107,6 +107,29 @@ def test_rounds_of_bids_are_not_written_one_by_one(spark, monkeypatch):
     assert sorted((x.figure, x.line) for x in got) == [(0, 0), (1, 1), (2, 2)] and len(tables) == 1
 
 
+def test_rules_are_grouped_in_one_pass_over_pages(spark, monkeypatch):
+    # Pages of several batches, stretches of pairs cut short, repeated and unnamed rules, rules without a page: as by links.
+    r = random.Random(11)
+    thin = lambda: r.choice([(0.5, r.uniform(5, 60)), (r.uniform(5, 60), 0.5), (-2.0, 3.0)])
+    rules = [(d, p, r.choice([None, *range(n)]) if k % 17 == 0 else k, r.uniform(0, 300), r.uniform(0, 300), *thin(), r.choice([1.0, 1.0, 7.0])) for d, p, n in [(0, 0, 400), (0, 1, 3), (1, 0, 90), (2, None, 30)] for k in range(n)]
+    rules = spark.createDataFrame(rules, f"id long, page int, rule int, {RECT}, thickness double")
+    tree = {tuple(x.node): x.root.rule for x in graph.components(g.touching(rules)).collect()}
+    want = sorted((str(x.id), str(x.page), str(x.rule), str(tree.get((x.id, x.page, x.rule), x.rule))) for x in rules.filter("thickness < 6").collect())
+    monkeypatch.setattr(g, "PAGE_ROWS", 50)
+    monkeypatch.setattr(g, "LINKS", 100)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    try:
+        made = g.rule_groups(rules)
+        # Nothing has run yet: no rounds of tables.
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup() == began
+        assert sorted(tuple(map(str, x)) for x in made.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert 20 < len({x[:2] + x[3:] for x in want}) < len(want) - 20
+
+
 def test_captions_equal_taking_figures_one_after_the_other(spark):
     r = random.Random(6)
     lines, figures = [], []
